@@ -80,6 +80,17 @@ def sizes_and_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return inner.select("doc_id", "source", F.col("size").cast("long").alias("size"), (0.05 + F.when(F.col("size") > 0, clean * clean).otherwise(0.0)).alias("weight"))
 
 
+def repeat_taken(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Rows of ``docs`` repeated as often as the mix takes them, all columns kept.
+
+    Rows that share an id (or have none) are repeated as often as the one of them that is taken most.
+    """
+    mixed = mix(sizes_and_weights(docs, id_col, text_col, source_col), weights, seed).where("taken > 0")
+    times = mixed.groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times")).withColumnRenamed("doc_id", "__id")
+    joined = docs.join(times, docs[id_col].cast(T.LongType()).eqNullSafe(times["__id"]))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+
+
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(sizes_and_weights(table(spark, sf_dir, "documents"))).drop("source")
 

@@ -58,27 +58,37 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
     return (held.lower() if lower else held).split()
 
 
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+
+
 class WordwiseEncoder:
     """Ids of whole texts as the tokenizers library gives them, with a bounded memo of pieces.
 
-    Both public vocabularies never merge across white space, so a text of ordinary characters is cut into
-    pieces at spaces and line feeds, each new piece is encoded by the library, and the ids are joined.
-    Texts with other white space or control characters go to the library whole. Plain pieces (Latin letters,
-    perhaps a comma or full stop) are encoded many at a time with a digit between them, which always stands
-    alone in both vocabularies and so marks where each piece ends.
-    ``white_space_dropped``: the vocabulary ignores white space; otherwise a space belongs to the next word.
+    Both public vocabularies first cut a text by a published pattern and never merge across its pieces. For
+    texts of ASCII and Latin-1 letters the same pattern is applied here, each new piece is encoded once by the
+    library, and the ids are joined. Texts with other letters are cut at spaces and line feeds only; texts with
+    other white space or control characters go to the library whole. Runs of letters are encoded many at a time
+    with a digit between them, which always stands alone and so marks where each ends.
+    ``white_space_dropped``: the vocabulary lower-cases and ignores white space; otherwise a space belongs to
+    the next word.
     """
 
+    SIMPLE = re.compile(f"[^\\n -~{LETTERS[6:]}]|<\\|")
     ODD = re.compile("[^\\S \\n]|[\\x00-\\x08\\x0e-\\x1f\\x7f-\\x9f\\u200b-\\u200f\\u2028-\\u202f\\u2060\\ufeff]|<\\|")
-    PIECE = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
-    PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
+    ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+    FINE_WORD = re.compile(f"{ENDINGS}|[a-zß-öø-ÿ]+|[0-9]|[^ \\na-zß-öø-ÿ0-9]+")
+    FINE_BYTE = re.compile(f"{ENDINGS}| ?[{LETTERS}]+| ?[0-9]+| ?[^ \\n{LETTERS}0-9]+|[ \\n]+(?![^ \\n])|[ \\n]+")
+    COARSE_BYTE = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
+    PLAIN = re.compile(f" ?[{LETTERS}]+")
 
-    def __init__(self, path: str, white_space_dropped: bool, most: int = 1_000_000):
+    def __init__(self, path: str, white_space_dropped: bool, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.cut = str.split if white_space_dropped else self.PIECE.findall
+        self.lower = white_space_dropped
+        self.fine = (self.FINE_WORD if white_space_dropped else self.FINE_BYTE).findall
+        self.coarse = str.split if white_space_dropped else self.COARSE_BYTE.findall
         self.between = " 0 " if white_space_dropped else "0"
         self.mark = self.library.encode("0", add_special_tokens=False).ids[0]
         self.most, self.memo = most, {}
@@ -86,16 +96,18 @@ class WordwiseEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
+    def cut(self, text: str) -> list[str] | None:
+        """Pieces, or None for a text that isn't cut."""
+        if not self.SIMPLE.search(text):
+            return self.fine(text.lower() if self.lower else text)
+        return None if self.ODD.search(text) else self.coarse(text)
+
+    def learn(self, pieces: set[str]) -> None:
         memo = self.memo
-        missing = {p for p in pieces if p not in memo}
-        if len(memo) + len(missing) > self.most:
-            memo.clear()
-            missing = set(pieces)
-        plain = [p for p in missing if self.PLAIN.fullmatch(p)]
-        for i in range(0, len(plain), 64):
-            group = plain[i : i + 64]
-            ids = np.array(self.library.encode(self.between.join([*group, ""]), add_special_tokens=False).ids, "<u4")
+        plain = [p for p in pieces if self.PLAIN.fullmatch(p)]
+        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        for group, found in zip(groups, self.library.encode_batch_fast([self.between.join([*g, ""]) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(group):
                 memo.update((p, self.whole(p)) for p in group)
@@ -104,33 +116,21 @@ class WordwiseEncoder:
             for p, end in zip(group, (ends * 4).tolist()):
                 memo[p] = held[at:end]
                 at = end + 4
-        for p in missing.difference(plain):
+        for p in pieces.difference(plain):
             memo[p] = self.whole(p)
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; null and empty texts have none."""
-        if not text:
-            return b""
-        if self.ODD.search(text):
-            return self.whole(text)
-        pieces = self.cut(text)
-        try:
-            return b"".join([self.memo[p] for p in pieces])
-        except KeyError:
-            self.learn(pieces)
-            return b"".join([self.memo[p] for p in pieces])
-
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Learns the pieces of all texts first, so that new ones are encoded in full groups."""
-        cuts = [None if not t else t if self.ODD.search(t) else self.cut(t) for t in texts]
+        """The ids of each text as little-endian unsigned 32-bit integers; null and empty texts have none."""
+        cuts = [self.cut(t) if t else [] for t in texts]
         memo = self.memo
-        fresh = {p for c in cuts if c.__class__ is list for p in c if p not in memo}
+        fresh = {p for c in cuts if c for p in c if p not in memo}
         if fresh:
             if len(memo) + len(fresh) > self.most:
                 memo.clear()
-                fresh = {p for c in cuts if c.__class__ is list for p in c}
-            self.learn(list(fresh))
-        return [b"" if c is None else b"".join([memo[p] for p in c]) if c.__class__ is list else self.whole(c) for c in cuts]
+                fresh = {p for c in cuts if c for p in c}
+            self.learn(fresh)
+        get = memo.__getitem__
+        return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cuts)]
 
 
 _ENCODERS: dict[tuple, WordwiseEncoder] = {}

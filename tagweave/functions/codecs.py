@@ -1,0 +1,142 @@
+"""Functions on bytes that expressions can't state: entity replacement, URL decoding to any bytes, float text.
+
+Each has a plain Python form and a vectorised Column form.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from ..shipping import ship
+from .text import col
+
+REFERENCE = re.compile(rb"&(?:#x([0-9a-fA-F]+)|#([0-9]+)|([0-9a-zA-Z]{1,31}));")
+WHITE = re.compile(rb"[ \t\n\f\r]+")
+
+
+def replace_entities(data: bytes, entities: dict[str, bytes], reverse: dict[bytes, bytes]) -> bytes:
+    """Character references as bytes where that is safe.
+
+    Named ones come from ``entities``; hexadecimal ones below 128 become the byte, those below 10000 decimal
+    references; decimal ones below 128 become the byte. A single byte that ``reverse`` knows is written as its
+    reference there. An ampersand that could start another reference stays escaped.
+    """
+    out, done = [], 0
+    for m in REFERENCE.finditer(data):
+        if m.start() < done or m.start() + 3 >= len(data):
+            continue
+        hexadecimal, decimal, name = m.groups()
+        if name is not None:
+            new = entities.get(name.decode())
+        elif hexadecimal is not None:
+            code = int(hexadecimal, 16)
+            new = None if code >= 10_000 else bytes([code]) if code < 128 else b"&#%d;" % code
+        else:
+            new = bytes([int(decimal)]) if len(decimal.lstrip(b"0")) < 4 and int(decimal) < 128 else None
+        if new is None:
+            continue
+        if len(new) == 1 and new in reverse:
+            new = reverse[new]
+        elif new == b"&" and re.match(rb"[0-9a-zA-Z#]", data[m.end() : m.end() + 1]):
+            continue
+        out += [data[done : m.start()], new]
+        done = m.end()
+    return b"".join(out) + data[done:]
+
+
+def collapse(data: bytes) -> bytes:
+    return WHITE.sub(lambda m: b"\n" if b"\n" in m[0] or b"\r" in m[0] else b" ", data)
+
+
+def collapse_and_replace(data: bytes, entities: dict[str, bytes], reverse: dict[bytes, bytes]) -> bytes:
+    """White space is collapsed before references are replaced, so white space from references stays."""
+    return replace_entities(collapse(data), entities, reverse)
+
+
+def decode_url_bytes(data: bytes) -> bytes:
+    return re.sub(rb"%([0-9a-fA-F]{2})", lambda m: bytes([int(m[1], 16)]), data.replace(b"+", b" "))
+
+
+def append_float(f: float | None, precision: int) -> str | None:
+    """Short text of a number cut (not rounded) to ``precision`` + 1 digits: no leading zero, no trailing zeros,
+    and an exponent where that is shorter. NaN and infinities give an empty text."""
+    if f is None:
+        return None
+    if math.isnan(f) or math.isinf(f):
+        return ""
+    sign, f = ("-", -f) if f < 0 else ("", f)
+    if precision < 0 or precision > 17:
+        precision = 17
+    if f == 0:
+        return "0"
+    keep = precision - math.floor(math.log10(f))  # decimals kept; negative: digits lost before the point
+    scaled = int(f * 10.0**keep) if keep <= 300 else int(f * 1e300 * 10.0 ** (keep - 300))
+    if not scaled:
+        return "0"
+    digits = str(scaled)
+    top = len(digits) - keep - 1  # power of ten of the first digit
+    return sign + short_text(digits.rstrip("0"), top, keep < 0)
+
+
+def short_text(digits: str, top: int, cut: bool) -> str:
+    """Digits without trailing zeros, of which the first stands for 10^top. ``cut``: digits before the point
+    are missing, so the mantissa keeps one digit before its point."""
+    n = len(digits)
+    mantissa = digits[0] + ("." + digits[1:] if n > 1 else "")
+    if top < -3:
+        last = top - n + 1
+        return f"{digits}e{last}" if len(str(last)) == len(str(top)) else f"{mantissa}e{top}"
+    if top < 0:
+        return "." + "0" * (-top - 1) + digits
+    zeros = top - n + 1
+    if cut and top >= 3:
+        return f"{mantissa}e{top}"
+    if zeros >= 3:
+        return f"{digits}e{zeros}"
+    return digits + "0" * zeros if zeros >= 0 else f"{digits[: top + 1]}.{digits[top + 1 :]}"
+
+
+def text_column(function, c: Column | str, *arguments) -> Column:
+    """A vectorised column of a bytes -> bytes function over texts."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda x: None if x is None else function(x.encode(), *arguments).decode("utf-8", "replace"))
+
+    return run(col(c))
+
+
+def replace_entities_column(c: Column | str, entities: dict[str, bytes], reverse: dict[bytes, bytes] | None = None) -> Column:
+    return text_column(replace_entities, c, entities, reverse or {})
+
+
+def collapse_and_replace_column(c: Column | str, entities: dict[str, bytes], reverse: dict[bytes, bytes] | None = None) -> Column:
+    return text_column(collapse_and_replace, c, entities, reverse or {})
+
+
+def decode_url_binary(c: Column | str) -> Column:
+    ship(SparkSession.active())
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else decode_url_bytes(x.encode()))
+
+    return run(col(c))
+
+
+def append_float_column(c: Column | str, precision: int) -> Column:
+    ship(SparkSession.active())
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: append_float(x, precision))
+
+    return run(col(c).cast("double"))

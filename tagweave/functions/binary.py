@@ -50,7 +50,7 @@ def read_uint(b: Column | str, offset: Column | int, width: int, little: bool =
 def read_int(b: Column | str, offset: Column | int, width: int, little: bool = False) -> Column:
     """Two's complement, also for widths of 3."""
     value = read_uint(b, offset, width, little).cast("decimal(21,0)")
-    half = F.lit(2 ** (8 * width - 1)).cast("decimal(21,0)")
+    half = F.lit(str(2 ** (8 * width - 1))).cast("decimal(21,0)")
     return F.when(value >= half, value - half - half).otherwise(value).cast(SIGNED[width])
 
 
@@ -81,5 +81,5 @@ def from_bits(b: Column | str) -> Column:
     """Bytes of an ARRAY<BOOLEAN>; the last byte is filled with zeros."""
     text = F.array_join(F.transform(col(b), lambda x: F.when(x, "1").otherwise("0")), "")
     full = F.rpad(text, (F.ceil(F.length(text) / 8) * 8).cast("int"), F.lit("0"))
-    byte = lambda i: F.lpad(F.conv(F.substring(full, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")
-    return F.when(F.size(col(b)) == 0, F.lit(b"")).otherwise(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), (F.length(full) / 8).cast("int") - 1), byte), "")))
+    eights = F.filter(F.split(full, r"(?<=\G.{8})"), lambda x: x != "")
+    return F.unhex(F.array_join(F.transform(eights, lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")), ""))

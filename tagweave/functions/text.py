@@ -82,17 +82,17 @@ def decode_url(c: Column | str) -> Column:
     return F.try_url_decode(F.regexp_replace(col(c), r"%(?![0-9A-Fa-f]{2})", "%25"))
 
 
-#: Characters that stay as they are in a URL, and in the data of a data URI.
-URL_PLAIN = r"[A-Za-z0-9!'()*\-._~]"
-DATA_URI_PLAIN = r"[A-Za-z0-9!$'()*+,\-./:;=?@_~]"
+#: Characters besides letters, digits and * - . _ that stay as they are in a URL, and in the data of a data URI.
+URL_PLAIN = "!'()~"
+DATA_URI_PLAIN = "!$'()+,/:;=?@~"
 
 
 def encode_url(c: Column | str, plain: str = URL_PLAIN) -> Column:
-    """Bytes outside the class ``plain`` become %XX."""
-    data = F.encode(col(c), "utf-8")
-    byte = lambda i: F.substring(data, i, F.lit(1))
-    one = lambda i: F.when(F.decode(byte(i), "iso-8859-1").rlike(plain), F.decode(byte(i), "iso-8859-1")).otherwise(F.concat(F.lit("%"), F.hex(byte(i))))
-    return F.when(F.octet_length(data) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.octet_length(data)), one), ""))
+    """Bytes other than letters, digits, * - . _ and those of ``plain`` (ASCII) become %XX."""
+    out = F.replace(F.url_encode(col(c)), F.lit("+"), F.lit("%20"))
+    for sign in plain:
+        out = F.replace(out, F.lit(f"%{ord(sign):02X}"), F.lit(sign))
+    return out
 
 
 def encode_data_uri(c: Column | str) -> Column:

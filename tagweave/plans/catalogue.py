@@ -4,17 +4,287 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import binary, codecs, numbers, text
+from ..operators import relations
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.html_tokens(pages(spark, sf_dir), "html", ["page_id"])
+
+
+def of_type(tokens: DataFrame, *kinds: str) -> DataFrame:
+    return tokens.where(F.col("token_type").isin(*kinds))
+
+
+def raw_text(spark: SparkSession, sf_dir: str, tag: str) -> DataFrame:
+    """Bodies of style or script elements, with the page and the token they come from."""
+    by_page = Window.partitionBy("page_id").orderBy("seq")
+    tagged = page_tokens(spark, sf_dir).withColumn("in_tag", F.last(F.when(F.col("token_type") == "StartTag", F.col("text")), True).over(by_page)).withColumn("before", F.lag("token_type").over(by_page))
+    return tagged.where((F.col("token_type") == "Text") & (F.col("in_tag") == tag) & (F.col("before") == "StartTagClose")).select("page_id", F.col("seq").alias("of_seq"), F.col("data").alias("body"))
+
+
+#: Pages with the bodies of their scripts emptied, so that patterns see no markup inside them.
+BLANKED = r"SELECT page_id, regexp_replace(html, '(<script[^>]*>).*?(</script)', '\1\2', 'gs') AS h FROM pages"
+
+
+@query(f"SELECT page_id, len(regexp_extract_all(h, '</[a-zA-Z]'))::BIGINT AS n_end_tags FROM ({BLANKED}) WHERE len(regexp_extract_all(h, '</[a-zA-Z]')) > 0")
+def html_end_tags(spark, sf_dir):
+    return of_type(page_tokens(spark, sf_dir), "EndTag").groupBy("page_id").agg(F.count("*").alias("n_end_tags"))
+
+
+@query(f"""SELECT lower(t) AS tag, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS t FROM ({BLANKED})) GROUP BY 1""")
+def html_start_tags_by_name(spark, sf_dir):
+    return of_type(page_tokens(spark, sf_dir), "StartTag").groupBy(F.col("text").alias("tag")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT 'EndTag' AS token_type, sum(len(regexp_extract_all(h, '</[a-zA-Z]')))::BIGINT AS n FROM ({BLANKED})
+UNION ALL SELECT 'StartTag', sum(len(regexp_extract_all(h, '<[a-zA-Z]')))::BIGINT FROM ({BLANKED})
+UNION ALL SELECT 'Comment', sum(len(regexp_extract_all(h, '<!--')))::BIGINT FROM ({BLANKED})
+UNION ALL SELECT 'Doctype', sum(len(regexp_extract_all(h, '<!DOCTYPE')))::BIGINT FROM ({BLANKED})""")
+def html_token_counts(spark, sf_dir):
+    return of_type(page_tokens(spark, sf_dir), "EndTag", "StartTag", "Comment", "Doctype").groupBy("token_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT page_id, trim(unnest(regexp_extract_all(h, 'href="([^"]*)"', 1))) AS href FROM ({BLANKED})""")
+def html_links(spark, sf_dir):
+    links = of_type(page_tokens(spark, sf_dir), "Attribute").where(F.col("text") == "href")
+    return links.select("page_id", F.trim(F.regexp_replace("attr_val", "^[\"']|[\"']$", "")).alias("href"))
+
+
+@query(f"""SELECT k AS attribute, count(*)::BIGINT AS n, count(DISTINCT v)::BIGINT AS n_values FROM (
+  SELECT unnest(regexp_extract_all(h, ' ([a-z]+)="[^"<>]*"', 1)) AS k, unnest(regexp_extract_all(h, ' [a-z]+="([^"<>]*)"', 1)) AS v FROM ({BLANKED})) GROUP BY 1""")
+def html_attr_values(spark, sf_dir):
+    attributes = of_type(page_tokens(spark, sf_dir), "Attribute").where(F.col("attr_val").isNotNull())
+    return attributes.groupBy(F.col("text").alias("attribute")).agg(F.count("*").alias("n"), F.countDistinct("attr_val").alias("n_values"))
+
+
+@query(r"SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title FROM pages")
+def html_titles(spark, sf_dir):
+    return raw_text(spark, sf_dir, "title").select("page_id", F.col("body").alias("title"))
+
+
+@query(f"""SELECT page_id, unnest(regexp_extract_all(h, '<!--(.*?)-->', 1)) AS comment FROM ({BLANKED})""")
+def html_comments(spark, sf_dir):
+    return of_type(page_tokens(spark, sf_dir), "Comment").select("page_id", F.col("text").alias("comment"))
+
+
+@query(f"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(h, '<(/?[a-z][a-z0-9]*)', 1)) AS tag FROM ({BLANKED}))
+SELECT page_id, ltrim(tag, '/') AS tag, sum(CASE WHEN tag LIKE '/%' THEN -1 ELSE 1 END)::BIGINT AS n_unclosed FROM t
+WHERE ltrim(tag, '/') NOT IN ('br', 'img', 'meta', 'hr', 'input', 'link') GROUP BY 1, 2 HAVING sum(CASE WHEN tag LIKE '/%' THEN -1 ELSE 1 END) <> 0""")
+def html_unclosed_tags(spark, sf_dir):
+    tags = of_type(page_tokens(spark, sf_dir), "StartTag", "EndTag").where(~F.col("text").isin("br", "img", "meta", "hr", "input", "link"))
+    net = F.sum(F.when(F.col("token_type") == "StartTag", 1).otherwise(-1))
+    return tags.groupBy("page_id", F.col("text").alias("tag")).agg(net.alias("n_unclosed")).where("n_unclosed <> 0")
+
+
+@query()
+def html_tag_depth(spark, sf_dir):
+    """The deepest nesting of every page: a running sum over its tags, void elements left out."""
+    by_page = Window.partitionBy("page_id").orderBy("seq")
+    step = F.when(F.col("token_type") == "StartTag", 1).otherwise(-1)
+    tags = of_type(page_tokens(spark, sf_dir), "StartTag", "EndTag").where(~F.col("text").isin("br", "img", "meta", "hr", "input", "link"))
+    return tags.withColumn("depth", F.sum(step).over(by_page)).groupBy("page_id").agg(F.max("depth").alias("depth"))
+
+
+@query(f"SELECT page_id, sum(length(x))::BIGINT AS n_text FROM (SELECT page_id, unnest(string_split_regex(regexp_replace(h, '<(style|title)>.*?</(style|title)>', '', 'gs'), '<[^>]*(>|$)')) AS x FROM ({BLANKED})) GROUP BY 1")
+def html_text_len(spark, sf_dir):
+    tokens = page_tokens(spark, sf_dir).withColumn("in_tag", F.last(F.when(F.col("token_type") == "StartTag", F.col("text")), True).over(Window.partitionBy("page_id").orderBy("seq")))
+    inside = of_type(tokens, "Text").where(~F.col("in_tag").isin("style", "title", "script"))
+    per_page = inside.groupBy("page_id").agg(F.sum(F.char_length("text")).alias("n"))
+    return pages(spark, sf_dir).select("page_id").join(per_page, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n_text"))
+
+
+@query("SELECT token_type, n_bytes::BIGINT AS n_bytes FROM (SELECT 'all' AS token_type, sum(strlen(html)) AS n_bytes FROM pages)")
+def html_bytes_covered(spark, sf_dir):
+    """The tokens of a page follow each other without a gap (up to white space before the end of a tag)."""
+    tokens = page_tokens(spark, sf_dir)
+    sized = tokens.groupBy("page_id").agg(F.max("end").alias("last"))
+    return sized.join(pages(spark, sf_dir), "page_id").select(F.lit("all").alias("token_type"), F.octet_length("html").alias("n")).groupBy("token_type").agg(F.sum("n").alias("n_bytes"))
+
+
+@query("SELECT page_id, 'margin' AS property, '0' AS value FROM pages")
+def css_declarations_from_pages(spark, sf_dir):
+    grammar = relations.css_grammar(raw_text(spark, sf_dir, "style"), "body", ["page_id"])
+    value = F.array_join(F.transform("values", lambda v: v["data"]), "")
+    return grammar.where("grammar = 'Declaration'").select("page_id", F.col("data").alias("property"), value.alias("value"))
+
+
+@query("SELECT unnest(['BeginRuleset', 'Declaration', 'EndRuleset']) AS grammar, count(*)::BIGINT AS n FROM pages GROUP BY 1")
+def css_grammar_counts(spark, sf_dir):
+    return relations.css_grammar(raw_text(spark, sf_dir, "style"), "body", ["page_id"]).groupBy("grammar").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT t AS token_type, count(*)::BIGINT AS n FROM (SELECT unnest(['Ident', 'LeftBrace', 'Ident', 'Colon', 'Number', 'RightBrace']) AS t FROM pages) GROUP BY 1""")
+def css_token_counts(spark, sf_dir):
+    return relations.css_tokens(raw_text(spark, sf_dir, "style"), "body", ["page_id"]).groupBy("token_type").agg(F.count("*").alias("n"))
+
+
+def prop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.json_events(table(spark, sf_dir, "events"), "props", ["event_id"])
+
+
+@query("""SELECT g AS grammar, sum(n)::BIGINT AS n FROM (
+  SELECT unnest(['StartObject', 'EndObject', 'String', 'Number']) AS g, unnest([1, 1, len(json_keys(props)), len(json_keys(props))]) AS n FROM events WHERE props IS NOT NULL) GROUP BY 1""")
+def json_events_from_props(spark, sf_dir):
+    return prop_events(spark, sf_dir).groupBy("grammar").agg(F.count("*").alias("n"))
+
+
+@query("SELECT k AS name, count(*)::BIGINT AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY 1")
+def json_keys(spark, sf_dir):
+    keys = prop_events(spark, sf_dir).where("grammar = 'String' AND state = 'ObjectValue'")
+    return keys.groupBy(F.regexp_replace("data", '^"|"$', "").alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def json_number_values(spark, sf_dir):
+    named = prop_events(spark, sf_dir).withColumn("name", F.lag("data").over(Window.partitionBy("event_id").orderBy("seq")))
+    return named.where("grammar = 'Number' AND name = '\"k\"'").select("event_id", F.col("data").cast("bigint").alias("k"))
+
+
+def wrapped_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.concat(F.lit("<?xml version='1.0'?><nation key='"), "n_nationkey", F.lit("'>\n<name>"), "n_name", F.lit("</name><![CDATA[<"), "n_regionkey", F.lit(">]]></nation>"))
+    return relations.xml_tokens(table(spark, sf_dir, "nation").select("n_nationkey", row.alias("xml")), "xml", ["n_nationkey"])
+
+
+@query("""SELECT t AS token_type, count(*)::BIGINT AS n FROM (SELECT unnest(['StartTagPI', 'Attribute', 'StartTagClosePI', 'StartTag', 'Attribute', 'StartTagClose', 'Text',
+  'StartTag', 'StartTagClose', 'Text', 'EndTag', 'CDATA', 'EndTag']) AS t FROM nation) GROUP BY 1""")
+def xml_token_counts(spark, sf_dir):
+    return wrapped_xml(spark, sf_dir).groupBy("token_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey, '<' || n_regionkey || '>' AS cdata FROM nation")
+def xml_cdata(spark, sf_dir):
+    return of_type(wrapped_xml(spark, sf_dir), "CDATA").select("n_nationkey", F.col("text").alias("cdata"))
+
+
+# Scalar functions over table columns.
+
+def scalar(name: str, source: str, key: str, column: Callable[[], Column], sql: str) -> None:
+    """A query of one function: key and ``out``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, source).select(key, column().alias("out"))
+
+    run.__name__ = name
+    query(f"SELECT {key}, {sql} AS out FROM {source}")(run)
+
+
+C = F.col
+scalar("collapse_ws", "documents", "doc_id", lambda: text.collapse_whitespace(F.concat(F.lit(" \t"), C("text"), F.lit(" \n "))), r"regexp_replace(regexp_replace(' ' || chr(9) || text || ' ' || chr(10) || ' ', '[ \t\f]*[\r\n][ \t\f\r\n]*', chr(10), 'g'), '[ \t\f]+', ' ', 'g')")
+scalar("trim_ws", "documents", "doc_id", lambda: text.trim_whitespace(F.concat(F.lit(" \t\n"), C("text"), F.lit("\r\n "))), r"regexp_replace(chr(9) || text || ' ', '^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g')")
+scalar("ascii_lower", "documents", "doc_id", lambda: text.ascii_lower("text"), f"translate(text, '{text.UPPER}', '{text.LOWER}')")
+scalar("equal_fold", "orders", "o_orderkey", lambda: text.equal_fold("o_orderpriority", "1-urgent"), "lower(o_orderpriority) = '1-urgent'")
+scalar("number_len", "orders", "o_orderkey", lambda: text.number_len(F.concat(C("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("e3px"))).cast("bigint"), "length(o_totalprice::DECIMAL(18,2)::VARCHAR) + 2")
+scalar("dimension", "part", "p_partkey", lambda: F.concat_ws(",", text.dimension(F.concat(C("p_size"), F.lit("px solid")))["num"], text.dimension(F.concat(C("p_size"), F.lit("px solid")))["unit"]), "length(p_size::VARCHAR) || ',2'")
+scalar("is_all_whitespace", "documents", "doc_id", lambda: text.is_all_whitespace(F.regexp_replace("text", "[^ \n]", "")), "true")
+scalar("encode_url", "pages", "page_id", lambda: text.encode_url("url"), "replace(replace(replace(replace(replace(url_encode(url), '+', '%20'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')')")
+scalar("decode_url", "pages", "page_id", lambda: text.decode_url(F.concat(text.encode_url("url"), F.lit("+%ii"))), "url || ' %ii'")
+scalar("url_round_trip", "documents", "doc_id", lambda: text.decode_url(text.encode_url("text")) == C("text"), "true")
+scalar("encode_data_uri", "part", "p_partkey", lambda: text.encode_data_uri(F.concat(F.lit('<p a="'), "p_name", F.lit('">#&'))), """'%3Cp%20a=%22' || replace(p_name, ' ', '%20') || '%22%3E%23%26'""")
+scalar("mediatype", "part", "p_partkey", lambda: text.mediatype(F.concat(F.lit(" text/plain ; charset = utf-8; size="), "p_size"))["params"]["size"], "p_size::VARCHAR")
+scalar("mediatype_mime", "part", "p_partkey", lambda: text.mediatype(F.concat(F.lit(" text/x"), "p_size", F.lit(" ; a=b")))["mimetype"], "'text/x' || p_size")
+scalar("data_uri", "part", "p_partkey", lambda: text.data_uri(F.concat(F.lit("data:text/html;charset=utf-8;base64,"), F.base64(F.encode("p_name", "utf-8"))))["data"].cast("string"), "p_name")
+scalar("data_uri_type", "part", "p_partkey", lambda: text.data_uri(F.concat(F.lit("data:text/html; charset=utf-8 ;base64,"), F.base64(F.encode("p_name", "utf-8"))))["mediatype"], "'text/html;charset=utf-8'")
+scalar("quote_entity", "part", "p_partkey", lambda: text.quote_entity(F.concat(F.lit("&#"), F.lpad(F.when(C("p_size") % 2 == 0, "34").otherwise("39"), 5, "0"), F.lit(";x")))["quote"], """CASE WHEN p_size % 2 = 0 THEN '"' ELSE '''' END""")
+scalar("append_escape", "part", "p_partkey", lambda: text.append_escape(F.concat(F.lit('"'), "p_name", F.lit('\\"')), '"'), r"""'\"' || p_name || '\\\"'""")
+scalar("html_escape_attr", "documents", "doc_id", lambda: text.html_escape_attr(F.concat(F.lit("'"), "text", F.lit('"a"'))), """CASE WHEN length(x) - length(replace(x, '''', '')) > length(x) - length(replace(x, '"', '')) OR (length(x) - length(replace(x, '''', '')) = length(x) - length(replace(x, '"', ''))) THEN '"' || replace(x, '"', '&#34;') || '"' ELSE '''' || replace(x, '''', '&#39;') || '''' END""")
+ORACLE_SQL["html_escape_attr"] = ORACLE_SQL["html_escape_attr"].replace("FROM documents", "FROM (SELECT doc_id, '''' || text || '\"a\"' AS x FROM documents)")
+scalar("xml_escape_attr", "part", "p_partkey", lambda: text.xml_escape_attr(F.concat(F.lit('"'), "p_name")), """'''"' || p_name || ''''""")
+scalar("xml_escape_cdata", "part", "p_partkey", lambda: text.xml_escape_cdata(F.concat(F.lit("<&"), "p_name"))["text"], "'&lt;&amp;' || p_name")
+scalar("css_ident", "part", "p_partkey", lambda: text.is_css_ident("p_brand"), "regexp_full_match(p_brand, '-?[a-zA-Z_][a-zA-Z0-9_-]*')")
+scalar("css_url_unquoted", "pages", "page_id", lambda: text.is_css_url_unquoted("url"), r"""NOT regexp_matches(url, '["''()\\ ]')""")
+scalar("js_identifier_name", "part", "p_partkey", lambda: text.is_js_identifier_name("p_brand"), "regexp_full_match(p_brand, '[A-Za-z$_][A-Za-z0-9$_]*')")
+scalar("js_decimal", "part", "p_partkey", lambda: text.is_js_decimal(C("p_size").cast("string")), "true")
+scalar("indent", "documents", "doc_id", lambda: text.indent("text", 4), "replace(text, chr(10), chr(10) || '    ')")
+scalar("fits", "part", "p_partkey", lambda: text.fits("p_name", 12), "CASE WHEN strlen(p_name) <= 12 THEN p_name END")
+scalar("parse_int", "orders", "o_orderkey", lambda: numbers.parse_int(F.concat(F.lit("-"), "o_orderkey", F.lit("x")))["value"], "-o_orderkey")
+scalar("parse_uint", "orders", "o_orderkey", lambda: numbers.parse_uint(F.concat("o_orderkey", F.lit("x")))["value"].cast("bigint"), "o_orderkey")
+scalar("parse_float", "lineitem", "l_orderkey", lambda: numbers.parse_float(F.concat(C("l_quantity").cast("int"), F.lit(".5e1px")))["value"], "(l_quantity + 0.5) * 10")
+scalar("parse_decimal", "lineitem", "l_orderkey", lambda: numbers.parse_decimal(F.concat(C("l_quantity").cast("int"), F.lit(".5e1")))["value"], "l_quantity + 0.5")
+scalar("parse_number", "orders", "o_orderkey", lambda: numbers.parse_number(numbers.append_number(F.round(C("o_totalprice") * 100).cast("bigint"), 2))["num"], "round(o_totalprice * 100)::BIGINT")
+scalar("append_int", "orders", "o_orderkey", lambda: numbers.append_int("o_custkey", "c"), "'c' || o_custkey")
+scalar("len_int", "orders", "o_orderkey", lambda: numbers.len_int("o_custkey").cast("bigint"), "length(o_custkey::VARCHAR)")
+scalar("append_decimal", "lineitem", "l_orderkey", lambda: numbers.append_decimal("l_quantity", 2), "l_quantity::BIGINT::VARCHAR")
+scalar("append_number", "orders", "o_orderkey", lambda: numbers.append_number(F.round(C("o_totalprice") * 100).cast("bigint"), 2), "replace(replace(replace(format('{:,.2f}', round(o_totalprice * 100)::BIGINT / 100.0), ',', ';'), '.', ','), ';', '.')")
+scalar("append_float", "part", "p_partkey", lambda: codecs.append_float_column(C("p_size").cast("double") / 2, 6), "CASE WHEN p_size % 2 = 0 THEN (p_size // 2)::VARCHAR WHEN p_size < 2 THEN '.5' ELSE (p_size // 2) || '.5' END")
+scalar("hsl_to_rgb", "part", "p_partkey", lambda: F.round(numbers.hsl_to_rgb(F.lit(0.0), F.lit(0.0), C("p_size") / 100.0)["r"], 6), "round(p_size / 100.0, 6)")
+scalar("replace_entities", "pages", "page_id", lambda: codecs.replace_entities_column(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), {"copy": "©".encode(), "middot": "·".encode(), "quot": b'"'}), r"""replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"')""")
+scalar("decode_url_binary", "pages", "page_id", lambda: F.hex(codecs.decode_url_binary(F.concat(F.lit("%80"), "url"))), "'80' || hex(encode(url))")
+scalar("bin_read_u16", "events", "event_id", lambda: binary.read_uint(binary.write_int("event_id", 4), 2, 2).cast("bigint"), "event_id % 65536")
+scalar("bin_read_u32_little", "events", "event_id", lambda: binary.read_uint(binary.write_int("event_id", 4, True), 0, 4, True), "event_id")
+scalar("bin_round_trip", "events", "event_id", lambda: binary.read_int(binary.append(binary.write_int(-C("event_id"), 8), binary.write_string(F.lit("x"))), 0, 8), "-event_id")
+scalar("bitmap_bits", "events", "event_id", lambda: F.array_join(F.transform(binary.bits(binary.write_int("event_id", 2)), lambda b: F.when(b, "1").otherwise("0")), ""), "lpad(right(event_id::BIT::VARCHAR, 16), 16, '0')")
+scalar("bitmap_round_trip", "events", "event_id", lambda: F.hex(binary.from_bits(binary.bits(binary.write_int("event_id", 4)))), "lpad(printf('%X', event_id), 8, '0')")
+
+
+# Plain relational work on the relations.
+
+@query(f"""SELECT d.area, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag FROM ({BLANKED})) t
+JOIN (VALUES ('nav', 'furniture'), ('footer', 'furniture'), ('article', 'content'), ('p', 'content'), ('h1', 'content')) d(tag, area) USING (tag) GROUP BY 1""")
+def join_tag_dimension(spark, sf_dir):
+    areas = spark.createDataFrame([("nav", "furniture"), ("footer", "furniture"), ("article", "content"), ("p", "content"), ("h1", "content")], "tag string, area string")
+    tags = of_type(page_tokens(spark, sf_dir), "StartTag").select(F.col("text").alias("tag"))
+    return tags.join(F.broadcast(areas), "tag").groupBy("area").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag FROM ({BLANKED}))
+SELECT page_id FROM pages WHERE page_id NOT IN (SELECT page_id FROM t WHERE tag = 'br')""")
+def anti_join_pages_without_br(spark, sf_dir):
+    with_br = of_type(page_tokens(spark, sf_dir), "StartTag").where("text = 'br'").select("page_id").distinct()
+    return pages(spark, sf_dir).select("page_id").join(with_br, "page_id", "left_anti")
+
+
+@query(f"""WITH t AS (SELECT unnest(regexp_extract_all(h, '<(/?[a-z][a-z0-9]*)', 1)) AS x FROM ({BLANKED})),
+u AS (SELECT CASE WHEN x LIKE '/%' THEN 'EndTag' ELSE 'StartTag' END AS token_type, ltrim(x, '/') AS tag FROM t)
+SELECT token_type, tag, count(*)::BIGINT AS n FROM u GROUP BY ROLLUP (token_type, tag)""")
+def rollup_tags(spark, sf_dir):
+    return of_type(page_tokens(spark, sf_dir), "StartTag", "EndTag").rollup("token_type", F.col("text").alias("tag")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT tag, n FROM (SELECT tag, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag FROM ({BLANKED})) GROUP BY 1) ORDER BY n DESC, tag LIMIT 5""")
+def top_tags(spark, sf_dir):
+    return html_start_tags_by_name(spark, sf_dir).orderBy(F.desc("n"), "tag").limit(5)
+
+
+@query(f"""SELECT DISTINCT tag FROM (SELECT unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag FROM ({BLANKED}))
+EXCEPT SELECT DISTINCT tag FROM (SELECT unnest(regexp_extract_all(h, '</([a-z][a-z0-9]*)', 1)) AS tag FROM ({BLANKED}))""")
+def tags_never_closed(spark, sf_dir):
+    tokens = page_tokens(spark, sf_dir)
+    return of_type(tokens, "StartTag").select(F.col("text").alias("tag")).subtract(of_type(tokens, "EndTag").select(F.col("text").alias("tag")))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*)::BIGINT AS n, sum((json_extract(props, '$.k'))::BIGINT)::BIGINT AS total FROM events GROUP BY 1, 2")
+def events_per_hour(spark, sf_dir):
+    values = json_number_values(spark, sf_dir)
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type").join(values, "event_id", "left")
+    return events.groupBy(F.window("ts", "1 hour")["start"].alias("hour"), "event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").groupBy(F.parse_url("url", F.lit("HOST")).alias("host")).agg(F.count("*").alias("n_pages"))
+    """End tags of every page outside raw text."""
+    return html_end_tags(spark, sf_dir)

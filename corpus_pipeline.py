@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    return simhash.keep_one(docs, shingle=5)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), that with the smallest id."""
+    return simhash.keep_one(docs, shingle=5, radius=4, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ m(i) of radius+1 bits; table v keeps the positions whose m(i) has an odd product
 most ``radius`` differing positions never span the whole space, so some v is orthogonal to all of them and
 its table keeps none of these positions: every pair within the radius meets in a bucket of some table.
 
+For texts that share four fifths of their shingles, masks of the same kind are laid over minimum-hash signatures
+(``similar``); op3's contract takes the fingerprints alone, the pipeline's stage both.
+
 Components are found without emitting the pairs of a bucket: (1) equal fingerprints become one row; (2) every
 member of a bucket is compared with two hubs of the bucket; (3) the links are contracted to components;
 (4) only buckets that still hold several components are compared further, and there only members outside the
@@ -90,30 +93,41 @@ def components(edges: DataFrame) -> DataFrame:
         e = durable(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def link(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(fp, root): one row for each different fingerprint; root is the smallest fingerprint-id of the component.
+def grouped(items: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(item, root) of every item of a table (item, keys): items are linked if they meet under a key (keys are an
+    array with one for each table) and ``near`` keeps their pair.
 
-    ``fps`` has the columns doc_id and fp and should be a stored table, as it is read several times.
+    ``near`` takes pairs (a, b) of different items and returns those that count. The table is read several
+    times and should be stored.
     """
-    reps = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "fps")
-    tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("t", "key")
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-    members = reps.select("fp", tables)
-    order = F.struct(F.xxhash64("fp").alias("h"), "fp")
-    hubs = durable(members.groupBy("t", "key").agg(F.min(order)["fp"].alias("hub"), F.max(order)["fp"].alias("hub2")).where("hub != hub2"), "hubs")
-    met = members.join(hubs, ["t", "key"])
-    edges = met.select("fp", F.explode(F.array("hub", "hub2")).alias("other")).where(near("fp", "other")).select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    first = durable(components(edges), "roots")
-
-    labelled = durable(reps.join(first.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "labels")
-    members = labelled.select("fp", "root", tables)
+    members = items.select("item", F.posexplode("keys").alias("t", "key"))
+    order = F.struct(F.xxhash64("item").alias("h"), "item")
+    hubs = durable(members.groupBy("t", "key").agg(F.min(order)["item"].alias("hub"), F.max(order)["item"].alias("hub2")).where("hub != hub2"), "hubs")
+    met = members.join(hubs, ["t", "key"]).select("item", F.explode(F.array("hub", "hub2")).alias("other")).where("item != other")
+    first = durable(components(near(met.select(F.col("item").alias("a"), F.col("other").alias("b")))), "roots")
+
+    labelled = durable(items.join(first.select(F.col("node").alias("item"), "root"), "item", "left").select("item", "keys", F.coalesce("root", "item").alias("root")), "labels")
+    members = labelled.select("item", "root", F.posexplode("keys").alias("t", "key"))
     sizes = members.groupBy("t", "key", "root").agg(F.count("*").alias("n"))
     mixed = durable(sizes.groupBy("t", "key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"), "mixed")
     inside = durable(members.join(mixed, ["t", "key"]), "inside")
-    outer = inside.where("root != main").select("t", "key", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    more = inside.join(outer, ["t", "key"]).where(F.col("root") != F.col("root2")).where(near("fp", "fp2")).select(F.col("root").alias("a"), F.col("root2").alias("b"))
+    outer = inside.where("root != main").select("t", "key", F.col("item").alias("b"), F.col("root").alias("root_b"))
+    across = inside.join(outer, ["t", "key"]).where("root != root_b").select(F.col("item").alias("a"), "b")
+    root_of = lambda side: inside.select(F.col("item").alias(side), F.col("root").alias("root_" + side)).distinct()
+    more = near(across).join(root_of("a"), "a").join(root_of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     second = components(more)
-    return labelled.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+    return labelled.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("item", F.coalesce("top", "root").alias("root"))
+
+
+def link(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, root): one row for each different fingerprint; root names its component.
+
+    ``fps`` has the column fp and should be a stored table.
+    """
+    keys = F.array(*[F.col("item").bitwiseAND(F.lit(m)) for m in masks(radius)])
+    items = durable(fps.select(F.col("fp").alias("item")).distinct(), "fps").withColumn("keys", keys)
+    near = lambda pairs: pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    return grouped(items, near).select(F.col("item").alias("fp"), "root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,14 +146,99 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that represent their component: the row of its smallest doc_id, all columns kept.
+#: Positions of a signature go to masks by the extended Hamming code of length 8: 14 masks keep 4 positions each
+#: and leave out the other 4, one keeps all 8. Any 3 positions are left out by some mask.
+CODE = [[((m >> 3 & v >> 3) ^ (m >> 2 & v >> 2) ^ (m >> 1 & v >> 1) ^ (m & v)) & 1 for m in range(8, 16)] for v in range(1, 16)]
+GROUPS, SKETCH = 3, 256
+MIX = np.random.default_rng(7).integers(1, 1 << 63, (2, 8 * GROUPS), np.uint64) | np.uint64(1)
+WEIGHTS = np.random.default_rng(8).integers(1, 1 << 63, (15, 8), np.uint64) | np.uint64(1)
+
+
+def mixed64(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(29)
+
+
+def signature(tokens: list[bytes], shingle: int) -> tuple[np.ndarray, bytes]:
+    """(keys of the tables, sketch) of the different shingles of a text. The sketch has the smallest hash of each
+    of 256 ranges, cut to 16 bits, zero for an empty range."""
+    text, n = b" ".join(tokens), len(tokens)
+    if n <= shingle:
+        hashes = np.array([xxhash.xxh64_intdigest(text)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1)
+        starts = np.concatenate(([0], ends[:-1]))[: n - shingle + 1].tolist()
+        digest = xxhash.xxh64_intdigest
+        hashes = np.array([digest(text[a:b]) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)
+    least = np.array([mixed64(hashes * a + b).min() for a, b in MIX.T], np.uint64).reshape(GROUPS, 8)
+    keys = np.concatenate([((least[g] * WEIGHTS * np.array(CODE, np.uint64)).sum(axis=1, dtype=np.uint64) << np.uint64(2)) + np.uint64(g) for g in range(GROUPS)])
+    ordered = np.sort(hashes)
+    ranges = (ordered >> np.uint64(56)).astype(np.int64)
+    first = np.concatenate(([True], ranges[1:] != ranges[:-1]))
+    sketch = np.zeros(SKETCH, "<u2")
+    sketch[ranges[first]] = (mixed64(ordered[first]) >> np.uint64(48)).astype("<u2") | np.uint16(1)
+    return keys.view(np.int64), sketch.tobytes()
+
+
+def alike(a: bytes, b: bytes) -> float:
+    """Estimated resemblance of two sketches."""
+    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+    used = (x > 0) | (y > 0)
+    return float((x == y)[used].mean()) if used.any() else 1.0
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.04, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, group_id) of rows with an id: groups of texts that resemble each other.
+
+    SimHash bits tell texts apart that share nine tenths of their shingles, but not reliably those that share
+    four fifths: these differ in about ten of 64 bits. So the covering masks are laid over the positions of
+    minimum-hash signatures as well: three signatures of eight positions, fifteen masks each, so that a pair that
+    differs in at most three positions of a signature is sure to meet. A pair is kept if the sketches' estimate
+    is at least ``similarity - slack`` (the estimate's deviation is about 0.025).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(0, batch.num_rows, 256):
+                for t in batch.column(1).slice(i, 256).to_pylist():
+                    w = words(t, lower=True)
+                    keys, sketch = signature(w, shingle)
+                    rows.append((xxhash.xxh128_digest(b" ".join(w)), keys.tolist(), sketch))
+            cols = [*zip(*rows)] if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.binary())], names=["doc_id", "same", "keys", "sketch"])
+
+    inner = id_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
+    signed = durable(inner.mapInArrow(run, "doc_id long, same binary, keys array<long>, sketch binary"), "signatures")
+    items = durable(signed.groupBy("same").agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("r")).select("same", F.col("r.doc_id").alias("item"), "r.keys", "r.sketch"), "items")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        sketch = lambda side: items.select(F.col("item").alias(side), F.col("sketch").alias("sketch_" + side))
+        joined = pairs.distinct().join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sketch_a", "sketch_b")
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = [alike(x.as_py(), y.as_py()) >= similarity - slack for x, y in zip(batch.column(2), batch.column(3))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+        return joined.mapInArrow(kept, "a long, b long")
+
+    roots = grouped(items.select("item", "keys"), near)
+    by_text = durable(items.select("same", "item").join(roots, "item").select("same", F.col("root").alias("group_id")), "groups")
+    return signed.select("doc_id", "same").join(by_text, "same").select("doc_id", "group_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that represent their group: those of its smallest doc_id, all columns kept.
 
-    Of several rows with that id one stays; rows without an id can't be named by a component and stay.
+    Groups are components of both kinds of links: fingerprints within the radius, and texts at least as similar
+    as ``similarity``. Of several rows with one id one stays; rows without an id can't be named by a group and
+    stay.
     """
-    found = near_duplicates(docs, shingle, radius, id_col, text_col)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    bits = near_duplicates(docs.where(F.col(id_col).isNotNull()), shingle, radius, id_col, text_col).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    links = bits.union(similar(docs, shingle, similarity, id_col=id_col, text_col=text_col))
+    gone = components(links).where("node != root").select(F.col("node").alias("__gone")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))
 
 

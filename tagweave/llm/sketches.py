@@ -34,13 +34,17 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
-def resemblance(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated Jaccard similarity, 0 to 1; two empty sketches resemble each other fully."""
-    union = merge(a, b, k)
+def shared(a: Column, b: Column, union: Column) -> Column:
+    """Share of the bottom k of the union that both sketches have."""
     both = F.size(F.array_intersect(F.array_intersect(a, b), union))
     return F.when(F.size(union) == 0, 1.0).otherwise(both / F.size(union))
 
 
+def resemblance(a: Column, b: Column, k: int = K) -> Column:
+    """Estimated Jaccard similarity, 0 to 1; two empty sketches resemble each other fully."""
+    return shared(a, b, merge(a, b, k))
+
+
 def distinct_count(a: Column, k: int = K) -> Column:
     """Estimated number of different shingles; exact while the sketch isn't full."""
     spread = (F.element_at(a, -1).cast("double") + 2.0**63) / 2.0**64
@@ -107,8 +111,11 @@ def fingerprints(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col:
     following = F.coalesce("next_text", F.lit(""))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(following, F.lit(1), half))
     both = with_sketch(near.select("doc_id", "n_chars", "sketch", F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("next_sketch"), edited.alias("edited")), "edited", "edited_sketch", k)
-    a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
-    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), text_of(a).alias("fingerprint"), text_of(b).alias("edited_fingerprint"), resemblance(a, b, k).alias("near_edited"), resemblance(a, c, k).alias("near_next"), containment(a, b, k).alias("contained_in_edited"), distinct_count(a, k).alias("n_shingles"))
+    both = both.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    for name, other in (("edited", "edited_sketch"), ("next", "next_sketch")):  # each union once, in a step of its own
+        both = both.withColumn("union_" + name, merge(F.col("sketch"), F.col(other), k))
+    near = lambda name, other: shared(F.col("sketch"), F.col(other), F.col("union_" + name)).alias("near_" + name)
+    return both.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("sketch")).alias("fingerprint"), text_of(F.col("edited_sketch")).alias("edited_fingerprint"), near("edited", "edited_sketch"), near("next", "next_sketch"), distinct_count(F.col("sketch"), k).alias("n_shingles"))
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

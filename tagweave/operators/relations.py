@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..shipping import ship
-from . import css, html, json, xml
+from . import css, html, js, js_parse, js_text, json, xml
 
 ERROR = "STRUCT<message: STRING, line: INT, col: INT, context: STRING>"
 VALUES = "ARRAY<STRUCT<token_type: STRING, data: STRING>>"
@@ -25,6 +25,12 @@ CSS_TOKENS = "token_type STRING, data STRING, start INT, end INT"
 CSS_GRAMMAR = f"grammar STRING, token_type STRING, data STRING, values {VALUES}, end INT, error {ERROR}"
 JSON = f"grammar STRING, state STRING, data STRING, depth INT, start INT, end INT, error {ERROR}"
 
+JS_TOKENS = f"token_type STRING, token_code INT, data STRING, start INT, end INT, error {ERROR}"
+JS_NODES = "node_id INT, parent_id INT, field STRING, ordinal INT, kind STRING, op STRING, data STRING, depth INT, exit_id INT"
+JS_SCOPES = "scope_id INT, parent_id INT, func_id INT, what STRING, has_with BOOLEAN, n_for_decls INT, n_func_args INT, n_arg_uses INT"
+JS_VARS = "scope_id INT, ordinal INT, bound BOOLEAN, name STRING, decl STRING, uses INT, links INT"
+JS_PROGRAMS = f"sexpr STRING, n_nodes INT, n_scopes INT, error {ERROR}"
+
 FLUSH = 50_000  # rows of a batch sent back; bounds memory for long documents
 
 
@@ -112,3 +118,43 @@ def css_grammar(docs: DataFrame, content: str = "css", keys: list[str] | None =
 
 def json_events(docs: DataFrame, content: str = "json", keys: list[str] | None = None) -> DataFrame:
     return relation(docs, content, keys or [c for c in docs.columns if c != content], json.events, JSON)
+
+
+def js_tokens(docs: DataFrame, content: str = "js", keys: list[str] | None = None, regexp: bool = False) -> DataFrame:
+    """``regexp``: every / begins a regular expression (else none does; which one is right takes a parser)."""
+    return relation(docs, content, keys or [c for c in docs.columns if c != content], lambda b: js.tokens(b, regexp), JS_TOKENS)
+
+
+def parsed(rows: Callable, inline: bool) -> Callable[[bytes], Iterator[tuple]]:
+    def kernel(data: bytes) -> Iterator[tuple]:
+        parser, tree, wrong = js_parse.parse(data, inline)
+        yield from rows(parser, tree, wrong)
+
+    return kernel
+
+
+def js_nodes(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False) -> DataFrame:
+    """Syntax trees as adjacency rows; programs with an error have none. Descendants of a node are the ids after
+    it up to its exit_id."""
+    kernel = parsed(lambda p, tree, wrong: js_text.nodes(tree) if tree else (), inline)
+    return relation(docs, content, keys or [c for c in docs.columns if c != content], kernel, JS_NODES, numbered=False)
+
+
+def js_scopes(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False) -> DataFrame:
+    kernel = parsed(lambda p, tree, wrong: js_text.scopes(p)[0] if tree else (), inline)
+    return relation(docs, content, keys or [c for c in docs.columns if c != content], kernel, JS_SCOPES, numbered=False)
+
+
+def js_vars(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False) -> DataFrame:
+    """Variables of every scope: declared there (bound) or only used there."""
+    kernel = parsed(lambda p, tree, wrong: js_text.scopes(p)[1] if tree else (), inline)
+    return relation(docs, content, keys or [c for c in docs.columns if c != content], kernel, JS_VARS, numbered=False)
+
+
+def js_programs(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False) -> DataFrame:
+    """One row for each program: its symbolic expression or its error."""
+
+    def rows(p, tree, wrong):
+        yield (js_text.program(tree), sum(1 for _ in js_text.nodes(tree)), len(p.scopes), None) if tree else (None, None, None, wrong)
+
+    return relation(docs, content, keys or [c for c in docs.columns if c != content], parsed(rows, inline), JS_PROGRAMS, numbered=False)

@@ -144,6 +144,44 @@ def css_token_counts(spark, sf_dir):
     return relations.css_tokens(raw_text(spark, sf_dir, "style"), "body", ["page_id"]).groupBy("token_type").agg(F.count("*").alias("n"))
 
 
+#: Scripts of the pages as SQL sees them.
+SCRIPTS = r"SELECT page_id, regexp_extract(html, '<script>(.*?)</script>', 1, 's') AS body FROM pages"
+
+
+@query(f"SELECT page_id, regexp_extract(body, 'track\\(([0-9]+)\\)', 1) AS argument FROM ({SCRIPTS})".replace("\\\\", "\\"))
+def js_calls_from_pages(spark, sf_dir):
+    """Arguments of calls of track: call nodes joined to their callee and argument nodes."""
+    nodes = relations.js_nodes(raw_text(spark, sf_dir, "script"), "body", ["page_id"])
+    calls = nodes.where("kind = 'CallExpr'").select("page_id", F.col("node_id").alias("call"))
+    inner = nodes.select("page_id", F.col("parent_id").alias("call"), "field", "data")
+    callee = inner.where("field = 'x' AND data = 'track'").select("page_id", "call")
+    argument = inner.where("field = 'args'").select("page_id", "call", F.col("data").alias("argument"))
+    return calls.join(callee, ["page_id", "call"]).join(argument, ["page_id", "call"]).select("page_id", "argument")
+
+
+@query("SELECT scope_id, name, bound, count(*)::BIGINT AS n FROM (SELECT 0 AS scope_id, unnest(['t', 'track']) AS name, unnest([true, false]) AS bound FROM pages) GROUP BY ALL")
+def js_scope_uses_from_pages(spark, sf_dir):
+    found = relations.js_vars(raw_text(spark, sf_dir, "script"), "body", ["page_id"])
+    return found.groupBy("scope_id", "name", "bound").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT t AS token_type, count(*)::BIGINT AS n FROM (SELECT unnest(['var', 'Whitespace', 'Identifier', '=', 'String', ';', 'Identifier', '(', 'Integer', ')', ';']) AS t FROM pages) GROUP BY 1""")
+def js_token_counts(spark, sf_dir):
+    return relations.js_tokens(raw_text(spark, sf_dir, "script"), "body", ["page_id"]).groupBy("token_type").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, 'Decl(var Binding(t = \"</p>\")) Stmt(track(' || regexp_extract(body, '([0-9]+)\\)', 1) || '))' AS sexpr FROM ({SCRIPTS})".replace("\\\\", "\\"))
+def js_sexpr_from_pages(spark, sf_dir):
+    return relations.js_programs(raw_text(spark, sf_dir, "script"), "body", ["page_id"]).select("page_id", "sexpr")
+
+
+@query()
+def js_scope_rows(spark, sf_dir):
+    """Scopes of scripts built from the part table: nested functions, so that parents and functions show."""
+    script = F.concat(F.lit("function f"), "p_size", F.lit("(a){let b=a;{b;return c}}"))
+    return relations.js_scopes(table(spark, sf_dir, "part").select("p_partkey", script.alias("js")), "js", ["p_partkey"])
+
+
 def prop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.json_events(table(spark, sf_dir, "events"), "props", ["event_id"])
 

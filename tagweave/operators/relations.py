@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..shipping import ship
-from . import css, html, js, js_parse, js_text, json, xml
+from . import css, html, js, js_parse, js_print, js_text, json, xml
 
 ERROR = "STRUCT<message: STRING, line: INT, col: INT, context: STRING>"
 VALUES = "ARRAY<STRUCT<token_type: STRING, data: STRING>>"
@@ -29,7 +29,7 @@ JS_TOKENS = f"token_type STRING, token_code INT, data STRING, start INT, end INT
 JS_NODES = "node_id INT, parent_id INT, field STRING, ordinal INT, kind STRING, op STRING, data STRING, depth INT, exit_id INT"
 JS_SCOPES = "scope_id INT, parent_id INT, func_id INT, what STRING, has_with BOOLEAN, n_for_decls INT, n_func_args INT, n_arg_uses INT"
 JS_VARS = "scope_id INT, ordinal INT, bound BOOLEAN, name STRING, decl STRING, uses INT, links INT"
-JS_PROGRAMS = f"sexpr STRING, n_nodes INT, n_scopes INT, error {ERROR}"
+JS_PROGRAMS = f"sexpr STRING, js STRING, json STRING, json_error STRING, n_nodes INT, n_scopes INT, error {ERROR}"
 
 FLUSH = 50_000  # rows of a batch sent back; bounds memory for long documents
 
@@ -152,9 +152,16 @@ def js_vars(docs: DataFrame, content: str = "js", keys: list[str] | None = None,
 
 
 def js_programs(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False) -> DataFrame:
-    """One row for each program: its symbolic expression or its error."""
+    """One row for each program: symbolic expression, printed text, JSON (or why it is none), or its error."""
 
     def rows(p, tree, wrong):
-        yield (js_text.program(tree), sum(1 for _ in js_text.nodes(tree)), len(p.scopes), None) if tree else (None, None, None, wrong)
+        if tree is None:
+            yield None, None, None, None, None, None, wrong
+            return
+        try:
+            made, reason = js_print.json(tree), None
+        except js_print.NotJson as e:
+            made, reason = None, str(e)
+        yield js_text.program(tree), js_print.program(tree), made, reason, sum(1 for _ in js_text.nodes(tree)), len(p.scopes), None
 
     return relation(docs, content, keys or [c for c in docs.columns if c != content], parsed(rows, inline), JS_PROGRAMS, numbered=False)

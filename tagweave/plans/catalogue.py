@@ -175,6 +175,17 @@ def js_sexpr_from_pages(spark, sf_dir):
     return relations.js_programs(raw_text(spark, sf_dir, "script"), "body", ["page_id"]).select("page_id", "sexpr")
 
 
+@query("SELECT page_id, regexp_replace(regexp_extract(html, '<script>(.*?)</script>', 1, 's'), '=', ' = ').replace(';track', ';' || chr(10) || 'track') AS js FROM pages")
+def js_print_from_pages(spark, sf_dir):
+    return relations.js_programs(raw_text(spark, sf_dir, "script"), "body", ["page_id"]).select("page_id", "js")
+
+
+@query("""SELECT p_partkey, '{"name": "' || p_name || '", "size": ' || p_size || '}' AS json FROM part""")
+def js_json_from_parts(spark, sf_dir):
+    script = F.concat(F.lit("({name: '"), "p_name", F.lit("', \"size\": "), "p_size", F.lit("})"))
+    return relations.js_programs(table(spark, sf_dir, "part").select("p_partkey", script.alias("js_text")), "js_text", ["p_partkey"]).select("p_partkey", "json")
+
+
 @query()
 def js_scope_rows(spark, sf_dir):
     """Scopes of scripts built from the part table: nested functions, so that parents and functions show."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagweave.functions import binary, codecs, numbers, positions, text
-from tagweave.operators import css, html, js, js_parse, js_text, json, relations, xml
+from tagweave.operators import css, html, js, js_parse, js_print, js_text, json, relations, xml
 from tagweave.plans import catalogue, sql
 from tagweave.sources import documents
 from tagweave.streaming import chunks
@@ -161,6 +161,30 @@ def test_js_errors(doc, want):
     assert tree is None and wrong[0] == want
 
 
+@pytest.mark.parametrize("doc,want", [
+    ("if(a)b;else c", "if (a) b; else c;"), ("x=function(a,...b){var c}", "x = function(a, ...b) {\n    var c;\n};"), ("a=`x\ny`", "a = `x\ny`;"), ("+ +a", "+ +a;"), ("5..x", "(5.).x;"), ("new x()", "new x();"), ("for(;;);", "for ( ; ; ) {};".replace(";", ";", 1)[:-1]),
+    ("switch(a){case 1:b}", "switch (a) {\ncase 1:\n    b;\n}"), ("export{a as b}", "export { a as b };"), ("class A{x=1;static{}}", "class A {\n    x = 1;\n    static {}\n}"), ("async a=>{b}", "async (a) => {\n    b;\n};"), ("do;while(a)", "do; while (a);"),
+])
+def test_js_print(doc, want):
+    _, tree, _ = js_parse.parse(doc.encode())
+    assert js_print.program(tree) == want
+
+
+@pytest.mark.parametrize("doc", [d for d, _ in JS_TREES])
+def test_js_print_is_a_fixpoint(doc):
+    once = js_print.program(js_parse.parse(doc.encode())[1])
+    assert js_print.program(js_parse.parse(once.encode())[1]) == once
+
+
+def test_js_json():
+    made = lambda d: js_print.json(js_parse.parse(d.encode())[1])
+    assert made("[{key: [2.5, '\\r'], '\"': -2E+9}, null, !0, `a`, 'st\"r']") == '[{"key": [2.5, "\\r"], "\\"": -2E+9}, null, true, "a", "st\\"r"]'
+    assert made("") == ""
+    for doc in ("a", "[,]", "a;b", "var a", "[...a]", "{a}", "({a(){}})", "!x", "`a${b}`"):
+        with pytest.raises(js_print.NotJson):
+            made(doc)
+
+
 def test_js_scopes():
     parser, _, _ = js_parse.parse(b"function f(a){var b=a;{let a;c}} f(d)")
     scopes, names = js_text.scopes(parser)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -66,44 +67,49 @@ class WordwiseEncoder:
 
     Both public vocabularies first cut a text by a published pattern and never merge across its pieces. For
     texts of ASCII and Latin-1 letters the same pattern is applied here, each new piece is encoded once by the
-    library, and the ids are joined. Texts with other letters are cut at spaces and line feeds only; texts with
-    other white space or control characters go to the library whole. Runs of letters are encoded many at a time
-    with a digit between them, which always stands alone and so marks where each ends.
+    library, and the ids are joined. Texts with other characters go to the library whole. Runs of letters are
+    encoded many at a time with a digit between them, which always stands alone and so marks where each ends.
+    Pieces are first looked up in a small memo of the frequent ones, which stays in the processor's cache; a
+    large memo holds the others.
     ``white_space_dropped``: the vocabulary lower-cases and ignores white space; otherwise a space belongs to
     the next word.
     """
 
-    SIMPLE = re.compile(f"[^\\n -~{LETTERS[6:]}]|<\\|")
-    ODD = re.compile("[^\\S \\n]|[\\x00-\\x08\\x0e-\\x1f\\x7f-\\x9f\\u200b-\\u200f\\u2028-\\u202f\\u2060\\ufeff]|<\\|")
+    ALLOWED = "".join(map(chr, [10, *range(32, 127), *range(0xC0, 0x100)])).replace("×", "").replace("÷", "").encode("latin-1")
     ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
     FINE_WORD = re.compile(f"{ENDINGS}|[a-zß-öø-ÿ]+|[0-9]|[^ \\na-zß-öø-ÿ0-9]+")
     FINE_BYTE = re.compile(f"{ENDINGS}| ?[{LETTERS}]+| ?[0-9]+| ?[^ \\n{LETTERS}0-9]+|[ \\n]+(?![^ \\n])|[ \\n]+")
-    COARSE_BYTE = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
     PLAIN = re.compile(f" ?[{LETTERS}]+")
 
-    def __init__(self, path: str, white_space_dropped: bool, most: int = 1_500_000):
+    def __init__(self, path: str, white_space_dropped: bool, most: int = 1_500_000, frequent: int = 32_768, group_chars: int = 3_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.lower = white_space_dropped
         self.fine = (self.FINE_WORD if white_space_dropped else self.FINE_BYTE).findall
-        self.coarse = str.split if white_space_dropped else self.COARSE_BYTE.findall
         self.between = " 0 " if white_space_dropped else "0"
         self.mark = self.library.encode("0", add_special_tokens=False).ids[0]
-        self.most, self.memo = most, {}
+        self.most, self.frequent, self.group_chars = most, frequent, group_chars
+        self.memo: dict[str, bytes] = {}
+        self.often: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def cut(self, text: str) -> list[str] | None:
         """Pieces, or None for a text that isn't cut."""
-        if not self.SIMPLE.search(text):
-            return self.fine(text.lower() if self.lower else text)
-        return None if self.ODD.search(text) else self.coarse(text)
+        try:
+            if text.encode("latin-1").translate(None, self.ALLOWED) or "<|" in text:
+                return None
+        except UnicodeEncodeError:
+            return None
+        return self.fine(text.lower() if self.lower else text)
 
     def learn(self, pieces: set[str]) -> None:
         memo = self.memo
+        if len(memo) + len(pieces) > self.most:
+            memo.clear()
         plain = [p for p in pieces if self.PLAIN.fullmatch(p)]
         groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
         for group, found in zip(groups, self.library.encode_batch_fast([self.between.join([*g, ""]) for g in groups], add_special_tokens=False)):
@@ -119,18 +125,44 @@ class WordwiseEncoder:
         for p in pieces.difference(plain):
             memo[p] = self.whole(p)
 
+    def choose_often(self, cuts: list[list[str] | None]) -> None:
+        """The most frequent pieces of the first texts, in fresh objects that lie side by side."""
+        counts = Counter(p for c in cuts if c for p in c)
+        self.often = {p[:1] + p[1:]: bytes(bytearray(self.memo[p])) for p, _ in counts.most_common(self.frequent)}
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null and empty texts have none."""
+        """The ids of each text as little-endian unsigned 32-bit integers; null and empty texts have none.
+
+        Texts are taken in groups of bounded size, so that many new pieces meet the library at once.
+        """
+        out: list[bytes] = []
+        group, size = [], 0
+        for t in texts:
+            if group and size + len(t or "") > self.group_chars:
+                out += self.encode_group(group)
+                group, size = [], 0
+            group.append(t)
+            size += len(t or "")
+        return out + self.encode_group(group)
+
+    def encode_group(self, texts: list[str | None]) -> list[bytes]:
         cuts = [self.cut(t) if t else [] for t in texts]
+        get = self.often.get
+        found = [None if c is None else [*map(get, c)] for c in cuts]
+        places = [[i for i, ids in enumerate(f) if ids is None] if f else [] for f in found]
+        rare = [[c[i] for i in at] for c, at in zip(cuts, places) if at]
         memo = self.memo
-        fresh = {p for c in cuts if c for p in c if p not in memo}
-        if fresh:
+        if fresh := {p for r in rare for p in r if p not in memo}:
             if len(memo) + len(fresh) > self.most:
-                memo.clear()
-                fresh = {p for c in cuts if c for p in c}
+                fresh = {p for r in rare for p in r}
             self.learn(fresh)
-        get = memo.__getitem__
-        return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cuts)]
+        for f, c, at in zip(found, cuts, places):
+            for i in at:
+                f[i] = memo[c[i]]
+        if len(self.often) < self.frequent and sum(map(len, filter(None, cuts))) > 8 * self.frequent:
+            memo.update(self.often)
+            self.choose_often(cuts)
+        return [self.whole(t) if f is None else b"".join(f) for t, f in zip(texts, found)]
 
 
 _ENCODERS: dict[tuple, WordwiseEncoder] = {}

@@ -32,47 +32,57 @@ MAGIC, HEAD = b"RPB1", struct.Struct("<4s4IQ")
 FILE_SCHEMA = "shard int, block int, block_start long, n_ids long, data binary"
 
 
-def compress(ids: np.ndarray, first: int, rounds: int = 6, least: int = 8, table_bits: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """(body, rules): rules[k] is the pair that nonterminal first + k stands for."""
+#: Least count of the pairs that a round replaces: the most frequent ones first.
+ROUNDS = (96, 32, 12, 8)
+
+
+def compress(ids: np.ndarray, first: int, rounds: tuple[int, ...] = ROUNDS, table_bits: int = 18) -> tuple[np.ndarray, np.ndarray]:
+    """(body, rules): rules[k] is the pair that nonterminal first + k stands for. The last round is repeated
+    while it shortens the body by a twentieth."""
     body, rules = ids.astype(np.uint32), []
-    made = first
-    for _ in range(rounds):
-        if len(body) < 2 * least:
-            break
-        a, b = body[:-1], body[1:]
-        slot = ((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - table_bits)
-        often = np.bincount(slot, minlength=1 << table_bits) >= least
+    made, slots = first, 1 << table_bits
+    waiting = list(rounds)
+    while waiting:
+        least, n = waiting.pop(0), len(body)
+        if n < 2 * least:
+            continue
+        slot = (((body[:-1] * np.uint32(0x9E3779B1) + body[1:]) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - table_bits)).astype(np.intp)
+        often = np.bincount(slot, minlength=slots) >= least
         at = np.flatnonzero(often[slot])
-        if not len(at):
-            break
-        slot, key = slot[at], a[at].astype(np.uint64) << np.uint64(32) | b[at]
-        shown = np.zeros(1 << table_bits, np.uint64)
+        slot = slot[at]
+        key = body[at].astype(np.uint64) << np.uint64(32)
+        key |= body[at + 1]
+        shown = np.zeros(slots, np.uint64)
         shown[slot] = key  # one pair of a slot is counted in a round
         same = shown[slot] == key
         at, slot = at[same], slot[same]
-        counts = np.bincount(slot, minlength=1 << table_bits)
-        counts[counts < least] = 0
-        weight = np.zeros(len(body) + 1, np.int64)
-        weight[at + 1] = counts[slot] * (1 << 21) + slot  # unequal for unequal pairs
-        taken = weight[at + 1]
-        after = np.append(weight, 0)[at + 2]
-        chosen = (taken >= 1 << 21) & (taken > weight[at]) & (taken >= after)
-        used = np.bincount(slot[chosen], minlength=1 << table_bits)
-        worth = used >= least // 2
-        chosen &= worth[slot]
+        weight = np.bincount(slot, minlength=slots)[slot]
+        good = weight >= least
+        at, slot, weight = at[good], slot[good], weight[good]
+        weight <<= table_bits
+        weight += slot  # unequal for unequal pairs
+        # A pair is replaced where it outweighs the pairs that overlap it; of a run of equal ones the first.
+        beside = at[1:] == at[:-1] + 1
+        chosen = np.ones(len(at), bool)
+        chosen[1:] &= ~beside | (weight[1:] > weight[:-1])
+        chosen[:-1] &= ~beside | (weight[:-1] >= weight[1:])
         at, slot = at[chosen], slot[chosen]
+        worth = np.bincount(slot, minlength=slots) >= least // 2
+        good = worth[slot]
+        at, slot = at[good], slot[good]
         if not len(at):
-            break
+            continue
         fresh = np.flatnonzero(worth)
-        number = np.zeros(1 << table_bits, np.uint32)
+        number = np.zeros(slots, np.uint32)
         number[fresh] = np.arange(made, made + len(fresh), dtype=np.uint32)
         rules.append(np.stack([shown[fresh] >> np.uint64(32), shown[fresh] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         made += len(fresh)
-        keep = np.ones(len(body), bool)
+        keep = np.ones(n, bool)
         keep[at + 1] = False
-        body = body.copy()
         body[at] = number[slot]
         body = body[keep]
+        if not waiting and len(at) >= n // 20:
+            waiting.append(least)
     return body, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
@@ -120,6 +130,7 @@ class Block:
         self.left, self.right, lengths = take("<u4", n_rules), take("<u4", n_rules), take("<u4", n_rules)
         self.body = take("<u2" if self.first + n_rules <= 1 << 16 else "<u4", n_body).astype(np.int64)
         self.lengths = lengths.astype(np.int64)
+        self.flat: np.ndarray | None = None
         sized = np.where(self.body < self.first, 1, self.lengths[np.maximum(self.body - self.first, 0)] if n_rules else 1)
         self.ends = np.cumsum(sized)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))
@@ -128,16 +139,38 @@ class Block:
         if stop <= start:
             return np.zeros(0, "<u4")
         low, high = np.searchsorted(self.ends, [start, stop - 1], side="right")
-        symbols = self.body[low : high + 1]
         skip = start - (int(self.ends[low - 1]) if low else 0)
-        while (deep := symbols >= self.first).any():
-            wide = np.repeat(symbols, np.where(deep, 2, 1))
-            at = np.cumsum(np.where(deep, 2, 1)) - 1
-            k = symbols[deep] - self.first
-            wide[at[deep]] = self.right[k]
-            wide[at[deep] - 1] = self.left[k]
-            symbols = wide
-        return symbols[skip : skip + stop - start].astype("<u4")
+        return self.expanded(self.body[low : high + 1])[skip : skip + stop - start]
+
+    def expanded(self, symbols: np.ndarray) -> np.ndarray:
+        """Symbols expanded; those of more than one level at once, by the flat expansions of the rules."""
+        if not len(self.left):
+            return symbols.astype("<u4")
+        if self.flat is None:
+            rules = np.stack([self.left, self.right], axis=1).astype(np.int64).reshape(-1)
+            while (deep := rules >= self.first).any():
+                wide = np.repeat(rules, np.where(deep, 2, 1))
+                at = np.cumsum(np.where(deep, 2, 1)) - 1
+                k = rules[deep] - self.first
+                wide[at[deep]] = self.right[k]
+                wide[at[deep] - 1] = self.left[k]
+                rules = wide
+            self.flat = rules.astype("<u4")
+            self.flat_at = np.cumsum(self.lengths) - self.lengths
+        deep = symbols >= self.first
+        k = np.maximum(symbols - self.first, 0)
+        sized = np.where(deep, self.lengths[k], 1)
+        ends = np.cumsum(sized)
+        out = np.empty(int(ends[-1]), "<u4")
+        out[(ends - sized)[~deep]] = symbols[~deep]
+        ends, sized, begins = ends[deep], sized[deep], self.flat_at[k[deep]]
+        for j in range(int(sized.max(initial=0))):  # the j-th id of every nonterminal that is longer
+            if j:
+                more = sized > j
+                if not more.all():
+                    ends, sized, begins = ends[more], sized[more], begins[more]
+            out[ends - sized + j] = self.flat[begins + j]
+        return out
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
@@ -168,8 +201,8 @@ def write(docs: DataFrame, vocabulary: str, path: str, *, white_space_dropped: b
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for i in range(0, len(names), 256):
-                for name, found in zip(names[i : i + 256], tokens.encode_batch(batch.column(1).slice(i, 256).to_pylist())):
+            for i in range(0, len(names), 1024):
+                for name, found in zip(names[i : i + 1024], tokens.encode_batch(batch.column(1).slice(i, 1024).to_pylist())):
                     if held and gathered + len(found) // 4 >= block_ids:
                         yield flush()
                     ids.append(name)
@@ -179,7 +212,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, *, white_space_dropped: b
             yield flush()
 
     dealt = id_text(docs, id_col, text_col).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    dealt.mapInArrow(run, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(run, FILE_SCHEMA).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -187,7 +220,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     sizes = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     starts = sizes.select(F.col("shard").alias("of_shard"), (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    placed = files.join(starts, F.col("shard") == F.col("of_shard")).select((F.col("shard_start") + F.col("block_start")).alias("at"), "data")
+    # A row for each shard, that is for each shuffle partition: small whatever the size of the corpus.
+    placed = files.join(F.broadcast(starts), F.col("shard") == F.col("of_shard")).select((F.col("shard_start") + F.col("block_start")).alias("at"), "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

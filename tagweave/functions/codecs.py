@@ -14,6 +14,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from . import positions
 from .text import col
 
 REFERENCE = re.compile(rb"&(?:#x([0-9a-fA-F]+)|#([0-9]+)|([0-9a-zA-Z]{1,31}));")
@@ -140,3 +141,47 @@ def append_float_column(c: Column | str, precision: int) -> Column:
         return s.map(lambda x: append_float(x, precision))
 
     return run(col(c).cast("double"))
+
+
+def position_column(c: Column | str, offset: Column | str) -> Column:
+    """Struct (line, col, context) of a byte offset of a text."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("line INT, col INT, context STRING")
+    def run(texts: pd.Series, offsets: pd.Series) -> pd.DataFrame:
+        found = [(None, None, None) if t is None or pd.isna(o) else positions.position(t.encode(), int(o)) for t, o in zip(texts, offsets)]
+        return pd.DataFrame(found, columns=["line", "col", "context"]).astype({"line": "Int32", "col": "Int32"})
+
+    return run(col(c), col(offset))
+
+
+def error_text(error: Column | str) -> Column:
+    """An error struct of a relation as one readable text."""
+    e = col(error)
+    return F.format_string("%s on line %d and column %d\n%s", e["message"], e["line"], e["col"], e["context"])
+
+
+def printable_column(code: Column | str) -> Column:
+    """A code point as itself if it can be shown, else as 0x.. or U+...."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if pd.isna(x) else positions.printable(int(x)))
+
+    return run(col(code))
+
+
+def identifier_column(c: Column | str, part: str) -> Column:
+    """Whether the first character starts a JavaScript identifier (``start``), continues one (``continue``), or the
+    last one does (``end``); empty texts are false."""
+    from ..operators import js
+
+    ship(SparkSession.active())
+    place, signs, test = {"start": (0, "$_", js.starts_name), "continue": (0, "$_", js.continues_name), "end": (-1, "$_", js.continues_name)}[part]
+
+    @F.pandas_udf("boolean")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else bool(x) and (x[place] in signs or test(x[place])))
+
+    return run(col(c))

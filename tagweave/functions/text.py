@@ -186,3 +186,7 @@ def indent(c: Column | str, width: int) -> Column:
 def fits(c: Column | str, capacity: int) -> Column:
     """The value if it fits into a sink of that many bytes, else null."""
     return F.when(F.octet_length(col(c)) <= capacity, col(c))
+
+
+def css_token_text(token_type: Column | str, data: Column | str) -> Column:
+    return F.format_string("%s('%s')", col(token_type), col(data))

@@ -193,8 +193,11 @@ def nodes(tree: Node) -> Iterator[tuple]:
         if isinstance(n, Var):
             rows.append([at, parent, field, ordinal, "Var", KINDS[n.end().decl], text(n.end().name), depth, at])
             return
-        data = next((text(n.f[k]) for k in ("data", "value", "label", "module", "tail") if isinstance(n.f.get(k), bytes)), None)
+        data = next((text(n.f[k]) for k in ("data", "value", "label", "module", "tail", "default") if isinstance(n.f.get(k), bytes)), None)
         rows.append([at, parent, field, ordinal, n.kind, n.f.get("op") or n.f.get("type"), data, depth, at])
+        for k, (was, bound) in enumerate(n.f.get("names") or ()):
+            if bound is not None:
+                rows.append([len(rows), at, "names", k, "Alias", None if was is None else text(was), text(bound), depth + 1, len(rows)])
         for name, value in n.f.items():
             many = value if isinstance(value, list) else [value]
             for k, x in enumerate(many):

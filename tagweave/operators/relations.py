@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -165,3 +166,33 @@ def js_programs(docs: DataFrame, content: str = "js", keys: list[str] | None = N
         yield js_text.program(tree), js_print.program(tree), made, reason, sum(1 for _ in js_text.nodes(tree)), len(p.scopes), None
 
     return relation(docs, content, keys or [c for c in docs.columns if c != content], parsed(rows, inline), JS_PROGRAMS, numbered=False)
+
+
+def js_imports(nodes: DataFrame, keys: list[str], kind: str = "Import") -> DataFrame:
+    """The imports (or with kind Export the exports) of programs, from their nodes: a row for each name, with the
+    name it has in the module."""
+    heads = nodes.where(F.col("kind") == kind).select(*keys, F.col("node_id").alias("parent_id"), F.col("data").alias("module"))
+    aliases = nodes.where("kind = 'Alias'").select(*keys, "parent_id", "ordinal", F.col("op").alias("name"), F.col("data").alias("bound"))
+    return heads.join(aliases, [*keys, "parent_id"]).drop("parent_id")
+
+
+def js_vars_by_uses(names: DataFrame, keys: list[str]) -> DataFrame:
+    """Declared variables with their rank by uses in their scope."""
+    order = Window.partitionBy(*keys, "scope_id").orderBy(F.desc("uses"), "ordinal")
+    return names.where("bound").withColumn("rank", F.row_number().over(order))
+
+
+#: Names of the precedence levels, lowest first.
+PRECEDENCES = ("Expr", "Assign", "Coalesce", "Or", "And", "BitOr", "BitXor", "BitAnd", "Equals", "Compare", "Shift", "Add", "Mul", "Exp", "Unary", "Update", "LHS", "Opt", "Call", "New", "Member", "Primary")
+
+
+def js_token_types(spark: SparkSession) -> DataFrame:
+    """Dimension of token types: code, name and class bits."""
+    rows = [(code, name, bool(code & 0x100), bool(code & 0x200), bool(code & 0x400), bool(code & 0x800), bool(code & 0x1000)) for name, code in js.CODES.items()]
+    return spark.createDataFrame(rows, "code INT, name STRING, numeric BOOLEAN, punctuator BOOLEAN, operator BOOLEAN, reserved BOOLEAN, identifier BOOLEAN")
+
+
+def js_operators(spark: SparkSession) -> DataFrame:
+    """Dimension of binary operators with their precedence."""
+    rows = [(op, level, PRECEDENCES[level]) for op, (level, _, _) in js_parse.BINARY.items()]
+    return spark.createDataFrame(rows, "op STRING, level INT, precedence STRING")

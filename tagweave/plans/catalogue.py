@@ -186,6 +186,27 @@ def js_json_from_parts(spark, sf_dir):
     return relations.js_programs(table(spark, sf_dir, "part").select("p_partkey", script.alias("js_text")), "js_text", ["p_partkey"]).select("p_partkey", "json")
 
 
+@query("SELECT p_partkey, 0 AS ordinal, 'a' AS name, 'b' || p_size AS bound, chr(39) || 'm' || chr(39) AS module FROM part")
+def js_import_names(spark, sf_dir):
+    script = F.concat(F.lit("import {a as b"), "p_size", F.lit("} from 'm'"))
+    nodes = relations.js_nodes(table(spark, sf_dir, "part").select("p_partkey", script.alias("js")), "js", ["p_partkey"])
+    return relations.js_imports(nodes, ["p_partkey"])
+
+
+@query("SELECT p_partkey, unnest(['b', 'a', 'f']) AS name, unnest([3, 2, 1]) AS uses, unnest([1, 2, 3]) AS rank FROM part")
+def js_vars_ranked(spark, sf_dir):
+    script = F.lit("var a = 1, b; b = a; b; function f() {}")
+    names = relations.js_vars(table(spark, sf_dir, "part").select("p_partkey", script.alias("js")), "js", ["p_partkey"]).where("scope_id = 0")
+    return relations.js_vars_by_uses(names, ["p_partkey"]).select("p_partkey", "name", "uses", "rank")
+
+
+@query("SELECT op, n FROM (VALUES ('+', 1), ('=', 1)) t(op, n)")
+def js_operator_levels(spark, sf_dir):
+    """Binary operators of one program joined to their dimension."""
+    nodes = relations.js_nodes(spark.createDataFrame([(1, "a = b + c")], "id INT, js STRING"), "js", ["id"]).where("kind = 'Binary'")
+    return nodes.join(F.broadcast(relations.js_operators(spark)), "op").groupBy("op").agg(F.count("*").cast("int").alias("n"))
+
+
 @query()
 def js_scope_rows(spark, sf_dir):
     """Scopes of scripts built from the part table: nested functions, so that parents and functions show."""
@@ -283,6 +304,11 @@ scalar("append_number", "orders", "o_orderkey", lambda: numbers.append_number(F.
 scalar("append_float", "part", "p_partkey", lambda: codecs.append_float_column(C("p_size").cast("double") / 2, 6), "CASE WHEN p_size % 2 = 0 THEN (p_size // 2)::VARCHAR WHEN p_size < 2 THEN '.5' ELSE (p_size // 2) || '.5' END")
 scalar("hsl_to_rgb", "part", "p_partkey", lambda: F.round(numbers.hsl_to_rgb(F.lit(0.0), F.lit(0.0), C("p_size") / 100.0)["r"], 6), "round(p_size / 100.0, 6)")
 scalar("replace_entities", "pages", "page_id", lambda: codecs.replace_entities_column(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), {"copy": "©".encode(), "middot": "·".encode(), "quot": b'"'}), r"""replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"')""")
+scalar("collapse_and_replace", "part", "p_partkey", lambda: codecs.collapse_and_replace_column(F.concat(F.lit("  &quot; "), "p_name", F.lit(" \t\n x")), {"quot": b'"'}), """' " ' || p_name || chr(10) || 'x'""")
+scalar("position_line", "documents", "doc_id", lambda: codecs.position_column("text", F.octet_length("text"))["line"], "(1 + length(text) - length(replace(text, chr(10), '')))::INTEGER")
+scalar("printable", "part", "p_partkey", lambda: codecs.printable_column(C("p_size") + 64), "chr(p_size + 64)")
+scalar("js_identifier_start", "part", "p_partkey", lambda: codecs.identifier_column("p_name", "start"), "regexp_matches(p_name, '^[A-Za-z$_]')")
+scalar("css_token_text", "part", "p_partkey", lambda: text.css_token_text(F.lit("Ident"), "p_brand"), "'Ident(' || chr(39) || p_brand || chr(39) || ')'")
 scalar("decode_url_binary", "pages", "page_id", lambda: F.hex(codecs.decode_url_binary(F.concat(F.lit("%80"), "url"))), "'80' || hex(encode(url))")
 scalar("bin_read_u16", "events", "event_id", lambda: binary.read_uint(binary.write_int("event_id", 4), 2, 2).cast("bigint"), "event_id % 65536")
 scalar("bin_read_u32_little", "events", "event_id", lambda: binary.read_uint(binary.write_int("event_id", 4, True), 0, 4, True), "event_id")

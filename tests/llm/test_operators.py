@@ -394,6 +394,14 @@ def test_extraction_of_a_page():
     assert extraction.main_text(PAGE) == "Title & more First boldtext © 2020 goes on for a while and says some things of note. Next line Second paragraph"
 
 
+def test_extraction_looks_at_names_of_parts_not_of_wrappers():
+    body = "<p>" + "Words of the story go here and on and on for some time. " * 3 + "</p>"
+    story = extraction.main_text(f"<article>{body}</article>")
+    assert story and extraction.main_text(f"<div class='page has-sidebar'><article class='post advertising-news'>{body}</article></div>") == story
+    assert extraction.main_text(f"<article>{body}</article><section class=comments><article class='comment'>{body}</article></section>") == story
+    assert extraction.main_text(f"<div>{body}</div><div id='sidebar'>{body}</div><div role=navigation>{body}</div><div style='display:none'>{body}</div>") == story
+
+
 @pytest.mark.parametrize("page,want", [(None, ""), ("", ""), ("<article><p>cut off he", "cut off he"), ("<article>a<scr", "a"), ("<article>x<!-- open", "x"), ("<article><p title='>'>q</p>", "q"), ("<" * 2000, ""), ("<article>1 < 2 &lt; 3</article>", "1 < 2 < 3")])
 def test_extraction_of_odd_pages(page, want):
     got = extraction.main_text(page)

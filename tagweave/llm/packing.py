@@ -95,8 +95,8 @@ def pack(docs: DataFrame, vocabulary: str, *, white_space_dropped: bool = False,
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(ids), 256):
-                for doc, held_ids in zip(ids[i : i + 256], tokens.encode_batch(texts.slice(i, 256).to_pylist())):
+            for i in range(0, len(ids), 1024):
+                for doc, held_ids in zip(ids[i : i + 1024], tokens.encode_batch(texts.slice(i, 1024).to_pylist())):
                     held.extend((doc, k, *p) for k, p in enumerate(pieces_of(held_ids + end, capacity)))
                 if len(held) >= look_ahead:
                     yield from flush()

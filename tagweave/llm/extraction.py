@@ -39,6 +39,9 @@ HINT = re.compile(
     r"(?<![a-z])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side-bar|footer|header|masthead|"
     r"cookies?\w*|consent|notice\w*|alert|popup|modal|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|reply|replies|"
     r"respond|login|signup|search|widget|toolbar|copyright|legal|disclaimer|pagination|pager|tags|complementary|contentinfo|skip)(?![a-z])", re.I)
+#: Names that only tell what a wrapper holds, and the only hints that count for the article itself.
+WRAPPER = ("has-", "with-", "without-", "no-", "is-")
+NOT_THE_ARTICLE = re.compile(r"(?<![a-z])(?:comments?|reply|replies|related|teaser|promo\w*|sponsor\w*)(?![a-z])", re.I)
 NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 WHITE = re.compile(r"\s+")
@@ -112,7 +115,11 @@ def judged(node: tuple | float, features: tuple) -> bool:
 def is_furniture(tag: str, attrs: str) -> bool:
     if tag in FURNITURE or HIDDEN.search(attrs):
         return True
-    return tag not in ("html", "body") and any(HINT.search(a or b or c) for a, b, c in NAMED.findall(attrs))
+    if tag in ("html", "body"):
+        return False
+    hint = NOT_THE_ARTICLE if tag in ARTICLE else HINT
+    names = (n for found in NAMED.findall(attrs) for n in "".join(found).split())
+    return any(hint.search(n) for n in names if not n.lower().startswith(WRAPPER))
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:

@@ -21,6 +21,8 @@ FOREIGN = {b"svg": "SVG", b"math": "Math", b"xml": "XML"}
 LETTERS = re.compile(rb"[a-zA-Z]*")
 COMMENT_END = re.compile(rb"--!?>")
 FOREIGN_STOP = re.compile(rb'["\x00]|</')
+FOREIGN_END = re.compile(rb"[>\x00]")
+TEMPLATE_STRINGS = {q: re.compile(rb"(?:\\.|[^\\" + q + rb"])*" + q, re.S) for q in (b'"', b"'")}
 SCRIPT_STOP = re.compile(rb"-->|</?")
 
 
@@ -56,7 +58,7 @@ class Scanner:
         while m := self.template_stop.search(self.data, at):
             if m[0] == self.end:
                 return m.end()
-            closing = re.compile(rb"(?:\\.|[^\\" + m[0] + rb"])*" + m[0], re.S).match(self.data, m.end())
+            closing = TEMPLATE_STRINGS[m[0]].match(self.data, m.end())
             if not closing:
                 break
             at = closing.end()
@@ -88,9 +90,9 @@ class Scanner:
                 stop = self.after_template(at)
                 yield "Template", data[at:stop], None, None, True, at, stop, None
             elif data.startswith(b"</", at):
-                stop = self.find(re.compile(b">"), at)
-                end = min(stop + 1, size)
-                if LETTERS.match(data, at + 2).end() > at + 2:
+                stop = data.find(b">", at)
+                stop, end = (size, size) if stop < 0 else (stop, stop + 1)
+                if data[at + 2 : at + 3].isalpha():
                     yield "EndTag", data[at:end].lower(), data[at + 2 : stop].rstrip(b" \t\n\r").lower(), None, False, at, end, None
                 else:
                     yield "Comment", data[at:end], data[at + 2 : stop], None, False, at, end, None
@@ -117,6 +119,9 @@ class Scanner:
 
     def attributes(self, at: int) -> Iterator[tuple]:
         data, size = self.data, len(self.data)
+        if data[at : at + 1] == b">":  # most tags have none
+            yield "StartTagClose", b">", None, None, False, at, at + 1, None
+            return at + 1
         while True:
             first = SPACES.match(data, at).end()
             if first >= size:
@@ -231,7 +236,7 @@ class Scanner:
             elif not quoted:
                 at = LETTERS.match(data, at).end()
                 if data[m.end() : at].lower() == tag:
-                    last = re.compile(rb"[>\x00]").search(data, at)
+                    last = FOREIGN_END.search(data, at)
                     if last and last[0] == b"\x00":
                         return last.start(), last.start()
                     return (last.end(), None) if last else (size, None)

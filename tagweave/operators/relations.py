@@ -8,6 +8,7 @@ along by repeating their values with an Arrow take, so they are never touched in
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -54,6 +55,23 @@ def shaped(value, kind: pa.DataType):
     return value
 
 
+def column(values: tuple, kind: pa.DataType) -> pa.Array:
+    """An Arrow column of a kernel's values. Bytes become text in one validated cast; only where some aren't UTF-8
+    are they decoded one by one."""
+    if pa.types.is_string(kind):
+        if not isinstance(next((v for v in values if v is not None), ""), bytes):
+            return pa.array(values, kind)
+        try:
+            return pa.array(values, pa.binary()).cast(kind)
+        except pa.ArrowInvalid:
+            return pa.array([text(v) for v in values], kind)
+    if pa.types.is_nested(kind):
+        if all(v is None for v in values):
+            return pa.nulls(len(values), kind)
+        return pa.array([shaped(v, kind) for v in values], kind)
+    return pa.array(values, kind)
+
+
 def relation(docs: DataFrame, content: str, keys: list[str], kernel: Callable[[bytes], Iterator[tuple]], schema: str, numbered: bool = True) -> DataFrame:
     """Rows of every document: the key columns, seq (from 0) and the kernel's columns.
 
@@ -67,31 +85,33 @@ def relation(docs: DataFrame, content: str, keys: list[str], kernel: Callable[[b
     inner = docs.select(*keys, content)
     result = T.StructType([inner.schema[k] for k in keys] + list(own.fields))
     arrow = to_arrow_schema(own)
-    width, n_keys = len(own), len(keys)
+    n_keys = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source, rows = [], []
+            source, seqs, rows = [], [], []
             bodies = batch.column(n_keys)
 
             def flush() -> pa.RecordBatch:
                 taken = pa.array(source, pa.int32())
+                made = [seqs, *zip(*rows)] if numbered else [*zip(*rows)]
                 cols = [batch.column(k).take(taken) for k in range(n_keys)]
-                for k in range(width):
-                    kind = arrow.field(k).type
-                    cols.append(pa.array([shaped(r[k], kind) for r in rows], kind))
-                source.clear()
-                rows.clear()
+                cols += [column(v, f.type) for v, f in zip(made, arrow)]
+                for held in (source, seqs, rows):
+                    held.clear()
                 return pa.RecordBatch.from_arrays(cols, names=[f.name for f in result])
 
             for i in range(batch.num_rows):
                 body = bodies[i].as_py()
                 if body is None:
                     continue
-                found = kernel(body if isinstance(body, bytes) else body.encode("utf-8", "surrogatepass"))
-                for seq, row in enumerate(found):
-                    source.append(i)
-                    rows.append((seq, *row) if numbered else row)
+                found = iter(kernel(body if isinstance(body, bytes) else body.encode("utf-8", "surrogatepass")))
+                at = 0
+                while part := list(islice(found, FLUSH)):
+                    rows += part
+                    source += [i] * len(part)
+                    seqs += range(at, at + len(part))
+                    at += len(part)
                     if len(rows) >= FLUSH:
                         yield flush()
             if rows:

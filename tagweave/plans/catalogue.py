@@ -29,8 +29,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan dealt to all cores if it has fewer partitions, as a small file of one row group has. A large
+    input always has more, and then nothing is shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"))
 
 
 def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +222,7 @@ def js_scope_rows(spark, sf_dir):
 
 
 def prop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.json_events(table(spark, sf_dir, "events"), "props", ["event_id"])
+    return relations.json_events(spread(table(spark, sf_dir, "events").select("event_id", "props")), "props", ["event_id"])
 
 
 @query("""SELECT g AS grammar, sum(n)::BIGINT AS n FROM (
@@ -258,7 +265,8 @@ def scalar(name: str, source: str, key: str, column: Callable[[], Column], sql:
     """A query of one function: key and ``out``."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, source).select(key, column().alias("out"))
+        rows = table(spark, sf_dir, source)
+        return (spread(rows) if source in ("documents", "pages") else rows).select(key, column().alias("out"))
 
     run.__name__ = name
     query(f"SELECT {key}, {sql} AS out FROM {source}")(run)

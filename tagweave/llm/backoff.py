@@ -53,20 +53,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> U(29)
 
 
-def grams(hashes: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def grams(hashes: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order up to ``order``: (positions of last words, n-gram hashes); none crosses documents."""
     ends = np.cumsum(sizes)
     within = np.arange(len(hashes)) - np.repeat(ends - sizes, sizes)
-    found, key = [], mixed(hashes)
-    at = np.arange(len(hashes))
-    found.append((at, key))
+    key = mixed(hashes)
+    yield np.arange(len(hashes)), key
     for n in range(2, order + 1):
         at = np.flatnonzero(within >= n - 1)
         longer = np.zeros(len(hashes), U)
         longer[at] = mixed(key[at - 1] * U(0x9E3779B97F4A7C15) + hashes[at] + U(n))
         key = longer
-        found.append((at, key[at]))
-    return found
+        yield at, key[at]
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -110,13 +108,15 @@ def requests(inner: DataFrame, parts: int, order: int, block_words: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = np.array([(k << 64) // parts for k in range(1, parts)], U)
         for block, _, sizes, hashes in in_blocks(batches, block_words):
-            keys, counts = np.unique(np.concatenate([k for _, k in grams(hashes, sizes, order)]), return_counts=True)
-            cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-            rows = [(block, p, b - a, squeeze(gaps(keys[a:b])), squeeze(counts[a:b].astype("<u4"))) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            cols = zip(*rows) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "part", "n", "keys", "counts"])
+            for level, (_, found) in enumerate(grams(hashes, sizes, order)):  # one order at a time: a third of the memory
+                keys, counts = np.unique(found, return_counts=True)
+                cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+                rows = [(block, p, level, b - a, squeeze(gaps(keys[a:b])), squeeze(counts[a:b].astype("<u4"))) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                if rows:
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["block", "part", "level", "n", "keys", "counts"])
 
-    return inner.mapInArrow(run, "block long, part int, n long, keys binary, counts binary")
+    return inner.mapInArrow(run, "block long, part int, level int, n long, keys binary, counts binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -131,9 +131,9 @@ def answers(asked: DataFrame) -> DataFrame:
         for n in rows["n"]:
             out.append(squeeze(totals[at : at + n]))
             at += n
-        return pd.DataFrame({"block": rows["block"], "part": rows["part"], "n": rows["n"], "body": out})
+        return pd.DataFrame({"block": rows["block"], "part": rows["part"], "level": rows["level"], "n": rows["n"], "body": out})
 
-    return asked.groupBy("part").applyInPandas(run, "block long, part int, n long, body binary")
+    return asked.groupBy("part").applyInPandas(run, "block long, part int, level int, n long, body binary")
 
 
 def texts_of(inner: DataFrame, block_words: int) -> DataFrame:
@@ -171,25 +171,25 @@ def scored(given: pd.DataFrame, block: pd.DataFrame, order: int, alpha: float, l
     if len(block) != 1:
         raise RuntimeError("the input gave other blocks when it was read again")
     ids, sizes, hashes = opened(block["body"].iloc[0])
-    given = given.sort_values("part")
-    by_order = grams(hashes, sizes, order)
-    keys, inverse = np.unique(np.concatenate([k for _, k in by_order]), return_inverse=True)
-    totals = np.concatenate([unsqueeze(b, "<u4", n) for b, n in zip(given["body"], given["n"])]) if len(given) else np.zeros(0, "<u4")
-    if len(totals) != len(keys):
-        raise RuntimeError("the input gave other blocks when it was read again")
-    found, at, counts = totals[inverse].astype(np.float64), 0, []
-    for places, _ in by_order:
-        full = np.zeros(len(hashes))
-        full[places] = found[at : at + len(places)]
+    given = given.sort_values(["level", "part"])
+    counts, all_places = [], []
+    for level, (places, found) in enumerate(grams(hashes, sizes, order)):
+        keys, inverse = np.unique(found, return_inverse=True)
+        own = given[given["level"] == level]
+        totals = np.concatenate([unsqueeze(b, "<u4", n) for b, n in zip(own["body"], own["n"])]) if len(own) else np.zeros(0, "<u4")
+        if len(totals) != len(keys):
+            raise RuntimeError("the input gave other blocks when it was read again")
+        full = np.zeros(len(hashes), np.float32 if totals.max(initial=0) < 1 << 24 else np.float64)
+        full[places] = totals[inverse]
         counts.append(full)
-        at += len(places)
-    score, hit = np.log10(np.maximum(counts[0], 1)), np.ones(len(hashes), np.int64)
+        all_places.append(places)
+    score, hit = np.log10(np.maximum(counts[0], 1), dtype=np.float64), np.ones(len(hashes), np.int8)
     step = np.log10(alpha)
     for n in range(2, order + 1):
-        places = by_order[n - 1][0]
+        places = all_places[n - 1]
         seen = counts[n - 1][places] >= least
         there, away = places[seen], places[~seen]
-        score[there] = np.log10(counts[n - 1][there]) - np.log10(counts[n - 2][there - 1])
+        score[there] = np.log10(counts[n - 1][there], dtype=np.float64) - np.log10(counts[n - 2][there - 1], dtype=np.float64)
         hit[there] = n
         score[away] += step
     owner = np.repeat(np.arange(len(sizes)), sizes)

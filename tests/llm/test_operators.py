@@ -257,6 +257,19 @@ def test_similar_texts_meet(spark):
     assert simhash.similar(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_similar_texts_at_the_limit(spark):
+    """Pairs that share exactly four fifths of their shingles are grouped, those that lack one shingle are not."""
+    rng, texts = random.Random(8), []
+    fresh = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    for k in range(160):
+        own = (3, 8, 40, 100)[k % 4]
+        base = fresh(8 * own + 4 - k // 4 % 2)
+        texts += [" ".join(base + fresh(own)), " ".join(base + fresh(own))]
+    got = {r.doc_id: r.group_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in range(0, len(texts), 2):
+        assert (got[i] == got[i + 1]) == (jaccard(texts[i], texts[i + 1]) >= 0.8) == (i // 8 % 2 == 0)
+
+
 def test_similar_odd_tables(spark, odd):
     got = simhash.similar(clashing(odd)).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in everything(odd) if r.doc_id is not None)

@@ -42,8 +42,9 @@ HINT = re.compile(
 #: Names that only tell what a wrapper holds, and the only hints that count for the article itself.
 WRAPPER = ("has-", "with-", "without-", "no-", "is-")
 NOT_THE_ARTICLE = re.compile(r"(?<![a-z])(?:comments?|reply|replies|related|teaser|promo\w*|sponsor\w*)(?![a-z])", re.I)
-NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+NAMED = ("class", "id", "role", "aria-label")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 WHITE = re.compile(r"\s+")
 CLOSED_BY = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
 
@@ -112,13 +113,28 @@ def judged(node: tuple | float, features: tuple) -> bool:
     return node >= 0.5
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """Values by lower-cased names; of repeated names the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(attrs):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def is_hidden(held: dict[str, str]) -> bool:
+    if held.get("hidden", "false").strip().lower() != "false" or held.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    return bool(HIDING.search(held.get("style", "")))
+
+
 def is_furniture(tag: str, attrs: str) -> bool:
-    if tag in FURNITURE or HIDDEN.search(attrs):
+    held = attributes(attrs)
+    if tag in FURNITURE or is_hidden(held):
         return True
     if tag in ("html", "body"):
         return False
     hint = NOT_THE_ARTICLE if tag in ARTICLE else HINT
-    names = (n for found in NAMED.findall(attrs) for n in "".join(found).split())
+    names = (n for kind in NAMED for n in held.get(kind, "").split())
     return any(hint.search(n) for n in names if not n.lower().startswith(WRAPPER))
 
 

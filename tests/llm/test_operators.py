@@ -415,6 +415,16 @@ def test_extraction_looks_at_names_of_parts_not_of_wrappers():
     assert extraction.main_text(f"<div>{body}</div><div id='sidebar'>{body}</div><div role=navigation>{body}</div><div style='display:none'>{body}</div>") == story
 
 
+def test_extraction_drops_only_what_is_hidden():
+    body = "<p>" + "Plain words of a story that goes on. " * 8 + "</p>"
+    story = extraction.main_text(f"<article>{body}</article>")
+    for shown in ('class="overflow-hidden"', "class='md:hidden x'", 'data-hidden-x', 'data-hidden="1"', 'style="overflow:hidden"', 'aria-hidden="false"', 'title="display: none"'):
+        for page in (f"<body {shown}><article>{body}</article></body>", f"<div {shown}><article>{body}</article></div>", f"<article {shown}>{body}</article>", f"<div {shown}>{body}</div>"):
+            assert extraction.main_text(page) == story, page
+    for gone in ("hidden", 'hidden=""', 'HIDDEN="hidden"', "aria-hidden=true", 'style="color:red; Display : none"', "style='visibility:hidden!important;top:0'"):
+        assert extraction.main_text(f"<article>{body}<div {gone}>{body}</div></article>") == story, gone
+
+
 @pytest.mark.parametrize("page,want", [(None, ""), ("", ""), ("<article><p>cut off he", "cut off he"), ("<article>a<scr", "a"), ("<article>x<!-- open", "x"), ("<article><p title='>'>q</p>", "q"), ("<" * 2000, ""), ("<article>1 < 2 &lt; 3</article>", "1 < 2 < 3")])
 def test_extraction_of_odd_pages(page, want):
     got = extraction.main_text(page)

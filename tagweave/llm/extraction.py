@@ -24,13 +24,19 @@ from .common import table
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|canvas|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<raw>script|style|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
     r"|<[!/?][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that give no text if their end tag comes; PAIRED finds their tags.
+HOLDERS = frozenset("noscript template iframe svg object canvas select".split())
+PAIRED = re.compile(
+    r"<!--(?:.*?-->|.*\Z)|<(?P<skip>script|style)\b(?:.*?</(?P=skip)\s*>|.*\Z)"
+    r"|<(?P<close>/?)(?P<tag>noscript|template|iframe|svg|object|canvas|select)(?![^\s/>])(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S | re.I)
+MATH = "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced msub msup msubsup munder mover munderover mtable mtr mtd mmultiscripts semantics annotation annotation-xml"
+INLINE = frozenset((MATH + " a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr").split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ARTICLE = frozenset(("article", "main"))
@@ -138,12 +144,31 @@ def is_furniture(tag: str, attrs: str) -> bool:
     return any(hint.search(n) for n in names if not n.lower().startswith(WRAPPER))
 
 
+def closed(page: str) -> dict[int, int]:
+    """Where the holders that have an end tag begin and end; a self-closing svg ends at once."""
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in PAIRED.finditer(page):
+        if m["tag"] is None:
+            continue
+        tag = m["tag"].lower()
+        if m["close"]:
+            if held := open_.get(tag):
+                ends[held.pop()] = m.end()
+        elif tag == "svg" and m["attrs"].endswith("/"):
+            ends[m.start()] = m.end()
+        else:
+            open_.setdefault(tag, []).append(m.start())
+    return ends
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, linked words, heading, in an article, in furniture) of each flat block with text."""
     found: list[tuple] = []
     open_: list[tuple[str, bool, bool]] = []  # tag, furniture, article
     texts: list[str] = []
     linked, in_link = [], 0
+    ends, after, loose = closed(page), 0, False
 
     def end() -> None:
         text = WHITE.sub(" ", html.unescape("".join(texts))).strip()
@@ -154,7 +179,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         texts.clear()
         linked.clear()
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.match(page, after):
+        after = m.end()
         if (text := m["text"]) is not None:
             texts.append(text)
             if in_link:
@@ -163,18 +189,26 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         tag = m["tag"] or m["tag2"]
         if tag is None:
             if m["raw"] and m["raw"].lower() not in INLINE:
-                texts.append(" ") if m["raw"].lower() in ("svg", "math", "canvas") else end()
+                end()
             continue
         tag, attrs = tag.lower(), m["attrs"] or m["attrs2"] or ""
         closing = bool(m["close"] or m["close2"])
+        if tag in HOLDERS and m.start() in ends:
+            after = ends[m.start()]
+            texts.append(" ") if tag in ("svg", "canvas") else end()
+            continue
         if tag == "a":
             in_link = 0 if closing else 1
             if in_link:
                 linked.append(" ")
-        marked = not closing and attrs and tag not in VOID and is_furniture(tag, attrs)
+        marked = not closing and (tag in HOLDERS or attrs and tag not in VOID and is_furniture(tag, attrs))
         if tag in INLINE and not marked and not (closing and any(t[0] == tag for t in open_)):
             continue
         end()
+        if loose and not closing and tag not in INLINE and tag not in ("option", "optgroup"):
+            # a holder without an end tag is furniture up to the next block
+            del open_[next((i for i, t in enumerate(open_) if t[0] in HOLDERS), len(open_)) :]
+        loose |= tag in HOLDERS
         if tag in VOID:
             continue
         if closing:
@@ -210,8 +244,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Defined cases: null and empty pages have an empty text; pages cut off inside a tag, comment or raw element
-    end there; repeated rows stay; an empty table gives no rows; further columns are ignored.
+    Defined cases: null and empty pages have an empty text; pages cut off inside a tag, comment, script, style,
+    textarea or title end there; repeated rows stay; an empty table gives no rows; further columns are ignored.
     """
     ship(pages.sparkSession)
 

@@ -425,6 +425,19 @@ def test_extraction_drops_only_what_is_hidden():
         assert extraction.main_text(f"<article>{body}<div {gone}>{body}</div></article>") == story, gone
 
 
+def test_extraction_goes_on_after_elements_without_an_end():
+    body, rest = ("<p>" + w * 8 + "</p>" for w in ("Plain words of a story that goes on. ", "The rest of it comes after that. "))
+    story = extraction.main_text(f"<article>{body}{rest}</article>")
+    for odd in ('<svg class="i"/>', "<math/>", "<select><option>Red<option>Blue", "<object data=x>", "<canvas>", "<iframe src='a'>", "<template>", "<noscript>"):
+        tag = re.match(r"<(\w+)", odd)[1]
+        for tail in ("", f"<div><{tag}></{tag}></div>"):
+            assert extraction.main_text(f"<body><article>{body}{odd}{rest}{tail}</article></body>") == story, odd
+    for gone in ("<svg><svg><text>x y</text></svg><text>z</text></svg>", "<select><option>Red</select>", "<object><object>x</object>y</object>", "<iframe>no frames</iframe>"):
+        assert extraction.main_text(f"<article>{body}{gone}{rest}</article>") == story, gone
+    assert extraction.main_text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "so x=2 holds"
+    assert len(extraction.main_text("<article>" + "<select><p>word" * 20_000)) > 0
+
+
 @pytest.mark.parametrize("page,want", [(None, ""), ("", ""), ("<article><p>cut off he", "cut off he"), ("<article>a<scr", "a"), ("<article>x<!-- open", "x"), ("<article><p title='>'>q</p>", "q"), ("<" * 2000, ""), ("<article>1 < 2 &lt; 3</article>", "1 < 2 < 3")])
 def test_extraction_of_odd_pages(page, want):
     got = extraction.main_text(page)

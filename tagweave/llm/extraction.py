@@ -4,7 +4,7 @@ A page is cut into flat blocks of text at block-level tags; scripts, styles, com
 give text. The features of a block are its word count and link density, the same of the blocks before and
 after it, whether it is a heading, whether it stands in an article or main element, and whether it stands in
 an element that by name, class, id or role is furniture (navigation, footer, sidebar, notice, advert,
-comments). A tree is grown on the labelled blocks below by Gini impurity.
+comments), and whether it stands in an element of an article whose name only has a part that hints at it. A tree is grown on the labelled blocks below by Gini impurity.
 """
 
 from __future__ import annotations
@@ -45,6 +45,10 @@ HINT = re.compile(
     r"(?<![a-z])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side-bar|footer|header|masthead|"
     r"cookies?\w*|consent|notice\w*|alert|popup|modal|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|reply|replies|"
     r"respond|login|signup|search|widget|toolbar|copyright|legal|disclaimer|pagination|pager|tags|complementary|contentinfo|skip)(?![a-z])", re.I)
+#: Last parts of names that are furniture in an article too, whatever stands before them.
+SUFFIX = re.compile(
+    r"(?:.*[^a-z])?(?:(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|banner|popup|modal|widget|toolbar|pagination|pager|ads?|advert|newsletter|disqus|commentlist)"
+    r"|(?:share|sharing|social|related|recommended|comments?|reply|search|login|signup|subscribe|cookies?|promo|sponsored)[-_](?:bar|box|buttons?|links?|list|form|icons?|posts?|articles?|stories|items?|area))", re.I)
 #: Names that only tell what a wrapper holds, and the only hints that count for the article itself.
 WRAPPER = ("has-", "with-", "without-", "no-", "is-")
 NOT_THE_ARTICLE = re.compile(r"(?<![a-z])(?:comments?|reply|replies|related|teaser|promo\w*|sponsor\w*)(?![a-z])", re.I)
@@ -55,8 +59,9 @@ WHITE = re.compile(r"\s+")
 CLOSED_BY = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
 
 #: Labelled blocks: words, link density, words before, density before, words after, density after, heading,
-#: in an article, in furniture; label 1: main text. Fixed values of the training table.
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "article", "furniture")
+#: in an article, in furniture (and, where it isn't 0, in an element with a hint); label 1: main text. Fixed values
+#: of the training table.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "article", "furniture", "hint")
 LABELLED = (
     # in an article
     (1, 0, 90, 0, 0, 0, 0, 1, 0, 1), (2, 0, 6, 0, 50, 0, 0, 1, 0, 1), (3, 0, 40, 0, 30, 0, 0, 1, 0, 1), (5, 0, 0, 0, 3, 0, 0, 1, 0, 1),
@@ -86,6 +91,14 @@ LABELLED = (
     (45, 0.6, 10, 1, 20, 0.7, 0, 0, 0, 0), (30, 0.5, 25, 0.6, 28, 0.7, 0, 0, 0, 0), (1, 1, 90, 0, 1, 1, 0, 0, 0, 0), (2, 1, 1, 1, 60, 0, 0, 0, 0, 0),
     (12, 0.8, 60, 0, 4, 1, 0, 0, 0, 0), (70, 0.7, 5, 1, 9, 1, 0, 0, 0, 0), (7, 0.6, 60, 0, 55, 0, 0, 0, 0, 0), (3, 0, 1, 1, 2, 0, 0, 0, 0, 0),
 )
+#: In an article's element with a hint in its name: word count and link density decide.
+HINTED = (
+    (300, 0, 9, 0, 80, 0, 0, 1, 0, 1, 1), (150, 0.05, 60, 0, 40, 0, 0, 1, 0, 1, 1), (90, 0, 6, 0, 70, 0, 0, 1, 0, 1, 1), (60, 0.1, 0, 0, 0, 0, 0, 1, 0, 1, 1),
+    (40, 0, 75, 0, 6, 0, 0, 1, 0, 1, 1), (30, 0, 6, 0, 20, 0, 0, 1, 0, 1, 1), (25, 0.2, 30, 0, 12, 0, 0, 1, 0, 1, 1), (20, 0, 60, 0, 45, 0, 0, 1, 0, 1, 1),
+    (2, 0, 60, 0, 60, 0, 1, 1, 0, 1, 1), (5, 0, 80, 0, 50, 0, 1, 1, 0, 1, 1), (4, 0, 12, 0, 300, 0, 1, 1, 0, 1, 1), (6, 0, 0, 0, 90, 0, 1, 1, 0, 1, 1),
+    (1, 1, 50, 0, 60, 0, 0, 1, 0, 1, 0), (3, 0, 1, 1, 4, 1, 0, 1, 0, 1, 0), (4, 1, 3, 1, 2, 1, 0, 1, 0, 1, 0), (7, 0.5, 150, 0, 20, 0, 0, 1, 0, 1, 0),
+    (9, 0, 70, 0, 60, 0, 0, 1, 0, 1, 0), (2, 0, 60, 0, 45, 0, 0, 1, 0, 1, 0), (20, 0.7, 15, 0.8, 12, 0.9, 0, 1, 0, 1, 0), (60, 0.6, 10, 1, 20, 0.7, 0, 1, 0, 1, 0),
+)
 
 
 def grow(rows: list[tuple], depth: int = 6) -> tuple | float:
@@ -109,8 +122,8 @@ def grow(rows: list[tuple], depth: int = 6) -> tuple | float:
 
 
 @lru_cache(maxsize=4)
-def tree(labelled: tuple = LABELLED) -> tuple | float:
-    return grow(list(labelled))
+def tree(labelled: tuple = LABELLED + HINTED) -> tuple | float:
+    return grow([(*row[:-1], 0, row[-1]) if len(row) == len(FEATURES) else row for row in labelled])
 
 
 def judged(node: tuple | float, features: tuple) -> bool:
@@ -133,15 +146,22 @@ def is_hidden(held: dict[str, str]) -> bool:
     return bool(HIDING.search(held.get("style", "")))
 
 
-def is_furniture(tag: str, attrs: str) -> bool:
+def is_furniture(tag: str, attrs: str, inside: bool = False) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether its name only hints at it. ``inside`` an article a name must
+    be furniture as a whole or by its last part, and the names of headings and paragraphs say nothing."""
     held = attributes(attrs)
     if tag in FURNITURE or is_hidden(held):
-        return True
-    if tag in ("html", "body"):
-        return False
+        return True, False
+    if tag in ("html", "body") or inside and (tag in HEADINGS or tag == "p"):
+        return False, False
+    if inside and tag not in ARTICLE:
+        names = [n for kind in NAMED for n in ([held.get(kind, "").strip()] if kind == "aria-label" else held.get(kind, "").split())]
+        names = [n for n in names if not n.lower().startswith(WRAPPER)]
+        sure = any(HINT.fullmatch(n) or SUFFIX.fullmatch(n) for n in names)
+        return sure, not sure and any(HINT.search(n) for n in names)
     hint = NOT_THE_ARTICLE if tag in ARTICLE else HINT
     names = (n for kind in NAMED for n in held.get(kind, "").split())
-    return any(hint.search(n) for n in names if not n.lower().startswith(WRAPPER))
+    return any(hint.search(n) for n in names if not n.lower().startswith(WRAPPER)), False
 
 
 def closed(page: str) -> dict[int, int]:
@@ -162,10 +182,10 @@ def closed(page: str) -> dict[int, int]:
     return ends
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, linked words, heading, in an article, in furniture) of each flat block with text."""
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
+    """(text, words, linked words, heading, in an article, in furniture, in an element with a hint) of each flat block with text."""
     found: list[tuple] = []
-    open_: list[tuple[str, bool, bool]] = []  # tag, furniture, article
+    open_: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, article, hint
     texts: list[str] = []
     linked, in_link = [], 0
     ends, after, loose = closed(page), 0, False
@@ -175,7 +195,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if text:
             n = len(text.split())
             in_links = min(n, len(html.unescape("".join(linked)).split()))
-            found.append((text, n, in_links, any(t[0] in HEADINGS for t in open_), any(t[2] for t in open_), any(t[1] for t in open_)))
+            found.append((text, n, in_links, any(t[0] in HEADINGS for t in open_), any(t[2] for t in open_), any(t[1] for t in open_), any(t[3] for t in open_)))
         texts.clear()
         linked.clear()
 
@@ -201,7 +221,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             in_link = 0 if closing else 1
             if in_link:
                 linked.append(" ")
-        marked = not closing and (tag in HOLDERS or attrs and tag not in VOID and is_furniture(tag, attrs))
+        marked, hinted = tag in HOLDERS, False
+        if not closing and attrs and tag not in VOID and not marked:
+            marked, hinted = is_furniture(tag, attrs, any(t[2] for t in open_))
         if tag in INLINE and not marked and not (closing and any(t[0] == tag for t in open_)):
             continue
         end()
@@ -220,7 +242,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if tag in CLOSED_BY and open_ and open_[-1][0] in CLOSED_BY[tag]:
                 open_.pop()
             if not attrs.rstrip().endswith("/") or tag not in INLINE:
-                open_.append((tag, bool(marked) or tag in FURNITURE, tag in ARTICLE))
+                open_.append((tag, marked or tag in FURNITURE, tag in ARTICLE, hinted))
             if tag not in INLINE and tag != "p":
                 in_link = 0
     end()
@@ -233,10 +255,10 @@ def main_text(page: str | None) -> str:
     held = blocks(page or "")
     sizes = [(n, k / n) for _, n, k, *_ in held]
     kept = []
-    for i, (text, n, k, heading, article, furniture) in enumerate(held):
+    for i, (text, n, k, heading, article, furniture, hint) in enumerate(held):
         before = sizes[i - 1] if i else (0, 0.0)
         after = sizes[i + 1] if i + 1 < len(sizes) else (0, 0.0)
-        if judged(tree(), (n, k / n, *before, *after, heading, article, furniture)):
+        if judged(tree(), (n, k / n, *before, *after, heading, article, furniture, hint)):
             kept.append(text)
     return " ".join(kept)
 

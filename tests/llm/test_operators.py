@@ -425,6 +425,18 @@ def test_extraction_drops_only_what_is_hidden():
         assert extraction.main_text(f"<article>{body}<div {gone}>{body}</div></article>") == story, gone
 
 
+def test_extraction_keeps_parts_of_an_article_whose_names_only_hint():
+    body, part = "<p>" + "Plain words of a story that goes on. " * 8 + "</p>", "<p>" + "Others wrote of it in earlier years too. " * 40 + "</p>"
+    for names in ('id="related-work"', 'class="legal-analysis"', "class='social-science x'", 'id="share-price"', 'aria-label="Related work in search"'):
+        got = extraction.main_text(f"<article>{body}<section {names}><h2>Earlier work</h2>{part}</section></article>")
+        assert "Earlier work" in got and got.count("Others wrote") == 40, names
+    assert extraction.main_text(f"<article>{body}<h2 id='search-algorithms'>How to search</h2>{part.replace('<p>', '<p class=section-header>')}</article>").count("How to search Others") == 1
+    story = extraction.main_text(f"<article>{body}</article>")
+    for names in ("class=related", "class='x share-buttons'", "id=post-footer", "role=navigation", "class=related-posts"):
+        assert extraction.main_text(f"<article>{body}<div {names}>{part}</div></article>") == story, names
+    assert extraction.main_text(f"<article>{body}<div class=share-it><a href=x>Tell your friends</a></div></article>") == story
+
+
 def test_extraction_goes_on_after_elements_without_an_end():
     body, rest = ("<p>" + w * 8 + "</p>" for w in ("Plain words of a story that goes on. ", "The rest of it comes after that. "))
     story = extraction.main_text(f"<article>{body}{rest}</article>")

@@ -23,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share. Where none is configured, a temporary one if everything runs in
+    this process (tests), else an error: executors elsewhere couldn't read it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -42,7 +45,24 @@ def durable(df: DataFrame, kind: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes durable tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,7 +87,8 @@ class WordwiseEncoder:
 
     Both public vocabularies first cut a text by a published pattern and never merge across its pieces. For
     texts of ASCII and Latin-1 letters the same pattern is applied here, each new piece is encoded once by the
-    library, and the ids are joined. Texts with other characters go to the library whole. Runs of letters are
+    library, and the ids are joined. Texts with other characters, or with the string of an added token, go to the
+    library whole. Runs of letters are
     encoded many at a time with a digit between them, which always stands alone and so marks where each ends.
     Pieces are first looked up in a small memo of the frequent ones, which stays in the processor's cache; a
     large memo holds the others.
@@ -85,7 +106,7 @@ class WordwiseEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.lower = white_space_dropped
         self.fine = (self.FINE_WORD if white_space_dropped else self.FINE_BYTE).findall
         self.between = " 0 " if white_space_dropped else "0"
@@ -100,10 +121,12 @@ class WordwiseEncoder:
     def cut(self, text: str) -> list[str] | None:
         """Pieces, or None for a text that isn't cut."""
         try:
-            if text.encode("latin-1").translate(None, self.ALLOWED) or "<|" in text:
+            if text.encode("latin-1").translate(None, self.ALLOWED):
                 return None
         except UnicodeEncodeError:
             return None
+        if "<" in text and any(a in text.lower() for a in self.added):
+            return None
         return self.fine(text.lower() if self.lower else text)
 
     def learn(self, pieces: set[str]) -> None:

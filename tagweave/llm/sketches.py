@@ -53,8 +53,12 @@ def distinct_count(a: Column, k: int = K) -> Column:
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
     """Estimated share of a's shingles that b has too; an empty a is contained in everything."""
-    j = resemblance(a, b, k)
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), j * distinct_count(merge(a, b, k), k) / distinct_count(a, k)))
+    return contained(a, b, merge(a, b, k), k)
+
+
+def contained(a: Column, b: Column, union: Column, k: int = K) -> Column:
+    """``containment`` where the sketch of the union is at hand."""
+    return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), shared(a, b, union) * distinct_count(union, k) / distinct_count(a, k)))
 
 
 def text_of(sketch: Column) -> Column:
@@ -62,38 +66,52 @@ def text_of(sketch: Column) -> Column:
     return F.lower(F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def previous_of(ids: DataFrame, width: int = 1024) -> DataFrame:
-    """(bucket, top, next_bucket): for every bucket of ``width`` ids its largest id and the next bucket that
-    has ids; null for the last. Buckets of buckets are looked at when there are many."""
-    tops = ids.groupBy(F.floor(F.col("doc_id") / width).alias("bucket")).agg(F.max("doc_id").alias("top"))
-    inner = Window.partitionBy(F.floor(F.col("bucket") / width)).orderBy("bucket")
-    upper = Window.orderBy("upper")
-    step = durable(tops.withColumn("next_bucket", F.lead("bucket").over(inner)).withColumn("upper", F.floor(F.col("bucket") / width)), "tops")
-    firsts = step.groupBy("upper").agg(F.min("bucket").alias("first"))
-    after = firsts.select("upper", F.lead("first").over(upper).alias("after"))
-    return durable(step.join(after, "upper").select("bucket", "top", F.coalesce("next_bucket", "after").alias("next_bucket")), "tops")
+RANGES = 16_384  # at most: bounds the boundaries, which travel with the plan, and the table of range tops
+
+
+def range_bounds(docs: DataFrame, range_rows: int) -> list[int]:
+    """Ascending lower bounds of ranges of doc_id with about ``range_rows`` rows each, whatever the ids are:
+    approximate quantiles, of which at most RANGES come to the driver."""
+    n = docs.where("doc_id IS NOT NULL").count()
+    ranges = min(RANGES, n // range_rows)
+    if ranges < 2:
+        return []
+    found = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
+    return sorted(set(found))
+
+
+def range_of(bounds: list[int]) -> Column:
+    """The number of bounds that are at most doc_id, by bisection; null for a null id."""
+    if not bounds:
+        return F.when(F.col("doc_id").isNotNull(), 0)
+    held = F.array(*[F.lit(b).cast("long") for b in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    ahead = lambda at, step: F.get(held, at + step - 1)  # noqa: E731  null beyond the last bound
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(ahead(at, step) <= F.col("doc_id"), at + step).otherwise(at))
+    return F.when(F.col("doc_id").isNotNull(), found)
+
 
+def with_next(docs: DataFrame, range_rows: int = 500, k: int = K) -> DataFrame:
+    """(doc_id, text) with next_text, that of the next row in descending doc_id (after the last, of the first), and
+    sketches of both (``sketch``, ``next_sketch``).
 
-def with_next(docs: DataFrame, carried: list[str], width: int = 1024) -> DataFrame:
-    """Adds next_<c> for each carried column: the value of the next row in descending doc_id (after the last,
-    of the first). Rows are dealt by ranges of ids; the largest of a range is repeated in the range above, so
-    every neighbour is in the same range and the texts are shuffled once. Ties are ordered by the carried
-    columns; rows with a null id are the last ranges' equals: they form one range of their own after all others.
+    Rows are dealt by ranges of ids; the row with the largest id of a range is repeated in the next range that has
+    rows, so every neighbour is in the same range and the texts are shuffled once. The repeated rows are at most
+    RANGES, as are the tops of ranges that one window orders. Ties are ordered by text; rows with a null id form a
+    range of their own, after all others.
     """
-    tops = previous_of(docs.where("doc_id IS NOT NULL").select("doc_id"), width)
-    edges = tops.agg(F.min("bucket").alias("least"), F.max("top").alias("most"))
-    least, most = edges.first()
-    plain = docs.withColumn("bucket", F.floor(F.col("doc_id") / width)).withColumn("ghost", F.lit(False)).withColumn("at", F.col("doc_id"))
-    if least is None:
-        ghosts = None
-    else:
-        goal = F.when(F.col("next_bucket").isNull(), F.lit(least)).otherwise(F.col("next_bucket"))
-        near = tops.select(F.col("top").alias("doc_id"), goal.alias("bucket"))
-        ghosts = docs.join(near, "doc_id").withColumn("ghost", F.lit(True)).withColumn("at", F.when(F.col("doc_id") == most, F.lit(-(1 << 63))).otherwise(F.col("doc_id"))).select(plain.columns)
-    both = plain if ghosts is None else plain.unionByName(ghosts)
-    inside = Window.partitionBy("bucket").orderBy(F.col("at").asc_nulls_first(), F.col("ghost").desc(), *carried)
-    named = both.select("*", *[F.lag(c).over(inside).alias(f"next_{c}") for c in carried])
-    return named.where("NOT ghost").drop("bucket", "ghost", "at")
+    bounds = range_bounds(docs, range_rows)
+    plain = docs.withColumn("range", range_of(bounds)).withColumn("ghost", F.lit(False)).withColumn("at", F.col("doc_id"))
+    tops = durable(docs.where("doc_id IS NOT NULL").select("doc_id", range_of(bounds).alias("range")).groupBy("range").agg(F.max("doc_id").alias("top")), "tops")
+    least, most = tops.agg(F.min("range"), F.max("top")).first()
+    after = F.coalesce(F.lead("range").over(Window.orderBy("range")), F.lit(least))
+    goals = tops.select(F.col("top").alias("doc_id"), after.cast("int").alias("range"))
+    first = F.when(F.col("doc_id") == most, F.lit(-(1 << 63))).otherwise(F.col("doc_id")) if most is not None else F.col("doc_id")
+    ghosts = docs.join(F.broadcast(goals), "doc_id").withColumn("ghost", F.lit(True)).withColumn("at", first)
+    inside = Window.partitionBy("range").orderBy(F.col("at").asc_nulls_first(), F.col("ghost").desc(), "text")
+    both = with_sketch(plain.unionByName(ghosts), "text", "sketch", k)
+    named = both.select("*", *[F.lag(c).over(inside).alias(f"next_{c}") for c in ("text", "sketch")])
+    return named.where("NOT ghost").drop("range", "ghost", "at")
 
 
 def fingerprints(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,8 +123,7 @@ def fingerprints(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col:
     table gives no rows; further columns are ignored.
     """
     own = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    own = with_sketch(own, "text", "sketch", k)
-    near = with_next(own, ["text", "sketch"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    near = with_next(own, k=k).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     following = F.coalesce("next_text", F.lit(""))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(following, F.lit(1), half))
@@ -115,7 +132,10 @@ def fingerprints(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col:
     for name, other in (("edited", "edited_sketch"), ("next", "next_sketch")):  # each union once, in a step of its own
         both = both.withColumn("union_" + name, merge(F.col("sketch"), F.col(other), k))
     near = lambda name, other: shared(F.col("sketch"), F.col(other), F.col("union_" + name)).alias("near_" + name)
-    return both.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("sketch")).alias("fingerprint"), text_of(F.col("edited_sketch")).alias("edited_fingerprint"), near("edited", "edited_sketch"), near("next", "next_sketch"), distinct_count(F.col("sketch"), k).alias("n_shingles"))
+    return both.select(
+        "doc_id", "n_chars", "edited_sha256", text_of(F.col("sketch")).alias("fingerprint"), text_of(F.col("edited_sketch")).alias("edited_fingerprint"), near("edited", "edited_sketch"), near("next", "next_sketch"),
+        contained(F.col("sketch"), F.col("edited_sketch"), F.col("union_edited"), k).alias("contained_in_edited"), distinct_count(F.col("sketch"), k).alias("n_shingles"),
+    )
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

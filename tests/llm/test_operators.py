@@ -105,7 +105,6 @@ def whole_ids(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -120,6 +119,18 @@ def test_encoder_equals_library(name, dropped):
         assert got == [library(t)[:-1] for t in texts]
 
 
+@pytest.mark.parametrize("name,dropped", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_added_tokens_inside_texts(name, dropped):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    encode = common.WordwiseEncoder(public_tokenizers.path(name), dropped)
+    for at, token in plain.get_added_tokens_decoder().items():
+        texts = [f"x {token.content} y", token.content, f"a{token.content}b", token.content.upper(), f"<|{token.content}|>", "plain <| words |>"]
+        got = [np.frombuffer(b, "<u4").tolist() for b in encode.encode_batch(texts)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts] and at in got[0]
+
+
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(3)
     for stream in (np.zeros(0, np.uint32), np.zeros(1000, np.uint32), rng.integers(0, 40, 20_000).astype(np.uint32), np.tile(np.arange(7, dtype=np.uint32), 900)):
@@ -354,11 +365,55 @@ def test_sketches_of_odd_tables(spark, odd):
     assert sketches.fingerprints(empty(spark)).count() == 0
 
 
-def test_neighbours_across_ranges(spark):
-    ids = [1, 2, 1023, 1024, 5000, 5_000_000, 5_000_001, 9_999_999_999]
+@pytest.mark.parametrize("ids", [
+    [1, 2, 1023, 1024, 5000, 5_000_000, 5_000_001, 9_999_999_999], [-(1 << 63), -5, 0, 7, (1 << 63) - 1], [3], [0, *range(1 << 40, (1 << 40) + 60)],
+    [random.Random(9).getrandbits(63) - (1 << 62) for _ in range(300)],
+])
+def test_neighbours_across_ranges(spark, ids):
+    """Dense, sparse, hashed and clumped ids, with ranges of one row and more."""
+    ids = sorted(ids)
     docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
-    got = {r.doc_id: r.next_text for r in sketches.with_next(docs, ["text"]).collect()}
-    assert got == {b: f"t{a}" for a, b in zip([ids[-1], *ids], ids)}
+    for range_rows in (1, 7, 500):
+        got = {r.doc_id: r.next_text for r in sketches.with_next(docs, range_rows).collect()}
+        assert got == {b: f"t{a}" for a, b in zip([ids[-1], *ids], ids)}
+
+
+def test_hashed_ids_leave_no_large_range(spark):
+    docs = spark.range(20_000).select(F.xxhash64("id").alias("doc_id"))
+    bounds = sketches.range_bounds(docs, 100)
+    sizes = [r["count"] for r in docs.groupBy(sketches.range_of(bounds)).count().collect()]
+    assert len(sizes) > 150 and max(sizes) < 300
+
+
+def brute_sketch(text, k):
+    """Chained XXH64 of the words' XXH64, as Spark's xxhash64 of a string and of several longs."""
+    def chained(hashes):
+        seed = 42
+        for h in hashes:
+            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
+        return seed
+
+    h = [xxhash.xxh64_intdigest(w, 42) for w in (text or "").encode().split()]
+    grams = [h[i : i + 5] for i in range(len(h) - 4)] if len(h) >= 5 else [h + [0] * (5 - len(h))] if h else []
+    return sorted({x - (1 << 64) if x >> 63 else x for x in map(chained, grams)})[:k]
+
+
+def test_sketches_equal_brute_force(spark, odd, documents):
+    for docs in (odd, documents):
+        rows = {r.doc_id: r.text for r in everything(docs) if r.doc_id is not None}
+        hexes = lambda s: "".join(f"{x & (1 << 64) - 1:016x}" for x in s)
+        for r in sketches.fingerprints(docs).collect():
+            if r.doc_id is None:
+                continue
+            assert r.fingerprint == hexes(brute_sketch(rows[r.doc_id], 128))
+    edited = brute_edited(everything(documents))
+    for r in sketches.fingerprints(documents).collect():
+        a, b = brute_sketch(rows[r.doc_id], 128), brute_sketch(edited[r.doc_id], 128)
+        union = sorted(set(a) | set(b))[:128]
+        j = len(set(a) & set(b) & set(union)) / len(union) if union else 1.0
+        assert r.edited_fingerprint == hexes(b) and abs(r.near_edited - j) < 1e-12
+        full = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((rows[r.doc_id] or "").split(), edited[r.doc_id].split())]
+        assert not full[0] or abs(r.contained_in_edited - len(full[0] & full[1]) / len(full[0])) < 0.25
 
 
 def test_sketches_merge(spark):
@@ -369,6 +424,14 @@ def test_sketches_merge(spark):
     assert row.m == sorted(set(row.sa) | set(row.sb))[:4] and row.n == 3 and row.c == 1.0
 
 
+def test_containment_of_a_part(spark):
+    words = [f"w{i}" for i in range(4000)]
+    df = spark.createDataFrame([(" ".join(words[:1000]), " ".join(words))], "a string, b string")
+    df = sketches.with_sketch(sketches.with_sketch(df, "a", "sa"), "b", "sb")
+    row = df.select(sketches.containment(F.col("sa"), F.col("sb")).alias("part"), sketches.containment(F.col("sb"), F.col("sa")).alias("whole")).first()
+    assert row.part > 0.75 and 0.15 < row.whole < 0.35
+
+
 # 6. Quality classifier
 
 def test_classifier_held_out_accuracy(spark):
@@ -559,7 +622,7 @@ def test_targets(spark, sizes):
 
 
 def test_mixing_of_odd_tables(spark, odd):
-    check_mix(mixing.mix(mixing.sizes_and_weights(clashing(odd)), buckets=3).collect())
+    check_mix(mixing.mix(mixing.sizes_and_weights(clashing(odd)), part_rows=2).collect())
     assert mixing.mix(mixing.sizes_and_weights(empty(spark))).count() == 0
     repeated = mixing.repeat_taken(odd)
     assert repeated.columns == odd.columns
@@ -572,9 +635,26 @@ def test_heavier_documents_are_taken_more_often(spark):
     assert len(got) == 2000 and heavy > 0.7 * len(got)
 
 
+def test_parts_of_bins_change_nothing_and_stay_small(spark):
+    """A source whose weights are all small, a third of all rows: results as with one part, and no part is large."""
+    rows = [(i, "code" if i % 3 == 0 else "web", i % 50, 0.05 if i % 3 == 0 else 1.0) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, weight double")
+    whole, parts = (sorted(mixing.mix(df, part_rows=n).collect()) for n in (1 << 40, 16))
+    assert whole == parts
+    check_mix(whole)
+    key = -F.log((F.conv(F.substring(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)) / F.col("weight")
+    assert df.groupBy("source", F.floor(F.log2(key) * mixing.BINS)).count().agg(F.max("count")).first()[0] < 200
+
+
+def test_mixing_by_a_column_of_scores(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", 0.9 if i % 2 else 0.01) for i in range(2000)] + [(5000 + i, "a b c", "t", 1.0) for i in range(2000)], "doc_id long, text string, source string, quality double")
+    got = mixing.mix(mixing.sizes_and_weights(docs, weight_col="quality"), (1, 3)).where("source = 's' AND taken > 0").collect()
+    assert sum(r.doc_id % 2 for r in got) > 0.8 * len(got) > 0
+
+
 # 10. Line dedup
 
-def brute_lines(rows, long_words=50):
+def brute_lines(rows, long_words=math.inf):
     first, windows = {}, []
     for r in {(r.doc_id, r.text) for r in rows if r.doc_id is not None and r.text is not None}:
         lines = r[1].split("\n")
@@ -596,12 +676,16 @@ def test_line_dedup_equals_brute_force(spark, odd):
     wide = " ".join(f"w{i}" for i in range(60))
     extra = spark.createDataFrame(rows_of([block, "x\n" + block + "\ny\n" + block, "a\na\na\na\na", wide, "p\n" + wide + "\nq", "\n\n\n\n", wide + "x\nshort", "z\n" + wide + "x\nshort"], 300), DOCS)
     docs = odd.unionByName(extra)
-    got = linededup.dedup_lines(clashing(docs))
-    assert Counter(map(tuple, everything(got))) == Counter(brute_lines(everything(docs)))
-    assert got.columns == clashing(docs).columns
+    wide_docs = clashing(docs)
+    for name in ("__covered", "__lines", "of_doc", "_of_doc", "covered", "lines", "n", "first", "w1"):
+        wide_docs = wide_docs.withColumn(name, F.lit("kept"))
+    for long_words in (None, 50):
+        got = linededup.dedup_lines(wide_docs, long_words)
+        assert Counter(map(tuple, everything(got))) == Counter(brute_lines(everything(docs), long_words or math.inf))
+        assert got.columns == wide_docs.columns and got.where("__lines <> 'kept' OR covered <> 'kept'").count() == 0
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
 
 def test_line_dedup_of_documents(spark, documents):
     got = {r.doc_id: r.text for r in linededup.op10_line_dedup(spark, SF).collect()}
-    assert got == dict(brute_lines(everything(documents)))
+    assert got == dict(brute_lines(everything(documents), 50))

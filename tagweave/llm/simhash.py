@@ -6,13 +6,18 @@ most ``radius`` differing positions never span the whole space, so some v is ort
 its table keeps none of these positions: every pair within the radius meets in a bucket of some table.
 
 For texts that share four fifths of their shingles, masks of the same kind are laid over minimum-hash signatures
-(``similar``) and what meets is compared exactly; op3's contract takes the fingerprints alone, the pipeline's stage both.
+(``groups``) and what meets is compared exactly; op3's contract takes the fingerprints alone, the pipeline's stage both.
 
 Components are found without emitting the pairs of a bucket: (1) equal fingerprints become one row; (2) every
 member of a bucket is compared with two hubs of the bucket; (3) the links are contracted to components;
 (4) only buckets that still hold several components are compared further, and there only members outside the
-bucket's largest component with members of other components. What (4) finds is contracted again. A link that
-is never compared joins two members which are already in one component, so components are exact.
+bucket's largest component with members of other components; a bucket with many of these is first cut by a second
+family of covering masks over other positions, under which every pair within the radius meets as well. What (4)
+finds is contracted again. A link that is never compared joins two members which are already in one component, so
+components are exact.
+
+A node is named by its smallest document first, so the smallest node of a component names its smallest document and
+no join by component is needed.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, id_text, table, words
+from .common import discard, durable, id_text, table, unused, words
 
 BYTES = np.uint64(0x0101010101010101)
 
@@ -64,18 +69,24 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def masks(radius: int) -> list[int]:
-    """The tables' bit masks as signed longs."""
+def masks(radius: int, step: int = 1) -> list[int]:
+    """The tables' bit masks as signed longs; another odd ``step`` deals the vectors to other positions."""
     top = 1 << (radius + 1)
-    carried = [i % (top - 1) + 1 for i in range(64)]
+    carried = [i * step % 64 % (top - 1) + 1 for i in range(64)]
     found = [sum(1 << i for i, m in enumerate(carried) if (m & v).bit_count() % 2) for v in range(1, top)]
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
+def masked(fp: Column, radius: int, step: int = 1) -> Column:
+    """What each of the masks leaves of a fingerprint."""
+    return F.array(*[fp.bitwiseAND(F.lit(m)) for m in masks(radius, step)])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the smallest node of its component.
 
-    Alternates large and small star contraction; each round's edges are a table in the shared folder.
+    Alternates large and small star contraction; each round's edges are a table in the shared folder, and those of
+    the round before are deleted.
     """
     e = durable(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
@@ -88,15 +99,18 @@ def components(edges: DataFrame) -> DataFrame:
         large = e.select(F.col("v").alias("k"), F.col("u").alias("w")).join(least.withColumnRenamed("u", "k"), "k").select(F.col("w").alias("u"), F.col("m").alias("v"))
         own = least.where("u != m").select("u", F.col("m").alias("v"))
         large = durable(large.union(own).where("u != v").distinct(), "edges")
+        discard(e, least)
         small = durable(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = large.join(small, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = durable(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(large, small)
 
 
-def grouped(items: DataFrame, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def grouped(items: DataFrame, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame] | None = None, finer: Callable[[Column], Column] | None = None, crowd: int = 200) -> DataFrame:
     """(item, root) of every item of a table (item, keys, sig): items are linked if they meet under a key (keys are
     an array with one for each table) and ``near`` holds for their signatures. Where signatures only hint at a
-    link, ``confirm`` leaves the true ones of the pairs (a, b).
+    link, ``confirm`` leaves the true ones of the pairs (a, b). ``finer`` gives further keys of a signature, one of
+    which every linked pair shares; they divide buckets with more than ``crowd`` members outside the largest component.
 
     The condition is part of the joins, so no pair that fails it ever becomes a row. The table is read several
     times and should be stored.
@@ -108,16 +122,21 @@ def grouped(items: DataFrame, near: Callable[[Column, Column], Column], confirm:
     met = members.join(hubs, ["t", "key"]).select(F.col("item").alias("a"), F.explode(F.array("hub", "hub2")).alias("b")).where("a != b").distinct()
     edges = met.join(sig("a", "sig_a"), "a").join(sig("b", "sig_b"), "b").where(near(F.col("sig_a"), F.col("sig_b"))).select("a", "b")
     first = durable(components(confirm(edges) if confirm else edges), "roots")
+    discard(hubs)
 
     labelled = durable(items.select("item").join(first.select(F.col("node").alias("item"), "root"), "item", "left").select("item", F.coalesce("root", "item").alias("root")), "labels")
     members = items.select("item", "keys").join(labelled, "item").select("item", "root", F.posexplode("keys").alias("t", "key"))
     sizes = members.groupBy("t", "key", "root").agg(F.count("*").alias("n"))
-    mixed = durable(sizes.groupBy("t", "key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"), "mixed")
+    mixed = sizes.groupBy("t", "key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = durable(mixed.select("t", "key", F.col("top.root").alias("main"), (F.col("n") - F.col("top.n") > crowd).alias("crowded")), "mixed")
     inside = durable(members.join(mixed, ["t", "key"]), "inside")
+    discard(first, mixed)
+    plain = F.array(F.lit(0).cast("long"))
+    cut = lambda s: F.posexplode(F.when(F.col("crowded"), finer(F.col(s))).otherwise(plain) if finer else plain).alias("s", "fine")
     names = (["item AS item_a"], ["item AS item_b"]) if confirm else ([], [])
-    here = inside.select("t", "key", "item", "root").join(sig("item", "sig_a"), "item").selectExpr("t", "key", *names[0], "root", "sig_a")
-    outer = inside.where("root != main").select("t", "key", "item", F.col("root").alias("root_b")).join(sig("item", "sig_b"), "item").selectExpr("t", "key", *names[1], "root_b", "sig_b")
-    on = (here["t"] == outer["t"]) & (here["key"] == outer["key"]) & (here["root"] != outer["root_b"]) & near(here["sig_a"], outer["sig_b"])
+    here = inside.join(sig("item", "sig_a"), "item").select("t", "key", *map(F.expr, names[0]), "root", "sig_a", cut("sig_a"))
+    outer = inside.where("root != main").withColumnRenamed("root", "root_b").join(sig("item", "sig_b"), "item").select("t", "key", *map(F.expr, names[1]), "root_b", "sig_b", cut("sig_b"))
+    on = (here["t"] == outer["t"]) & (here["key"] == outer["key"]) & (here["s"] == outer["s"]) & (here["fine"] == outer["fine"]) & (here["root"] != outer["root_b"]) & near(here["sig_a"], outer["sig_b"])
     found = here.join(outer, on)
     if confirm:
         true = confirm(found.select(F.col("item_a").alias("a"), F.col("item_b").alias("b")))
@@ -129,14 +148,11 @@ def grouped(items: DataFrame, near: Callable[[Column, Column], Column], confirm:
     return labelled.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("item", F.coalesce("top", "root").alias("root"))
 
 
-def link(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(fp, root): one row for each different fingerprint; root names its component.
-
-    ``fps`` has the column fp and should be a stored table.
-    """
-    keys = F.array(*[F.col("item").bitwiseAND(F.lit(m)) for m in masks(radius)])
-    items = durable(fps.select(F.col("fp").alias("item")).distinct(), "fps").withColumn("keys", keys).withColumn("sig", F.col("item"))
-    return grouped(items, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius).select(F.col("item").alias("fp"), "root")
+def link(nodes: DataFrame, radius: int = 4) -> DataFrame:
+    """(item, root): one row for each row of a stored table (item, fp) of different fingerprints; root is the
+    smallest item of its component."""
+    items = nodes.select("item", masked(F.col("fp"), radius).alias("keys"), F.col("fp").alias("sig"))
+    return grouped(items, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius, finer=lambda fp: masked(fp, radius, 27))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,10 +164,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     rows; further columns are ignored.
     """
     fps = durable(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    roots = durable(link(fps, radius), "roots")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least_doc")).join(roots, "fp")
-    tops = least.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    by_fp = durable(roots.join(tops, "root").select("fp", "component_id"), "components")
+    # Ordered by the smallest document with the fingerprint, those without an id last.
+    item = F.struct(F.col("least").isNull().alias("nameless"), "least", "fp").alias("item")
+    nodes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", item), "nodes")
+    by_fp = durable(link(nodes, radius).select("item.fp", F.col("root.least").alias("component_id")), "components")
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -217,9 +233,9 @@ def shingles(tokens: list[bytes], shingle: int) -> set[bytes]:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The different pairs (a, b) of ids whose texts share ``similarity`` of all their different shingles or more.
+    """The different pairs (a, b) of items whose texts share ``similarity`` of all their different shingles or more.
 
-    Only the texts of the pairs leave the table (doc_id, text).
+    Only the texts of the pairs leave the table (doc_id, h, text).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,55 +249,68 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = durable(docs.join(needed, "doc_id", "left_semi"), "texts")
-    of = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias("text_" + name))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    needed = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct().select("item.doc_id", "item.h")
+    texts = durable(docs.join(needed, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.min("text").alias("text")), "texts")
+    of = lambda name: texts.select(F.struct("doc_id", "h").alias(name), F.col("text").alias("text_" + name))
+    node = "struct<doc_id: long, h: long>"
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {node}, b {node}")
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, group_id) of rows with an id: groups of texts that resemble each other.
+def groups(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8, slack: float = 0.14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, root) of the rows with an id: groups of texts that resemble each other. h is the hash of a row's
+    text, root (doc_id, h) the smallest row of its group.
 
     SimHash bits tell texts apart that share nine tenths of their shingles, but not reliably those that share
-    four fifths: these differ in about ten of 64 bits. So the covering masks are laid over the positions of
-    minimum-hash signatures as well: three signatures of eight positions, fifteen masks each, so that a pair that
-    differs in at most three positions of a signature is sure to meet. The sketches only set aside pairs that
-    meet and are far from alike: those estimated below ``similarity - slack`` (at 0.8 the estimate's deviation is
-    about 0.025, and it is 0.014 too low for texts with many empty ranges; it isn't asked below 32 ranges). The
-    others' shingles are compared (``confirmed``).
+    four fifths: these differ in about ten of 64 bits. So besides fingerprints within ``radius``, the covering
+    masks are laid over the positions of minimum-hash signatures: three signatures of eight positions, fifteen
+    masks each, so that a pair that differs in at most three positions of a signature is sure to meet. The sketches
+    only set aside pairs that meet and are far from alike: those estimated below ``similarity - slack`` (at 0.8 the
+    estimate's deviation is about 0.025, and it is 0.014 too low for texts with many empty ranges; it isn't asked
+    below 32 ranges). The others' shingles are compared (``confirmed``).
+
+    Rows that share an id but not their text are nodes each; texts of the same words are one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i in range(0, batch.num_rows, 256):
-                for t in batch.column(1).slice(i, 256).to_pylist():
+                for t in batch.column(2).slice(i, 256).to_pylist():
                     w = words(t, lower=True)
                     keys, sketch = signature(w, shingle)
-                    rows.append((xxhash.xxh128_digest(b" ".join(w)), keys.tolist(), sketch.tolist()))
-            cols = [*zip(*rows)] if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int64()))], names=["doc_id", "same", "keys", "sig"])
-
-    inner = id_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    signed = durable(inner.mapInArrow(run, "doc_id long, same binary, keys array<long>, sig array<long>"), "signatures")
-    items = durable(signed.groupBy("same").agg(F.min(F.struct("doc_id", "keys", "sig")).alias("r")).select("same", F.col("r.doc_id").alias("item"), "r.keys", "r.sig"), "items")
+                    rows.append((xxhash.xxh128_digest(b" ".join(w)), fingerprint(w, shingle), keys.tolist(), sketch.tolist()))
+            same, fps, keys, sigs = zip(*rows) if rows else ([], [], [], [])
+            longs = pa.list_(pa.int64())
+            cols = [pa.array(same, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, longs), pa.array(sigs, longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "h", "same", "fp", "keys", "sig"])
+
+    inner = id_text(docs, id_col, text_col).where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    signed = durable(inner.mapInArrow(run, "doc_id long, h long, same binary, fp long, keys array<long>, sig array<long>"), "signatures")
+    firsts = signed.groupBy("same").agg(F.min(F.struct("doc_id", "h", "fp", "keys", "sig")).alias("r"))
+    items = durable(firsts.select("same", F.struct("r.doc_id", "r.h").alias("item"), "r.fp", "r.keys", "r.sig"), "items")
     near = lambda a, b: (ranges_used(a, b) < 32) | (alike(a, b) >= similarity - slack)
-    roots = grouped(items.select("item", "keys", "sig"), near, lambda pairs: confirmed(pairs, inner, shingle, similarity))
-    by_text = durable(items.select("same", "item").join(roots, "item").select("same", F.col("root").alias("group_id")), "groups")
-    return signed.select("doc_id", "same").join(by_text, "same").select("doc_id", "group_id")
+    texts = grouped(items.select("item", "keys", "sig"), near, lambda pairs: confirmed(pairs, inner, shingle, similarity))
+
+    nodes = durable(items.groupBy("fp").agg(F.min("item").alias("item")), "nodes")
+    bits = link(nodes, radius).union(items.join(nodes.withColumnRenamed("item", "root"), "fp").select("item", "root"))
+    top = components(texts.union(bits).select(F.col("item").alias("a"), F.col("root").alias("b")))
+    rooted = durable(items.join(top.withColumnRenamed("node", "item"), "item", "left").select("same", F.coalesce("root", "item").alias("root")), "groups")
+    return signed.select("doc_id", "h", "same").join(rooted, "same").select("doc_id", "h", "root")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that represent their group: those of its smallest doc_id, all columns kept.
+    """The rows of ``docs`` that represent their group: of each group that with the smallest doc_id, all columns kept.
 
     Groups are components of both kinds of links: fingerprints within the radius, and texts at least as similar
-    as ``similarity``. Of several rows with one id one stays; rows without an id can't be named by a group and
-    stay.
+    as ``similarity``. Rows that share an id are judged each by its own text; of rows that share id and text one
+    stays, that with the smallest hash of all its columns. Rows without an id can't be named by a group and stay.
     """
-    bits = near_duplicates(docs.where(F.col(id_col).isNotNull()), shingle, radius, id_col, text_col).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    links = bits.union(similar(docs, shingle, similarity, id_col=id_col, text_col=text_col))
-    gone = components(links).where("node != root").select(F.col("node").alias("__gone")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti").dropDuplicates([id_col])
+    of, h, k = (unused(docs, name) for name in ("of_doc", "h", "k"))
+    kept = groups(docs, shingle, radius, similarity, id_col=id_col, text_col=text_col).where("root.doc_id = doc_id AND root.h = h").select(F.col("doc_id").alias(of), F.col("h").alias(h)).distinct()
+    text_hash = F.xxhash64(F.col(text_col).cast("string"))
+    named = docs.join(kept, (F.col(id_col).cast("long") == F.col(of)) & (text_hash == F.col(h)))
+    first = Window.partitionBy(of, h).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
+    named = named.withColumn(k, F.row_number().over(first)).where(F.col(k) == 1).select(*docs.columns)
     return named.unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -81,7 +81,7 @@ def brute_backoff(texts, least=2, alpha=0.4):
 
 def test_backoff_equals_brute_force(spark, odd):
     rows = everything(odd)
-    got = backoff.backoff_scores(clashing(odd), block_words=500).collect()
+    got = backoff.backoff_scores(clashing(odd), block_words=500, part_bytes=1000).collect()
     want = Counter((r.doc_id, round(v, 6) + 0.0) for r, v in zip(rows, brute_backoff([r.text for r in rows])))
     assert Counter((r.doc_id, round(r.score, 6) + 0.0) for r in got) == want
     assert all((r.mean_score is None) == (r.n_words == 0) for r in got)
@@ -227,14 +227,37 @@ def test_simhash_links_of_dense_groups(spark):
                 base ^= 1 << b
         fps += [base ^ sum(1 << b for b in rng.sample(range(20), k)) for k in (1, 2, 5, 6, 7) for _ in range(20)]
     fps += [rng.getrandbits(64) for _ in range(50)]
+    check_links(spark, fps)
+
+
+def test_simhash_links_in_a_crowded_bucket(spark):
+    """A bucket whose members share the bits a mask keeps and nothing else; some of them are near each other."""
+    rng = random.Random(12)
+    kept = simhash.masks(4)[5] & (1 << 64) - 1
+    base = rng.getrandbits(64) & kept
+    fps = [base | rng.getrandbits(64) & ~kept & (1 << 64) - 1 for _ in range(700)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), 4)) for f in fps[:150]]
+    for crowd in (1, 10_000):
+        check_links(spark, fps, crowd)
+
+
+def check_links(spark, fps, crowd=None):
+    fps = list(dict.fromkeys(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    table = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
-    roots = {r.fp: r.root for r in simhash.link(table).collect()}
-    want = brute_components(list(range(len(fps))), fps)
-    groups = defaultdict(set)
-    for f, w in zip(signed, want):
-        groups[w].add(roots[f])
-    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+    table = spark.createDataFrame(list(enumerate(signed)), "item long, fp long").cache()
+    if crowd is None:
+        got = simhash.link(table)
+    else:
+        items = table.select("item", simhash.masked(F.col("fp"), 4).alias("keys"), F.col("fp").alias("sig"))
+        got = simhash.grouped(items, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 4, finer=lambda fp: simhash.masked(fp, 4, 27), crowd=crowd)
+    assert {r.item: r.root for r in got.collect()} == dict(enumerate(brute_components(list(range(len(fps))), fps)))
+
+
+def test_both_families_of_masks_meet_every_pair():
+    rng = random.Random(13)
+    for step in (1, 27):
+        masks = [m & (1 << 64) - 1 for m in simhash.masks(4, step)]
+        assert all(any(not m & d for m in masks) for d in (sum(1 << b for b in rng.sample(range(64), 4)) for _ in range(3000)))
 
 
 def test_simhash_of_documents_and_of_nothing(spark, documents):
@@ -260,33 +283,48 @@ def test_similar_texts_meet(spark):
         texts.append(" ".join(base))
         for share in (0.005, 0.02, 0.1):
             texts.append(" ".join(rng.choice(words) if rng.random() < share else w for w in base))
-    got = {r.doc_id: r.group_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.root.doc_id for r in simhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         j = jaccard(texts[i - i % 4], t)
         assert (got[i] == i - i % 4) if j >= 0.84 else (got[i] != i - i % 4 or j > 0.7)
-    assert simhash.similar(spark.createDataFrame([], DOCS)).count() == 0
+    assert simhash.groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
 def test_similar_texts_at_the_limit(spark):
-    """Pairs that share exactly four fifths of their shingles are grouped, those that lack one shingle are not."""
+    """Pairs that share exactly four fifths of their shingles are grouped; those that lack one shingle only if their
+    fingerprints link them."""
     rng, texts = random.Random(8), []
     fresh = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
     for k in range(160):
         own = (3, 8, 40, 100)[k % 4]
         base = fresh(8 * own + 4 - k // 4 % 2)
         texts += [" ".join(base + fresh(own)), " ".join(base + fresh(own))]
-    got = {r.doc_id: r.group_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.root.doc_id for r in simhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for i in range(0, len(texts), 2):
-        assert (got[i] == got[i + 1]) == (jaccard(texts[i], texts[i + 1]) >= 0.8) == (i // 8 % 2 == 0)
+        close = (brute_fingerprint(texts[i], 5) ^ brute_fingerprint(texts[i + 1], 5)).bit_count() <= 4
+        alike = jaccard(texts[i], texts[i + 1]) >= 0.8
+        assert alike == (i // 8 % 2 == 0) and (got[i] == got[i + 1]) == (alike or close)
 
 
 def test_similar_odd_tables(spark, odd):
-    got = simhash.similar(clashing(odd)).collect()
+    got = simhash.groups(clashing(odd)).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in everything(odd) if r.doc_id is not None)
-    assert len({r.group_id for r in got if r.doc_id in (0, 1, 2, 100)}) == 1
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns and kept.where("doc_id IS NULL").count() == 1 and kept.count() == kept.distinct().count()
+    assert len({r.root for r in got if r.doc_id in (0, 1, 2, 100)}) == 1
+    kept = simhash.keep_one(clashing(odd))
+    assert kept.columns == clashing(odd).columns and kept.where("doc_id IS NULL").count() == 1 and kept.count() == kept.distinct().count()
+    assert simhash.keep_one(empty(spark)).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    rng = random.Random(14)
+    text = lambda: " ".join(f"{rng.getrandbits(30):x}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, "x"), (1, b, "y"), (2, b, "z"), (3, a, "x"), (3, c, "x"), (4, c + " more", "x"), (4, c + " more", "w"), (5, a.upper(), "x"), (1, a, "x"), (1, a, "v"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, of_doc string")
+    for _ in range(2):
+        got = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(docs).collect())
+        assert got == sorted([(1, a), (1, b), (3, c), (0, a)])
 
 
 def test_long_text_fingerprint():
@@ -318,6 +356,7 @@ def test_rules_equal_brute_force(spark, odd):
 def test_cascade_order_changes_no_verdict(spark, documents):
     kept = [{r.doc_id: r.kept for r in cascade.cascade(documents, order).collect()} for order in (list(cascade.RULES), list(cascade.RULES)[::-1], None)]
     assert kept[0] == kept[1] == kept[2] and set(kept[0].values()) == {True, False}
+    assert {p[0] for p in cascade.plan(documents, 5, 300, 3)} == set(cascade.RULES)
     plan = cascade.plan(documents)
     assert {p[0] for p in plan} == set(cascade.RULES) and [p[2] / max(p[1], 1e-9) for p in plan] == sorted((p[2] / max(p[1], 1e-9) for p in plan), reverse=True)
     assert cascade.report(empty(spark)).count() == 0
@@ -444,6 +483,47 @@ def test_classifier_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
 
 
+def plain_ftrl(rows, bits, epochs=4, alpha=0.1, beta=1.0, l1=0.02, l2=0.1):
+    """FTRL-Proximal by the published update, one coordinate at a time, in dictionaries."""
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(epochs):
+        for text, y in rows:
+            x = {1 << bits: 1.0}
+            for part in classifier.families(grams_as_they_are(text), classifier.Hasher(), bits):
+                for i in part.tolist():
+                    x[i] = x.get(i, 0.0) + classifier.SCALE / len(part)
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def grams_as_they_are(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+
+
+def test_training_equals_plain_ftrl(spark, documents):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = [(r.text, labels[r.doc_id]) for r in everything(documents) if r.doc_id in labels and len(r.text or "") < 4000][:40] + [("", 1), (None, 0), ("a a", 1)]
+    got, want = classifier.trained(rows), plain_ftrl(rows, classifier.BITS)
+    assert np.abs(got).sum() > 1 and max(abs(got[i] - w) for i, w in want.items()) < 1e-4
+    assert set(np.flatnonzero(got).tolist()) <= set(want)
+
+
+def test_scores_equal_plain_sums(spark, documents):
+    weights = np.random.default_rng(5).normal(0, 0.3, (1 << classifier.BITS) + 1).astype(np.float32)
+    texts = {r.doc_id: r.text for r in everything(documents)}
+    for r in classifier.score(documents, weights).collect():
+        total = float(weights[-1])
+        for part in classifier.families(grams_as_they_are(texts[r.doc_id]), classifier.Hasher()):
+            total += classifier.SCALE * sum(float(weights[i]) for i in part.tolist()) / len(part)
+        assert abs(r.score - 1 / (1 + math.exp(-max(-35, min(35, total))))) < 1e-6
+
+
 def test_classifier_odd_tables(spark, odd):
     labels = spark.createDataFrame([(3, 1, 0), (7, 0, 0), (8, 1, None), (None, 1, 1), (9, None, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
     weights = classifier.train(clashing(odd), labels)
@@ -560,6 +640,19 @@ def test_packing_of_documents(spark, documents):
     assert bins <= 1.05 * least
 
 
+@pytest.mark.parametrize("partitions", [1, 32, 211])
+def test_packing_hardly_depends_on_partitions(spark, partitions):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(partitions)
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    bins = {r.sequence_id for r in got}
+    assert len(bins) <= 1.01 * -(-sum(r.length for r in got) // 1024)
+
+
+def test_packing_in_many_groups(spark, documents):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    check_packing(everything(documents), packing.pack(documents.repartition(7), vocabulary, open_bins=5, group_sequences=10).collect())
+
+
 def test_packing_of_odd_tables(spark, odd):
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     check_packing(everything(odd), packing.pack(clashing(odd), vocabulary, open_bins=2, look_ahead=3).collect())

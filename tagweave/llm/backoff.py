@@ -14,7 +14,9 @@ The relations are kept in blocks so that rows stay few and small. A block holds
   3. Blocks (word sequences) and their counts are cogrouped by block; positions are scored and summed for each
      document. The size of the corpus comes in last, from the number of positions scored by single words.
 
-A block's check sum makes sure that both readings of the input made the same blocks.
+The number of parts follows the size of the input, so a part of the count tables stays small. The input is read
+twice and must give the same blocks both times: it is stored first, except where the caller knows that it is a plain
+scan of files, whose splits are the same within a job; other blocks are noticed and end the job.
 """
 
 from __future__ import annotations
@@ -126,7 +128,7 @@ def answers(asked: DataFrame) -> DataFrame:
         keys = [np.cumsum(unsqueeze(k, "<u8", n), dtype=U) for k, n in zip(rows["keys"], rows["n"])]
         counts = np.concatenate([unsqueeze(c, "<u4", n) for c, n in zip(rows["counts"], rows["n"])])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.minimum(np.bincount(inverse, counts), 0xFFFFFFFF).astype("<u4")[inverse]
+        totals = np.bincount(inverse, counts).astype("<u8")[inverse]  # sums of doubles, exact to 2^53
         out, at = [], 0
         for n in rows["n"]:
             out.append(squeeze(totals[at : at + n]))
@@ -176,7 +178,7 @@ def scored(given: pd.DataFrame, block: pd.DataFrame, order: int, alpha: float, l
     for level, (places, found) in enumerate(grams(hashes, sizes, order)):
         keys, inverse = np.unique(found, return_inverse=True)
         own = given[given["level"] == level]
-        totals = np.concatenate([unsqueeze(b, "<u4", n) for b, n in zip(own["body"], own["n"])]) if len(own) else np.zeros(0, "<u4")
+        totals = np.concatenate([unsqueeze(b, "<u8", n) for b, n in zip(own["body"], own["n"])]) if len(own) else np.zeros(0, "<u8")
         if len(totals) != len(keys):
             raise RuntimeError("the input gave other blocks when it was read again")
         full = np.zeros(len(hashes), np.float32 if totals.max(initial=0) < 1 << 24 else np.float64)
@@ -198,16 +200,24 @@ def scored(given: pd.DataFrame, block: pd.DataFrame, order: int, alpha: float, l
     return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": sizes, "partial": total, **hits})
 
 
-def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, block_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, block_words: int = 2_000_000, part_bytes: int = 1 << 24, store: bool = True,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, score (log10, summed), mean_score, n_order1.. (positions scored by each order).
 
+    ``least`` isn't part of the published formula, which takes every count (least=1). Here the documents scored are
+    those counted, so an n-gram seen once was seen in its own document alone; with 2 it backs off. ``part_bytes``:
+    text for each part of the count tables. ``store``: keep the input in the shared folder before it is read twice.
+
     Words are runs of bytes other than white space, A-Z lower-cased. Defined cases: null, empty and wordless
     texts have no words, score 0 and a null mean; repeated rows are documents each and count each; null ids
     stay null; an empty table gives no rows; further columns are ignored.
     """
     spark = docs.sparkSession
     inner = id_text(docs, id_col, text_col)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if store:
+        inner = durable(inner, "texts")
+    size = inner.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     # Two inputs, not a union: in a union the partition numbers that name the blocks would be shifted.
     counted = answers(requests(inner, parts, order, block_words)).groupBy("block")
     both = counted.cogroup(texts_of(inner, block_words).groupBy("block"))
@@ -220,7 +230,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores(table(spark, sf_dir, "documents"))
+    return backoff_scores(table(spark, sf_dir, "documents"), store=False)  # a plain scan of files
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm_scoring": op1_lm_scoring}

@@ -3,7 +3,8 @@
 Every rule reads a few lazily computed statistics of a text. On a bounded sample the cost of a rule (seconds
 for the statistics it adds) and its selectivity (share rejected) are estimated; rules run in descending order
 of rejection per second, and a document leaves at the first rule that rejects it. The order changes the time,
-never the verdict, because a document is kept only if no rule rejects it.
+never the verdict, because a document is kept only if no rule rejects it. ``report`` returns the base statistics of
+every document besides, and so has to compute them for rejected ones too; only ``cascade`` gains from the order.
 """
 
 from __future__ import annotations
@@ -106,37 +107,49 @@ RULES: dict[str, Callable[[Facts], bool]] = {
 }
 
 
-def measured(sample: list[str | None], rules: dict[str, Callable[[Facts], bool]] = RULES) -> list[tuple[str, float, float]]:
-    """(rule, seconds a document, share rejected), ordered as the cascade runs them. A rule is timed on facts
-    of its own, so what it needs is charged to it in full."""
+def measured(strata: list[tuple[float, list[str | None]]], rules: dict[str, Callable[[Facts], bool]] = RULES) -> list[tuple[str, float, float]]:
+    """(rule, seconds a document, share rejected), ordered as the cascade runs them, from samples of strata and their
+    shares of all documents. A rule is timed on facts of its own, so what it needs is charged to it in full."""
     found = []
     for name, rejects in rules.items():
-        facts = [Facts(t) for t in sample]
-        began = time.perf_counter()
-        hits = sum(map(rejects, facts))
-        n = max(1, len(sample))
-        found.append((name, (time.perf_counter() - began) / n, hits / n))
+        cost = hit = 0.0
+        for share, sample in strata:
+            facts = [Facts(t) for t in sample]
+            began = time.perf_counter()
+            hits = sum(map(rejects, facts))
+            cost += share * (time.perf_counter() - began) / len(sample)
+            hit += share * hits / len(sample)
+        found.append((name, cost, hit))
     return sorted(found, key=lambda x: (-(x[2] / max(x[1], 1e-9)), x[1], x[0]))
 
 
-def plan(docs: DataFrame, sample_rows: int = 400, text_col: str = "text") -> list[tuple[str, float, float]]:
-    """Measures the rules on at most ``sample_rows`` rows, in one executor task; only the few figures come back.
+def plan(docs: DataFrame, sample_rows: int = 400, long_chars: int = 20_000, long_rows: int = 12, text_col: str = "text") -> list[tuple[str, float, float]]:
+    """Measures the rules on at most ``sample_rows`` texts of up to ``long_chars`` characters and ``long_rows`` longer
+    ones, each kind weighted by its share of all documents, in one executor task; only the few figures come back.
 
     The rows are those with the smallest hashes of their texts, so a rerun takes the same ones. A threshold for
     the hashes, from the number of rows, lets about four times as many rows leave their tasks.
     """
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    share = min(1.0, 4 * sample_rows / max(1, docs.count()))
-    texts = texts.where(F.col("h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
-    sample = texts.where(F.char_length("text") <= 20_000).orderBy("h").limit(sample_rows).select("text")
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text")).withColumn("long", F.coalesce(F.char_length("text"), F.lit(0)) > long_chars)
+    n, n_long = texts.agg(F.count("*"), F.count_if("long")).first()
+    samples = []
+    for is_long, rows, of in ((False, sample_rows, n - n_long), (True, long_rows, n_long)):
+        kind = texts.where(F.col("long") == F.lit(is_long))
+        if (share := 4 * rows / max(1, of)) < 1:
+            kind = kind.where(F.col("h") <= int(-(2**63) + share * (2**64 - 1)))
+        samples.append(kind.orderBy("h").limit(rows).select("text", "long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [t for b in batches for t in b.column(0).to_pylist()]
-        if held:
-            names, costs, shares = zip(*measured(held))
+        held: dict[bool, list] = {False: [], True: []}
+        for b in batches:
+            for text, is_long in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held[is_long].append(text)
+        strata = [(of / n, held[is_long]) for is_long, of in ((False, n - n_long), (True, n_long)) if held[is_long]]
+        if strata:
+            names, costs, shares = zip(*measured(strata))
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(costs, pa.float64()), pa.array(shares, pa.float64())], names=["rule", "cost", "rejected"])
 
-    rows = sample.coalesce(1).mapInArrow(run, "rule string, cost double, rejected double").collect()
+    rows = samples[0].union(samples[1]).coalesce(1).mapInArrow(run, "rule string, cost double, rejected double").collect()
     return [tuple(r) for r in rows] or [(name, 0.0, 0.0) for name in RULES]
 
 

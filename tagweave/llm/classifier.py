@@ -115,7 +115,8 @@ def trained(rows: list[tuple[str | None, int]], epochs: int = 4, bits: int = BIT
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_rows: int = 6000, train_chars: int = 20_000, fold: int = 5) -> np.ndarray:
     """Weights from labelled rows whose crc32(doc_id as text) mod ``fold`` isn't 0: the ``train_rows`` with the
-    smallest id hashes among them, without null labels and texts over ``train_chars``. No rows: zero weights."""
+    smallest id hashes among them, without null labels and texts over ``train_chars``. An id with labels of both
+    kinds counts as 0; of rows that share an id each is learnt. No rows: zero weights."""
     usable = labels.where(F.col(label_col).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % fold != 0))
     chosen = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id")).limit(train_rows)
     inner = id_text(docs)

@@ -20,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later occurrences of repeated lines; a text that loses all its lines becomes empty."""
-    done = linededup.dedup_lines(docs)
+    done = linededup.dedup_lines(docs, linededup.PASSAGE_WORDS)
     if "n_chars" not in docs.columns:
         return done
     return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

@@ -11,7 +11,7 @@ import sys
 
 from ..functions.positions import error
 from .js import IDENTIFIERS, NAMES, NUMBERS, Lexer, REST_OF_LINE
-from .js_scope import ARGUMENT, CATCH, EXPRESSION, FUNCTION, LEXICAL, PRIVATE, VARIABLE, Scope, Var
+from .js_scope import ARGUMENT, CATCH, EXPRESSION, FUNCTION, LEXICAL, PRIVATE, VARIABLE, Name, Scope, Variable
 
 (EXPR, ASSIGN, COALESCE, OR, AND, BITOR, BITXOR, BITAND, EQUALS, COMPARE, SHIFT, ADD, MUL, EXP, UNARY, UPDATE, LHS, OPT, CALL, NEW, MEMBER, PRIMARY) = range(22)
 LIMIT = 1000
@@ -56,7 +56,8 @@ class Parser:
         self.comments: list[Node] = []
         self.depth_stmt = self.depth_expr = 0
         self.scope: Scope | None = None
-        self.scopes: list[tuple[Scope, str]] = []
+        self.scopes: list[Scope] = []
+        self.ended: list[Scope] = []  # innermost first
 
     # Tokens and errors
 
@@ -111,21 +112,26 @@ class Parser:
     # Scopes
 
     def enter(self, function: bool, what: str) -> Scope:
-        scope = Scope(self.scope)
-        scope.func = scope if function else self.scope.func if self.scope else None
-        self.scope = scope
-        self.scopes.append((scope, what))
-        return scope
+        self.scope = Scope(self.scope, function, what)
+        self.scopes.append(self.scope)
+        return self.scope
 
     def leave(self) -> None:
-        self.scope.hoist()
+        self.scope.end()
+        self.ended.append(self.scope)
         self.scope = self.scope.parent
 
-    def declare(self, decl: int, name: bytes) -> Var:
-        v = self.scope.declare(decl, name)
-        if v is None:
+    def declare(self, decl: int, name: bytes) -> Name:
+        found = self.scope.declare(decl, name)
+        if found is None:
             self.stop(f"identifier {name.decode('utf-8', 'replace')} has already been declared")
-        return v
+        return found
+
+    def settle(self) -> None:
+        """What every name refers to; called once, when all of the program is read."""
+        for scope in self.ended:
+            scope.settle()
+        self.scopes = [s for s in self.scopes if not s.given_up]
 
     # Programs and statements
 
@@ -150,6 +156,8 @@ class Parser:
             body = self.comments + body
         if shebang is not None:
             body.insert(0, Node("Comment", value=shebang))
+        self.leave()
+        self.settle()
         return Node("Block", list=body, scope=scope)
 
     def statement(self, declarations: bool) -> Node:
@@ -169,7 +177,7 @@ class Parser:
         self.depth_stmt -= 1
         return node
 
-    def ended(self, where: str) -> None:
+    def check_end(self, where: str) -> None:
         if not self.new_line and self.kind not in (";", "}", "Error"):
             self.fail(where)
 
@@ -186,7 +194,7 @@ class Parser:
             value = self.suffix(self.scope.use(label), EXPR, PRIMARY)
         else:
             value = self.expression(EXPR)
-        self.ended("expression")
+        self.check_end("expression")
         if prologue and value.kind == "Literal" and value.type == "String" and value.data[1:-1] == b"use strict":
             self.prologue = True
             return Node("Directive", value=value.data)
@@ -218,19 +226,19 @@ class Parser:
             self.fail("statement")
         self.next()
         node = self.var_decl(kind)
-        self.ended("const declaration" if kind == "const" else "var statement")
+        self.check_end("const declaration" if kind == "const" else "var statement")
         return node
 
     def let(self, declarations: bool) -> Node:
         word = self.take()
         if declarations and (self.kind in IDENTIFIERS or self.kind in ("yield", "await", "[", "{")):
             node = self.var_decl("let")
-            self.ended("let declaration")
+            self.check_end("let declaration")
             return node
         if self.kind == "[":
             self.stop("unexpected let [ in single-statement context")
         node = Node("ExprStmt", value=self.suffix(self.scope.use(word), EXPR, PRIMARY))
-        self.ended("expression")
+        self.check_end("expression")
         return node
 
     def var_decl(self, kind: str) -> Node:
@@ -239,7 +247,7 @@ class Parser:
             binding, value = self.binding(VARIABLE if kind == "var" else LEXICAL), None
             if self.accept("="):
                 value = self.expression(ASSIGN)
-            elif not isinstance(binding, Var) and (self.allow_in or found):
+            elif not isinstance(binding, Name) and (self.allow_in or found):
                 self.fail("var statement", "=")
             elif kind == "const" and (self.allow_in or self.kind not in ("of", "in")):
                 self.fail("const statement", "=")
@@ -269,7 +277,7 @@ class Parser:
     def with_statement(self, _) -> Node:
         self.next()
         cond = self.condition("with statement")
-        self.scope.func.has_with = True
+        self.scope.around(function=True).has_with = True
         return Node("With", cond=cond, body=self.statement(False))
 
     def do_while(self, _) -> Node:
@@ -302,7 +310,7 @@ class Parser:
             first = init.list[0]
             if self.kind != ";" and (len(init.list) > 1 or first.default is not None):
                 self.fail(where)
-            if self.kind == ";" and first.default is None and not isinstance(first.binding, Var):
+            if self.kind == ";" and first.default is None and not isinstance(first.binding, Name):
                 self.fail(where)
         elif awaits:
             init = self.expression(LHS)
@@ -335,7 +343,7 @@ class Parser:
         return node
 
     def for_body(self, scope: Scope) -> Node:
-        self.scope.mark_for()
+        self.scope.head_over("for_decls")
         if self.kind == "{":
             body = self.braced("")
         elif self.accept(";"):
@@ -379,7 +387,7 @@ class Parser:
                 self.fail("statement")
             return self.function(True, False)
         node = Node("ExprStmt", value=self.async_expression(EXPR, word))
-        self.ended("expression")
+        self.check_end("expression")
         return node
 
     def class_statement(self, declarations: bool) -> Node:
@@ -553,7 +561,7 @@ class Parser:
         if self.kind != ")":
             self.fail(where)
         self.next()
-        self.scope.mark_args()
+        self.scope.head_over("func_args")
         return Node("Params", list=found, rest=rest)
 
     def function_body(self, is_async: bool, generator: bool, where_params: str, where_body: str, prologue: bool = True, before=None) -> tuple[Node, Node]:
@@ -585,7 +593,7 @@ class Parser:
             self.fail(where, "Identifier")
         elif self.kind != "(":
             self.fail(where, "Identifier", "(")
-        own: list[Var] = []
+        own: list[Name] = []
         before = (lambda: own.append(self.scope.declare(EXPRESSION, name))) if expression and name is not None else None
         params, body = self.function_body(is_async, generator, where, where, before=before)
         return Node("Function", is_async=is_async, generator=generator, name=own[0] if own else v, params=params, body=body)
@@ -595,7 +603,7 @@ class Parser:
         self.next()
         name = extends = None
         if self.kind in IDENTIFIERS or self.kind in ("yield", "await"):
-            name = Var(self.text, EXPRESSION, 1) if expression else self.declare(LEXICAL, self.text)
+            name = Name(self.text, Variable(self.text, EXPRESSION, 1)) if expression else self.declare(LEXICAL, self.text)
             self.next()
         elif not expression and not self.default:
             self.fail(where, "Identifier")
@@ -611,52 +619,42 @@ class Parser:
         self.leave()
         return Node("Class", name=name, extends=extends, list=elements, scope=scope)
 
-    def class_element(self) -> Node:
-        marks, word = dict(static=False, is_async=False, generator=False, get=False, set=False), None
-        if self.kind == "static":
-            marks["static"], word = True, self.take()
-            if self.kind == "{":
-                held = self.yield_, self.await_, self.returns
-                self.yield_, self.await_, self.returns = False, True, False
-                block = self.block("class static block")
-                self.yield_, self.await_, self.returns = held
-                return Node("Static", block=block)
-        if self.accept("*"):
-            marks["generator"] = True
-        elif self.kind == "async":
-            word = self.take()
-            if not self.new_line:
-                marks["is_async"] = True
-                if self.accept("*"):
-                    marks["generator"], word = True, None
-        elif self.kind in ("get", "set"):
-            marks[self.kind] = True
+    def modifiers(self, words: tuple[str, ...], ends: frozenset) -> tuple[dict[str, bool], Node | None]:
+        """The modifiers before the name of a member, and the name if a word that could be one turns out to be it:
+        because what comes next (one of ``ends``) can't begin a name, or a line ends after ``async``."""
+        marks = dict.fromkeys(("static", "is_async", "generator", "get", "set"), False)
+        while self.kind in words:
+            mark, words = MODIFIERS[self.kind]
             word = self.take()
-        field = False
-        special = marks["is_async"] or marks["get"] or marks["set"]
-        if word is not None and self.kind == "(":
-            name = Node("Literal", type="Identifier", data=word)
-            if special:
-                marks |= dict(is_async=False, get=False, set=False)
-            else:
-                marks["static"] = False
-        elif word is not None and self.kind in ("=", ";", "}"):
-            name = Node("Literal", type="Identifier", data=word)
-            if not special:
-                marks["static"] = False
-            field = True
-        else:
-            if self.kind == "PrivateIdentifier":
-                name = self.declare(PRIVATE, self.text)
-                self.next()
-            else:
-                name = self.property_name("method or field definition")
-            field = (word is None or marks["static"]) and self.kind != "("
-        if field:
+            if self.kind in ends or mark == "is_async" and self.new_line:
+                return marks, Node("Literal", type="Identifier", data=word)
+            marks[mark] = True
+        if not marks["get"] and not marks["set"]:
+            marks["generator"] = self.accept("*")
+        return marks, None
+
+    def class_element(self) -> Node:
+        marks, name = self.modifiers(("static", "async", "get", "set"), MEMBER_ENDS)
+        if marks["static"] and name is None and self.kind == "{":
+            return self.static_block()
+        plain = not (marks["is_async"] or marks["generator"] or marks["get"] or marks["set"])
+        if name is None and self.kind == "PrivateIdentifier":
+            name = self.declare(PRIVATE, self.text)
+            self.next()
+        elif name is None:
+            name = self.property_name("method or field definition")
+        if plain and self.kind != "(":
             return Node("Field", static=marks["static"], name=name, init=self.expression(ASSIGN) if self.accept("=") else None)
         params, body = self.function_body(marks["is_async"], marks["generator"], "method definition", "method function")
         return Node("Method", name=name, params=params, body=body, **marks)
 
+    def static_block(self) -> Node:
+        held = self.yield_, self.await_, self.returns
+        self.yield_, self.await_, self.returns = False, True, False
+        block = self.block("class static block")
+        self.yield_, self.await_, self.returns = held
+        return Node("Static", block=block)
+
     def property_name(self, where: str) -> Node:
         if self.kind in NAMES:
             return Node("Literal", type="Identifier", data=self.take())
@@ -679,42 +677,43 @@ class Parser:
 
     # Bindings
 
-    def binding_element(self, decl: int) -> Node:
-        binding = self.binding(decl)
-        return Node("BindingElement", binding=binding, default=self.expression(ASSIGN) if self.accept("=") else None)
-
-    def binding(self, decl: int) -> Node | Var:
+    def binding(self, decl: int) -> Node | Name:
+        """BindingIdentifier or BindingPattern."""
         if self.is_reference(self.kind):
-            v = self.declare(decl, self.text)
+            found = self.declare(decl, self.text)
             self.next()
-            return v
-        if self.accept("["):
-            return self.array_binding(decl)
-        if self.accept("{"):
-            return self.object_binding(decl)
-        self.fail("binding")
+            return found
+        pattern = {"[": self.array_binding, "{": self.object_binding}.get(self.kind)
+        if pattern is None:
+            self.fail("binding")
+        self.next()
+        return pattern(decl)
+
+    def with_default(self, binding: Node | Name) -> Node:
+        return Node("BindingElement", binding=binding, default=self.expression(ASSIGN) if self.accept("=") else None)
+
+    def binding_element(self, decl: int) -> Node:
+        return self.with_default(self.binding(decl))
 
     def array_binding(self, decl: int) -> Node:
-        where, hole = "array binding pattern", lambda: Node("BindingElement", binding=None, default=None)
-        found, rest, last = [], None, 0
-        if self.kind == ",":
-            found.append(hole())
+        """Elements and a rest between commas; a comma where an element could stand is a hole, and holes that no
+        element follows don't count."""
+        where = "array binding pattern"
+        found, rest, holes = [], None, 0
         while self.kind != "]":
-            while self.accept(","):
-                if self.kind == ",":
-                    found.append(hole())
+            if self.accept(","):
+                holes += 1
+                continue
+            found += [Node("BindingElement", binding=None, default=None) for _ in range(holes)]
+            holes = 0
             if self.accept("..."):
                 rest = self.binding(decl)
                 if self.kind != "]":
                     self.fail(where, "]")
-                break
-            if self.kind == "]":
-                del found[last:]
-                break
-            found.append(self.binding_element(decl))
-            last = len(found)
-            if self.kind not in (",", "]"):
-                self.fail(where, ",", "]")
+            else:
+                found.append(self.binding_element(decl))
+                if self.kind != "]" and not self.accept(","):
+                    self.fail(where, ",", "]")
         self.next()
         return Node("BindingArray", list=found, rest=rest)
 
@@ -722,32 +721,30 @@ class Parser:
         where = "object binding pattern"
         found, rest = [], None
         while self.kind != "}":
+            if rest is not None:
+                self.fail(where, "}")
             if self.accept("..."):
                 if not self.is_reference(self.kind):
                     self.fail(where, "Identifier")
-                rest = self.declare(decl, self.text)
-                self.next()
-                if self.kind != "}":
-                    self.fail(where, "}")
-                break
-            if self.is_reference(self.kind):
-                name = self.take()
-                key = Node("Literal", type="Identifier", data=name)
-                if self.accept(":"):
-                    value = self.binding_element(decl)
-                else:
-                    v = self.declare(decl, name)
-                    value = Node("BindingElement", binding=v, default=self.expression(ASSIGN) if self.accept("=") else None)
-            else:
-                key = self.property_name(where)
-                self.consume(where, ":")
-                value = self.binding_element(decl)
-            found.append(Node("BindingItem", key=key, value=value))
-            if not self.accept(",") and self.kind != "}":
+                rest = self.binding(decl)
+                continue
+            found.append(self.binding_property(decl, where))
+            if self.kind != "}" and not self.accept(","):
                 self.fail(where, ",", "}")
         self.next()
         return Node("BindingObject", list=found, rest=rest)
 
+    def binding_property(self, decl: int, where: str) -> Node:
+        """``key: element``, or a name that is both key and binding."""
+        short = self.text if self.is_reference(self.kind) else None
+        key = self.property_name(where)
+        if short is not None and self.kind != ":":
+            value = self.with_default(self.declare(decl, short))
+        else:
+            self.consume(where, ":")
+            value = self.binding_element(decl)
+        return Node("BindingItem", key=key, value=value)
+
     # Expressions
 
     def with_in(self, parse, *arguments):
@@ -756,7 +753,7 @@ class Parser:
         self.allow_in = held
         return found
 
-    def expression(self, level: int) -> Node | Var:
+    def expression(self, level: int) -> Node | Name:
         self.depth_expr += 1
         if self.depth_expr > LIMIT:
             self.stop("too many nested expressions")
@@ -799,7 +796,7 @@ class Parser:
         self.consume("expression", ")")
         return Node("Group", x=inner), PRIMARY
 
-    def await_expression(self, level: int) -> tuple[Node | Var, int]:
+    def await_expression(self, level: int) -> tuple[Node | Name, int]:
         if not self.await_:
             return self.scope.use(self.take()), PRIMARY
         if level > UNARY:
@@ -837,7 +834,7 @@ class Parser:
             self.fail("super expression", "[", "(", ".")
         return literal, MEMBER if level > CALL else CALL
 
-    def yield_expression(self, level: int) -> tuple[Node | Var, int]:
+    def yield_expression(self, level: int) -> tuple[Node | Name, int]:
         if not self.yield_:
             return self.scope.use(self.take()), PRIMARY
         if level > ASSIGN:
@@ -850,7 +847,7 @@ class Parser:
                 x = self.expression(ASSIGN)
         return Node("Yield", generator=generator, x=x), ASSIGN
 
-    def async_start(self, level: int) -> tuple[Node | Var, int]:
+    def async_start(self, level: int) -> tuple[Node | Name, int]:
         return self.with_in(self.async_expression, level, self.take()), PRIMARY
 
     def class_start(self, _) -> tuple[Node, int]:
@@ -862,7 +859,7 @@ class Parser:
     def template_start(self, _) -> tuple[Node, int]:
         return self.with_in(self.template, None, False), PRIMARY
 
-    def private_in(self, level: int) -> tuple[Var, int]:
+    def private_in(self, level: int) -> tuple[Name, int]:
         if level > COMPARE or not self.allow_in:
             self.fail("expression")
         v = self.scope.use(self.take())
@@ -937,7 +934,7 @@ class Parser:
                 if EXPR < level:
                     return left
                 self.next()
-                if not isinstance(left, Var) and left.kind == "Comma":
+                if not isinstance(left, Name) and left.kind == "Comma":
                     left.list.append(self.expression(ASSIGN))
                     n -= 1
                 else:
@@ -946,7 +943,7 @@ class Parser:
             elif kind == "=>":
                 if ASSIGN < level:
                     return left
-                if left_level < PRIMARY or self.new_line or not isinstance(left, Var):
+                if left_level < PRIMARY or self.new_line or not isinstance(left, Name):
                     self.fail("expression")
                 left, left_level = self.identifier_arrow(left), ASSIGN
             else:
@@ -1041,27 +1038,11 @@ class Parser:
     def property(self, where: str) -> Node:
         if self.accept("..."):
             value = self.element()
-            if not isinstance(value, Var) or self.kind != "}":
+            if not isinstance(value, Name) or self.kind != "}":
                 self.maybe_arrow = False
             return Node("Property", name=None, spread=True, value=value, init=None)
-        marks, word, name = dict(static=False, is_async=False, generator=False, get=False, set=False), None, None
-        if self.accept("*"):
-            marks["generator"] = True
-        elif self.kind == "async":
-            word = self.take()
-            if self.new_line:
-                name, word = Node("Literal", type="Identifier", data=word), None
-            else:
-                marks["is_async"] = True
-                if self.accept("*"):
-                    marks["generator"], word = True, None
-        elif self.kind in ("get", "set"):
-            marks[self.kind] = True
-            word = self.take()
-        if word is not None and self.kind in ("=", ",", "}", ":", "("):
-            name = Node("Literal", type="Identifier", data=word)
-            marks |= dict(is_async=False, get=False, set=False)
-        elif name is None:
+        marks, name = self.modifiers(("async", "get", "set"), PROPERTY_ENDS)
+        if name is None:
             name = self.property_name(where)
         if self.kind == "(":
             self.maybe_arrow = False
@@ -1116,21 +1097,15 @@ class Parser:
         self.leave()
         return Node("Arrow", is_async=True, params=params, body=body)
 
-    def identifier_arrow(self, v: Var) -> Node:
+    def identifier_arrow(self, used: Name) -> Node:
+        self.scope.withdraw(used)
         scope = self.enter(True, "arrow")
-        held = self.await_, self.yield_
-        self.await_, self.yield_ = False, False
-        if v.uses > 1:
-            v.uses -= 1
-            v = self.scope.declare(ARGUMENT, v.name)
-        else:
-            scope.parent.undeclared.pop()
-            v.decl = ARGUMENT
-            scope.declared.append(v)
+        parameter = Node("BindingElement", binding=self.scope.declare(ARGUMENT, used.name), default=None)
+        held, self.await_, self.yield_ = (self.await_, self.yield_), False, False
         body = self.arrow_body(scope)
         self.await_, self.yield_ = held
         self.leave()
-        return Node("Arrow", is_async=False, params=Node("Params", list=[Node("BindingElement", binding=v, default=None)], rest=None), body=body)
+        return Node("Arrow", is_async=False, params=Node("Params", list=[parameter], rest=None), body=body)
 
     def arrow_body(self, scope: Scope) -> Node:
         if self.kind != "=>":
@@ -1138,7 +1113,7 @@ class Parser:
         if self.new_line:
             self.fail("expression")
         self.next()
-        self.scope.mark_args()
+        self.scope.head_over("func_args")
         if self.kind == "{":
             held, outer = (self.allow_in, self.returns), self.prologue
             self.allow_in = self.returns = self.prologue = True
@@ -1185,9 +1160,8 @@ class Parser:
         elif is_async and CALL < level or not is_async and spreads:
             self.fail("expression")
         else:
+            scope.given_up = True
             self.leave()
-            scope.dissolve()
-            self.scopes = [s for s in self.scopes if s[0] is not scope]
             if is_async:
                 left, left_level = Node("CallExpr", x=self.scope.use(word), args=args, optional=False), CALL
             else:
@@ -1196,12 +1170,12 @@ class Parser:
         return self.suffix(left, level, left_level)
 
     def as_element(self, x) -> Node:
-        if not isinstance(x, Var) and x is not None and x.kind == "Binary" and x.op == "=":
+        if not isinstance(x, Name) and x is not None and x.kind == "Binary" and x.op == "=":
             return Node("BindingElement", binding=self.as_binding(x.x), default=x.y)
         return Node("BindingElement", binding=self.as_binding(x), default=None)
 
     def as_binding(self, x):
-        if x is None or isinstance(x, Var):
+        if x is None or isinstance(x, Name):
             return x
         if x.kind == "Array":
             rest = next((self.as_binding(v) for s, v in x.list if s), None)
@@ -1218,13 +1192,17 @@ class Parser:
                     rest = p.value
                     break
                 value = self.as_element(p.value)
-                if p.name is None or isinstance(p.value, Var) and p.name.kind == "Literal" and p.name.data == p.value.name:
+                if p.name is None or isinstance(p.value, Name) and p.name.kind == "Literal" and p.name.data == p.value.name:
                     value.f["default"] = p.init
                 items.append(Node("BindingItem", key=p.name, value=value))
             return Node("BindingObject", list=items, rest=rest)
         self.stop("invalid parameters in arrow function")
 
 
+#: Modifier word -> (its mark, the words that may follow it).
+MODIFIERS = {"static": ("static", ("async", "get", "set")), "async": ("is_async", ()), "get": ("get", ()), "set": ("set", ())}
+MEMBER_ENDS, PROPERTY_ENDS = frozenset("( = ; }".split()), frozenset("= , } : (".split())
+
 #: Kinds that can't stand left of in and of.
 VALUES = frozenset(("Comma", "Cond", "Yield", "Arrow", "Binary", "Unary"))
 P = Parser

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from .js import NAMES
 from .js_parse import Node
-from .js_scope import Var
+from .js_scope import Name
 from .js_text import same_name, text
 
 BREAK = "\ue000"
@@ -18,7 +18,7 @@ INDENT = "    "
 
 
 def js(n) -> str:
-    return text(n.end().name) if isinstance(n, Var) else PRINTERS[n.kind](n)
+    return text(n.name) if isinstance(n, Name) else PRINTERS[n.kind](n)
 
 
 def program(tree: Node) -> str:
@@ -26,7 +26,7 @@ def program(tree: Node) -> str:
 
 
 def statement(n) -> str:
-    return js(n) + (";" if not isinstance(n, Var) and n.kind == "VarDecl" else "")
+    return js(n) + (";" if not isinstance(n, Name) and n.kind == "VarDecl" else "")
 
 
 def inset(parts: list[str]) -> str:
@@ -168,7 +168,7 @@ def template(n: Node) -> str:
 
 def dot(n: Node) -> str:
     x = js(n.x)
-    if not n.optional and not isinstance(n.x, Var) and n.x.kind == "Literal" and n.x.type in ("Decimal", "Integer"):
+    if not n.optional and not isinstance(n.x, Name) and n.x.kind == "Literal" and n.x.type in ("Decimal", "Integer"):
         x = f"({x})"
     return f"{x}{'?.' if n.optional else '.'}{js(n.y)}"
 
@@ -181,7 +181,7 @@ def unary(n: Node) -> str:
     x = js(n.x)
     if n.postfix:
         return x + n.op
-    inner = n.x.op if not isinstance(n.x, Var) and n.x.kind == "Unary" and not n.x.postfix else ""
+    inner = n.x.op if not isinstance(n.x, Name) and n.x.kind == "Unary" and not n.x.postfix else ""
     apart = n.op in NAMES or n.op in "+-" and inner in (n.op, n.op * 2)
     return n.op + (" " if apart else "") + x
 
@@ -224,7 +224,7 @@ def json(tree: Node) -> str:
     if tree.list[0].kind != "ExprStmt":
         raise NotJson("JS must be an expression statement")
     value = tree.list[0].value
-    if not isinstance(value, Var) and value.kind == "Group":
+    if not isinstance(value, Name) and value.kind == "Group":
         value = value.x
     return json_value(value)
 
@@ -234,7 +234,7 @@ def invalid(what: str, n) -> NotJson:
 
 
 def json_value(n) -> str:
-    kind = "Var" if isinstance(n, Var) else n.kind
+    kind = "Var" if isinstance(n, Name) else n.kind
     if kind == "Literal":
         if n.type in ("true", "false", "null", "Decimal", "Integer"):
             return text(n.data)
@@ -251,7 +251,7 @@ def json_value(n) -> str:
         inner = text(n.tail)[1:-1].replace("\n", "\\n").replace("\r", "\\r").replace("\\`", "`").replace("\\$", "$").replace('"', '\\"')
         return f'"{inner}"'
     if kind == "Unary":
-        number = not isinstance(n.x, Var) and n.x.kind == "Literal" and n.x.type in ("Decimal", "Integer")
+        number = not isinstance(n.x, Name) and n.x.kind == "Literal" and n.x.type in ("Decimal", "Integer")
         if number and n.op == "-" and not n.postfix:
             return "-" + text(n.x.data)
         if number and n.op == "!" and n.x.type == "Integer" and n.x.data[:1] in (b"0", b"1"):
@@ -278,11 +278,11 @@ def kinds_below(tree: Node, enter: Callable, leave: Callable | None = None) -> N
     """A visitor: ``enter`` is called for each node and says whether to go into it, ``leave`` after its inside."""
     if not enter(tree):
         return
-    if not isinstance(tree, Var):
+    if not isinstance(tree, Name):
         for value in tree.f.values():
             for x in value if isinstance(value, list) else [value]:
                 for y in x if isinstance(x, tuple) else (x,):
-                    if isinstance(y, (Node, Var)):
+                    if isinstance(y, (Node, Name)):
                         kinds_below(y, enter, leave)
     if leave:
         leave(tree)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 from .js import NAMES
 from .js_parse import Node
-from .js_scope import KINDS, Var
+from .js_scope import KINDS, Name
 
 
 def text(b: bytes) -> str:
@@ -15,8 +15,8 @@ def text(b: bytes) -> str:
 
 def sexpr(n) -> str:
     """Statements as Stmt(...), declarations as Decl(...), bindings as Binding(...), operations in parentheses."""
-    if isinstance(n, Var):
-        return text(n.end().name)
+    if isinstance(n, Name):
+        return text(n.name)
     return WRITERS[n.kind](n)
 
 
@@ -93,7 +93,7 @@ def binding_array(n: Node) -> str:
 
 
 def same_name(key, value) -> bool:
-    return isinstance(value, Var) and key.kind == "Literal" and key.type == "Identifier" and key.data == value.name
+    return isinstance(value, Name) and key.kind == "Literal" and key.type == "Identifier" and key.data == value.name
 
 
 def binding_item(n: Node) -> str:
@@ -190,8 +190,8 @@ def nodes(tree: Node) -> Iterator[tuple]:
 
     def visit(n, parent: int | None, field: str, ordinal: int, depth: int) -> None:
         at = len(rows)
-        if isinstance(n, Var):
-            rows.append([at, parent, field, ordinal, "Var", KINDS[n.end().decl], text(n.end().name), depth, at])
+        if isinstance(n, Name):
+            rows.append([at, parent, field, ordinal, "Var", KINDS[n.decl], text(n.name), depth, at])
             return
         data = next((text(n.f[k]) for k in ("data", "value", "label", "module", "tail", "default") if isinstance(n.f.get(k), bytes)), None)
         rows.append([at, parent, field, ordinal, n.kind, n.f.get("op") or n.f.get("type"), data, depth, at])
@@ -202,8 +202,8 @@ def nodes(tree: Node) -> Iterator[tuple]:
             many = value if isinstance(value, list) else [value]
             for k, x in enumerate(many):
                 if isinstance(x, tuple):
-                    x = next((y for y in x if isinstance(y, (Node, Var))), None)
-                if isinstance(x, (Node, Var)):
+                    x = next((y for y in x if isinstance(y, (Node, Name))), None)
+                if isinstance(x, (Node, Name)):
                     visit(x, at, name, k, depth + 1)
         rows[at][8] = len(rows) - 1
 
@@ -214,14 +214,12 @@ def nodes(tree: Node) -> Iterator[tuple]:
 def scopes(parser) -> tuple[list[tuple], list[tuple]]:
     """Rows of scopes (scope_id, parent_id, func_id, what, has_with, n_for_decls, n_func_args, n_arg_uses) and of
     variables (scope_id, ordinal, bound, name, decl, uses, links)."""
-    number = {id(s): k for k, (s, _) in enumerate(parser.scopes)}
+    number = {id(s): k for k, s in enumerate(parser.scopes)}
     scope_rows, var_rows = [], []
-    for k, (s, what) in enumerate(parser.scopes):
-        scope_rows.append((k, number.get(id(s.parent)), number.get(id(s.func)), what, s.has_with, s.for_decls, s.func_args, s.arg_uses))
-        for bound, held in ((True, s.declared), (False, s.undeclared)):
+    for k, s in enumerate(parser.scopes):
+        scope_rows.append((k, number.get(id(s.around())), number.get(id(s.around(function=True))), s.what, s.has_with, *(s.counts[c] for c in ("for_decls", "func_args", "arg_uses"))))
+        for bound, held in ((True, s.bound), (False, s.free)):
             for i, v in enumerate(held):
-                links, end = 0, v
-                while end.link is not None:
-                    links, end = links + 1, end.link
-                var_rows.append((k, i, bound, text(v.name), KINDS[v.decl], v.uses, links))
+                seen = v.itself()
+                var_rows.append((k, i, bound, text(v.name), KINDS[seen.decl], seen.uses, v.chain()[1]))
     return scope_rows, var_rows

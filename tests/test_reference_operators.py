@@ -91,6 +91,7 @@ CSS_CASES = [
     ("a{b:c}", "Ident LeftBrace Ident Colon Ident RightBrace"), ("5.2 .4 5% 1em -1e3px", "Number Number Percentage Dimension Dimension"), ("#fff @media --x", "Hash AtKeyword CustomPropertyName"),
     ("url(x) url('x') url( x )", "URL URL URL"), ("url(a h)a", "BadURL Ident"), ("u\\rl(x)", "URL"), ("'a\nb", "BadString Ident"), ("\"open", "String"), ("/* open", "Comment"), ("U+0?? u+1-2", "UnicodeRange UnicodeRange"),
     ("~= |= ^= $= *= ||", "IncludeMatch DashMatch PrefixMatch SuffixMatch SubstringMatch Column"), ("<!-- -->", "CDO CDC"), ("f(", "Function"), ("\\62 c", "Ident"), ("5.e", "Number Delim Ident"), ("\x00", "Delim"), ("", ""),
+    ("4e-22 4e22 +1.5E+3 1e3% 1e-x 44e2px", "Number Number Number Percentage Dimension Dimension"), ("rgb(1e3)", "Function Number RightParenthesis"),
 ]
 
 
@@ -193,6 +194,47 @@ def test_js_scopes():
     assert [n[5] for n in names if n[3] == "f"] == [2]
 
 
+#: Program, bound variables of each scope, variables used but not bound there; numbers tell variables apart and
+#: a star is a link. Fixed values.
+SCOPES = [
+    ("a; a", "", "a=1"), ("a;{a;{a}}", "//", "a=1/a=1/a=1*"), ("var [a, b=c, ...d] = z;", "a=1,b=2,d=3", "c=4,z=5"), ("function a(b=c){var c}", "a=1/b=3,c=4", "c=2/c=2"), ("!function a(b,c){var d; e = 5; a}", "/a=2,b=3,c=4,d=5", "e=1/e=1"),
+    ("class a{#b; b(){ this.#b }}", "a=1/#b=2/", "//#b=2"), ("a => a%b", "/a=2", "b=1/b=1"), ("var a;a => a%5", "a=1/a=2", "/"), ("(a,b) + (a,b)", "", "a=1,b=2"), ("(a) + (a => a%5)", "/a=2", "a=1/"), ("(a=b) => {var b}", "/a=2,b=3", "b=1/b=1"),
+    ("([a, b=c, ...d]=e) => 5", "/a=3,b=4,d=5", "c=1,e=2/c=1,e=2"), ("{(a) + ((a,b) => {var c; d = 5; return d})}", "//a=3,b=4,c=5", "a=1,d=2/a=1,d=2/d=2"), ("(a=(b=>b/a)) => a", "/a=1/b=2", "//a=1*"), ("let a; {var b = a}", "a=1,b=2/", "/b=2,a=1"), ("a = 5; {let a}", "/a=2", "a=1/"),
+    ("{a = 5} let a", "a=1/", "/a=1"), ("!function(){return a};if(5){var a}", "a=1//", "/a=1/a=1"), ("try{}catch(a){var b; c}", "b=1//a=3", "c=2//b=1,c=2"), ("var a;try{}catch(a){var a}", "a=1//a=2", "//a=1"),
+    ("function r(o){function l(t){if(!z[t]){if(!o[t]);}}}", "r=1/o=3,l=4/t=5/", "z=2/z=2/z=2,o=3/o=3*,t=5"), ("!function(){var b;{(T=x),T}{var T}}", "/b=2,T=3//", "x=1/x=1/x=1,T=3/T=3"), ("{a} {a} var a", "a=1//", "/a=1/a=1"), ("(a),(a)", "", "a=1"),
+    ("!function(a){var b,c;return b?(c=function(){return[a];a.dispatch()},c):t}", "/a=2,b=3,c=4/", "t=1/t=1/a=2*"), ("a=>{for(let b of c){b,a;{var d}}}", "/a=2,d=3/b=4/", "c=1/c=1/c=1,a=2,d=3/d=3"), ("for(let b of c){let b;{b}}", "/b=2,b=3/", "c=1/c=1/b=3"), ("for(var b of c){var b;{b}}", "b=1//", "c=2/b=1,c=2/b=1"),
+]
+
+
+@pytest.mark.parametrize("doc,bound,used", SCOPES)
+def test_js_scopes_of_programs(doc, bound, used):
+    parser, tree, wrong = js_parse.parse(doc.encode())
+    assert wrong is None
+    number, shown = {}, ([], [])
+    for s in parser.scopes:
+        for held, names in zip((s.bound, s.free), shown):
+            ends = [(v.name.decode(), *v.chain()) for v in held]
+            names.append(",".join(f"{name}={number.setdefault(id(v), len(number) + 1)}{'*' * links}" for name, v, links in ends))
+    assert tuple(map("/".join, shown)) == (bound, used)
+
+
+@pytest.mark.parametrize("doc,want", [
+    ("class A{static async *a(){} get b(){} set(){} async;static=1;get\nc(){}}", "Decl(class A Method(static async * a Params() Stmt({ })) Method(get b Params() Stmt({ })) Method(set Params() Stmt({ })) Field(async) Field(static = 1) Method(get c Params() Stmt({ })))"),
+    ("x={async,get:1,set(){},async*a(){},get b(){}}", None), ("var [,a,,b,,]=c", "Decl(var Binding([ Binding(), Binding(a), Binding(), Binding(b) ] = c))"), ("var {a,b:c,'d':[e]=f,...g}=h", None), ("var {a,...b,}=c", "expected } instead of , in object binding pattern"), ("var [...a,]=b", "expected ] instead of , in array binding pattern"),
+])
+def test_js_members_and_bindings(doc, want):
+    _, tree, wrong = js_parse.parse(doc.encode())
+    if wrong:
+        assert wrong[0] == want
+    else:
+        once = js_print.program(tree)
+        assert js_print.program(js_parse.parse(once.encode())[1]) == once and want in (None, js_text.program(tree))
+
+
+def test_css_goes_on_after_a_bracket_that_closes_nothing():
+    assert rebuilt("a{b:c); d:e} f{g:h}") == ["BeginRuleset:a", "Error:)|b:c);!unexpected ending in declaration", "Declaration:d|e", "EndRuleset:}|", "BeginRuleset:f", "Declaration:g|h", "EndRuleset:}|"]
+
+
 @pytest.mark.parametrize("offset,data,want", [(0, "x", (1, 1)), (1, "xx", (1, 2)), (2, "x\nx", (2, 1)), (2, "\n\nx", (3, 1)), (3, "\r\nxxx", (2, 2)), (1, "\r\ny", (1, 1)), (4, "x⌘x", (1, 3)), (5, " xx", (2, 3)), (3, "x\rx", (2, 2))])
 def test_positions(offset, data, want):
     assert positions.position(data.encode(), offset)[:2] == want

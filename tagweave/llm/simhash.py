@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -106,11 +107,15 @@ def components(edges: DataFrame) -> DataFrame:
         discard(large, small)
 
 
-def grouped(items: DataFrame, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame] | None = None, finer: Callable[[Column], Column] | None = None, crowd: int = 200) -> DataFrame:
+def grouped(items: DataFrame, near: Callable[[Column, Column], Column], finer: Callable[[Column], Column] | None = None, confirm: Callable[[DataFrame], DataFrame] | None = None,
+            crowds: Callable[[DataFrame], DataFrame] | None = None, crowd: int = 200) -> DataFrame:
     """(item, root) of every item of a table (item, keys, sig): items are linked if they meet under a key (keys are
     an array with one for each table) and ``near`` holds for their signatures. Where signatures only hint at a
-    link, ``confirm`` leaves the true ones of the pairs (a, b). ``finer`` gives further keys of a signature, one of
-    which every linked pair shares; they divide buckets with more than ``crowd`` members outside the largest component.
+    link, ``confirm`` leaves the true ones of the pairs (a, b).
+
+    Buckets with more than ``crowd`` members outside their largest component are divided by ``finer``, further keys of
+    a signature of which every linked pair shares one, or given to ``crowds``: it makes of their members (t, key, n, item)
+    links that connect whatever is linked in a bucket of n members.
 
     The condition is part of the joins, so no pair that fails it ever becomes a row. The table is read several
     times and should be stored.
@@ -128,9 +133,12 @@ def grouped(items: DataFrame, near: Callable[[Column, Column], Column], confirm:
     members = items.select("item", "keys").join(labelled, "item").select("item", "root", F.posexplode("keys").alias("t", "key"))
     sizes = members.groupBy("t", "key", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("t", "key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = durable(mixed.select("t", "key", F.col("top.root").alias("main"), (F.col("n") - F.col("top.n") > crowd).alias("crowded")), "mixed")
+    mixed = durable(mixed.select("t", "key", "n", F.col("top.root").alias("main"), (F.col("n") - F.col("top.n") > crowd).alias("crowded")), "mixed")
     inside = durable(members.join(mixed, ["t", "key"]), "inside")
     discard(first, mixed)
+    packed = crowds(inside.where("crowded").select("t", "key", "n", "item")) if crowds else None
+    if crowds:
+        inside = inside.where("NOT crowded")
     plain = F.array(F.lit(0).cast("long"))
     cut = lambda s: F.posexplode(F.when(F.col("crowded"), finer(F.col(s))).otherwise(plain) if finer else plain).alias("s", "fine")
     names = (["item AS item_a"], ["item AS item_b"]) if confirm else ([], [])
@@ -140,6 +148,7 @@ def grouped(items: DataFrame, near: Callable[[Column, Column], Column], confirm:
     found = here.join(outer, on)
     if confirm:
         true = confirm(found.select(F.col("item_a").alias("a"), F.col("item_b").alias("b")))
+        true = true.union(packed) if packed is not None else true
         root = lambda name: labelled.select(F.col("item").alias(name), F.col("root").alias("root_" + name))
         links = true.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     else:
@@ -207,22 +216,20 @@ def signature(tokens: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray
     return keys.view(np.int64), packed.view("<i8")
 
 
-def ranges_used(a: Column, b: Column) -> Column:
-    """Number of ranges used by either of two sketches."""
-    used = F.lit(0)
-    for k in range(RANGES // 16, RANGES // 16 + RANGES // 64):
-        used = used + F.bit_count(F.get(a, k).bitwiseOR(F.get(b, k)))
-    return used
-
+def may_resemble(a: Column, b: Column, least: float) -> Column:
+    """Whether the resemblance estimated from two sketches is ``least`` or more, or they use too few ranges to tell.
 
-def alike(a: Column, b: Column) -> Column:
-    """Estimated resemblance of two sketches, from the ranges used by either and those of the same four bits."""
-    differ, used = F.lit(0), ranges_used(a, b)
-    for k in range(RANGES // 16):
-        x = F.get(a, k).bitwiseXOR(F.get(b, k))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(ONES)))
-    return (15 * (used - differ) - used) / (14 * used)
+    Of the ranges used by either, d differ in their four bits; 15 d / 14 is expected to be the share of the union
+    that they don't share. Small lambdas, because a condition of many bit operations would grow into a method that
+    the JVM doesn't compile.
+    """
+    half, longs = RANGES // 16, RANGES // 64
+    used = sum((F.bit_count(F.get(a, k).bitwiseOR(F.get(b, k))) for k in range(half + 1, half + longs)), F.bit_count(F.get(a, half).bitwiseOR(F.get(b, half))))
+    x = F.zip_with(F.slice(a, 1, half), F.slice(b, 1, half), lambda p, q: p.bitwiseXOR(q))
+    x = F.transform(x, lambda v: v.bitwiseOR(F.shiftrightunsigned(v, 1)))
+    x = F.transform(x, lambda v: v.bitwiseOR(F.shiftrightunsigned(v, 2)))
+    differ = F.aggregate(x, F.lit(0), lambda n, v: n + F.bit_count(v.bitwiseAND(F.lit(ONES))))
+    return (15 * differ <= 14 * (1 - least) * used) | (used < 32)
 
 
 def shingles(tokens: list[bytes], shingle: int) -> set[bytes]:
@@ -249,14 +256,86 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct().select("item.doc_id", "item.h")
-    texts = durable(docs.join(needed, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.min("text").alias("text")), "texts")
-    of = lambda name: texts.select(F.struct("doc_id", "h").alias(name), F.col("text").alias("text_" + name))
-    node = "struct<doc_id: long, h: long>"
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {node}, b {node}")
+    texts = texts_of(docs, pairs.select(F.col("a").alias("item")).union(pairs.select("b")))
+    of = lambda name: texts.select(F.col("item").alias(name), F.col("text").alias("text_" + name))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {NODE}, b {NODE}")
+
+
+NODE = "struct<doc_id: long, h: long>"
 
 
-def groups(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8, slack: float = 0.14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def texts_of(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, text) of the different ones of ``items``, stored."""
+    needed = items.distinct().select("item.doc_id", "item.h")
+    found = docs.join(needed, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.min("text").alias("text"))
+    return durable(found.select(F.struct("doc_id", "h").alias("item"), "text"), "texts")
+
+
+def alike_within(texts: list[str | None], shingle: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of positions that connect all texts which are connected by resemblances of at least ``similarity``.
+
+    Shingles of more than 8 texts are counted by a product of matrices, the others pair by pair.
+    """
+    sets = [shingles(words(t, lower=True), shingle) for t in texts]
+    n = len(sets)
+    holders: dict[bytes, list[int]] = {}
+    for i, held in enumerate(sets):
+        for g in held:
+            holders.setdefault(g, []).append(i)
+    both = np.zeros((n, n), np.float32)
+    often = []
+    for at in holders.values():
+        if len(at) > 8:
+            often.append(at)
+        elif len(at) > 1:
+            for k, i in enumerate(at):
+                both[i, at[k + 1 :]] += 1
+    for k in range(0, len(often), 4096):
+        part = often[k : k + 4096]
+        m = np.zeros((n, len(part)), np.float32)
+        for column, at in enumerate(part):
+            m[at, column] = 1
+        both += np.triu(m @ m.T, 1)
+    sizes = np.array([len(x) for x in sets], np.float64)
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    found = []
+    for i in range(n):
+        shared = both[i, i + 1 :].astype(np.float64)
+        for j in (np.flatnonzero(shared / (sizes[i] + sizes[i + 1 :] - shared) >= similarity) + i + 1).tolist():
+            if (a := find(i)) != (b := find(j)):
+                root[b] = a
+                found.append((i, j))
+    return found
+
+
+def crowd_links(members: DataFrame, docs: DataFrame, shingle: int, similarity: float, block: int = 800) -> DataFrame:
+    """Links (a, b) of the members (t, key, n, item) of crowded buckets. A bucket's members are dealt into blocks of
+    about ``block``; a task compares two blocks, and gives out fewer links than they have members."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        links = alike_within(rows["text"].tolist(), shingle, similarity)
+        ends = [rows[["doc_id", "h"]].iloc[[pair[k] for pair in links]].reset_index(drop=True) for k in (0, 1)]
+        return pd.concat(ends, axis=1).set_axis(["doc_a", "h_a", "doc_b", "h_b"], axis=1)
+
+    members = durable(members, "crowds")
+    texts = texts_of(docs, members.select("item"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = members.withColumn("own", F.pmod(F.xxhash64("item"), blocks).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), blocks - 1), lambda j: j != F.col("own")))))
+    dealt = dealt.select("t", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "item")
+    held = dealt.join(texts, "item").select("t", "key", "low", "high", "item.doc_id", "item.h", "text")
+    links = held.groupBy("t", "key", "low", "high").applyInPandas(run, "doc_a long, h_a long, doc_b long, h_b long")
+    return links.select(*[F.struct(F.col(f"doc_{x}").alias("doc_id"), F.col(f"h_{x}").alias("h")).alias(x) for x in ("a", "b")])
+
+
+def groups(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8, slack: float = 0.12, crowd: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, root) of the rows with an id: groups of texts that resemble each other. h is the hash of a row's
     text, root (doc_id, h) the smallest row of its group.
 
@@ -266,7 +345,8 @@ def groups(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float
     masks each, so that a pair that differs in at most three positions of a signature is sure to meet. The sketches
     only set aside pairs that meet and are far from alike: those estimated below ``similarity - slack`` (at 0.8 the
     estimate's deviation is about 0.025, and it is 0.014 too low for texts with many empty ranges; it isn't asked
-    below 32 ranges). The others' shingles are compared (``confirmed``).
+    below 32 ranges). The others' shingles are compared (``confirmed``). In buckets with more than ``crowd`` members
+    that the first links didn't join, blocks of texts are compared at once instead (``crowd_links``).
 
     Rows that share an id but not their text are nodes each; texts of the same words are one.
     """
@@ -288,8 +368,10 @@ def groups(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float
     signed = durable(inner.mapInArrow(run, "doc_id long, h long, same binary, fp long, keys array<long>, sig array<long>"), "signatures")
     firsts = signed.groupBy("same").agg(F.min(F.struct("doc_id", "h", "fp", "keys", "sig")).alias("r"))
     items = durable(firsts.select("same", F.struct("r.doc_id", "r.h").alias("item"), "r.fp", "r.keys", "r.sig"), "items")
-    near = lambda a, b: (ranges_used(a, b) < 32) | (alike(a, b) >= similarity - slack)
-    texts = grouped(items.select("item", "keys", "sig"), near, lambda pairs: confirmed(pairs, inner, shingle, similarity))
+    texts = grouped(
+        items.select("item", "keys", "sig"), lambda a, b: may_resemble(a, b, similarity - slack), confirm=lambda pairs: confirmed(pairs, inner, shingle, similarity),
+        crowds=lambda members: crowd_links(members, inner, shingle, similarity), crowd=crowd,
+    )
 
     nodes = durable(items.groupBy("fp").agg(F.min("item").alias("item")), "nodes")
     bits = link(nodes, radius).union(items.join(nodes.withColumnRenamed("item", "root"), "fp").select("item", "root"))

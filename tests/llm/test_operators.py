@@ -307,6 +307,43 @@ def test_similar_texts_at_the_limit(spark):
         assert alike == (i // 8 % 2 == 0) and (got[i] == got[i + 1]) == (alike or close)
 
 
+def test_blocks_of_texts_are_connected_as_pairs_are():
+    rng = random.Random(15)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = [" ".join(rng.choice(base) if rng.random() < rate else w for w in base) for rate in (0, 0.01, 0.02, 0.04, 0.08) for _ in range(40)] + ["", None, "a", "a b", "a"]
+    links = simhash.alike_within(texts, 5, 0.8)
+    want = brute_groups(texts)
+    assert len(links) < len(texts)
+    root = list(range(len(texts)))
+    for i, j in links:
+        assert jaccard(texts[i] or "", texts[j] or "") >= 0.8
+        a, b = root[i], root[j]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    assert root == want
+
+
+def brute_groups(texts):
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i] or "", texts[j] or "") >= 0.8 and root[i] != root[j]:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return root
+
+
+def test_a_crowd_of_near_copies(spark):
+    """Copies of one text that are changed by more and less, so that most pairs are near the limit: the links are those
+    of all pairs, by joins and by blocks."""
+    rng = random.Random(16)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = [" ".join(f"x{rng.getrandbits(30)}" if rng.random() < rate else w for w in base) for rate in (0.005, 0.01, 0.02, 0.03, 0.05) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for crowd in (5, 10_000):
+        got = {r.doc_id: r.root.doc_id for r in simhash.groups(docs, radius=0, crowd=crowd).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_groups(texts)
+
+
 def test_similar_odd_tables(spark, odd):
     got = simhash.groups(clashing(odd)).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in everything(odd) if r.doc_id is not None)

@@ -14,7 +14,7 @@ from tagweave.plans import catalogue
 
 HEADLINE = [
     "html_token_counts", "html_end_tags", "html_start_tags_by_name", "html_links", "css_grammar_counts", "js_calls_from_pages", "js_scope_uses_from_pages", "json_events_from_props", "json_number_values",
-    "xml_token_counts", "collapse_ws", "ascii_lower", "encode_url", "parse_float", "append_decimal", "append_number", "replace_entities", "bin_round_trip", "rollup_tags", "events_per_hour",
+    "xml_tokens_from_parts", "css_units_from_parts", "js_statements_from_parts", "collapse_ws", "ascii_lower", "encode_url", "read_float", "append_decimal", "append_number", "replace_entities", "bin_round_trip", "rollup_tags", "events_per_hour",
 ]
 
 
@@ -44,7 +44,7 @@ def main() -> None:
             took.append(time.perf_counter() - began)
         seconds[name] = round(statistics.median(took[1:]), 3)
     html_mb = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("sum(octet_length(html)) / 1e6").first()[0]
-    tokens = catalogue.page_tokens(spark, sf_dir).count()
+    tokens = catalogue.page_tokens(spark, sf_dir, "token_type").count()
     rate = {"html_mb_per_s": round(html_mb / seconds["html_token_counts"], 1), "html_tokens_per_s": round(tokens / seconds["html_token_counts"])}
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")), "cpus": int(cpus), **rate}))
     spark.stop()

@@ -1 +1 @@
-"""Document-parsing analytics on Spark."""
+"""Analytics of documents and their syntax on Spark."""

@@ -32,6 +32,13 @@ def remaining(b: Column | str, offset: Column | int) -> Column:
     return F.octet_length(col(b)) - at(offset)
 
 
+def seek(b: Column | str, position: Column | int, offset: Column | int, whence: str = "start") -> Column:
+    """The position after moving by ``offset`` from the start, the current position or the end; null outside the bytes."""
+    size = F.octet_length(col(b))
+    to = {"start": F.lit(0), "current": at(position), "end": size}[whence] + at(offset)
+    return F.when((to >= 0) & (to <= size), to)
+
+
 def same_page(offset: Column, start: Column, end: Column, page: int = 4096) -> Column:
     return (F.floor(start / page) == F.floor(offset / page)) & (F.floor(end / page) == F.floor(offset / page))
 
@@ -48,7 +55,8 @@ def read_uint(b: Column | str, offset: Column | int, width: int, little: bool =
 
 
 def read_int(b: Column | str, offset: Column | int, width: int, little: bool = False) -> Column:
-    """Two's complement, also for widths of 3."""
+    """Two's complement for every width, 3 bytes included: 0xFFFFFF is -1, not 16777215 as in readers that only widen
+    the unsigned value; ``read_uint`` gives that one."""
     value = read_uint(b, offset, width, little).cast("decimal(21,0)")
     half = F.lit(str(2 ** (8 * width - 1))).cast("decimal(21,0)")
     return F.when(value >= half, value - half - half).otherwise(value).cast(SIGNED[width])

@@ -1,7 +1,8 @@
 """HTML5 tokens of a document, with optional template delimiters.
 
 The scanner leaps from one interesting byte to the next with compiled patterns; it never walks byte by byte.
-A row is (token_type, data, text, attr_val, has_template, start, end, error).
+A row is (token_type, data, text, attr_val, has_template, start, end, error, in_tag); in_tag is the element whose raw text
+a Text token is (script, style, title and the like), else null.
 """
 
 from __future__ import annotations
@@ -75,43 +76,43 @@ class Scanner:
         while at < size:
             if raw_tag:
                 stop, templated = self.raw_end(at, raw_tag)
-                raw_tag = None
+                inside, raw_tag = raw_tag, None
                 if stop > at:
-                    yield "Text", data[at:stop], data[at:stop], None, templated, at, stop, None
+                    yield "Text", data[at:stop], data[at:stop], None, templated, at, stop, None, inside
                     at = stop
                     continue
             m = self.text.search(data, at)
             stop = m.start() if m else size
             if stop > at:
-                yield "Text", data[at:stop], data[at:stop], None, False, at, stop, None
+                yield "Text", data[at:stop], data[at:stop], None, False, at, stop, None, None
                 at = stop
                 continue
             if self.at_template(at):
                 stop = self.after_template(at)
-                yield "Template", data[at:stop], None, None, True, at, stop, None
+                yield "Template", data[at:stop], None, None, True, at, stop, None, None
             elif data.startswith(b"</", at):
                 stop = data.find(b">", at)
                 stop, end = (size, size) if stop < 0 else (stop, stop + 1)
                 if data[at + 2 : at + 3].isalpha():
-                    yield "EndTag", data[at:end].lower(), data[at + 2 : stop].rstrip(b" \t\n\r").lower(), None, False, at, end, None
+                    yield "EndTag", data[at:end].lower(), data[at + 2 : stop].rstrip(b" \t\n\r").lower(), None, False, at, end, None, None
                 else:
-                    yield "Comment", data[at:end], data[at + 2 : stop], None, False, at, end, None
+                    yield "Comment", data[at:end], data[at + 2 : stop], None, False, at, end, None, None
                 stop = end
             elif data.startswith((b"<!", b"<?"), at):
                 kind, text, stop = self.markup(at)
-                yield kind, data[at:stop], text, None, False, at, stop, None
+                yield kind, data[at:stop], text, None, False, at, stop, None, None
             else:
                 stop = self.find(self.name, at + 1)
                 tag = data[at + 1 : stop].lower()
                 if tag in FOREIGN:
                     stop, wrong = self.foreign_end(stop, tag)
                     if wrong is not None:
-                        yield "Error", b"", None, None, False, at, wrong, error(data, wrong, "unexpected NULL character")
+                        yield "Error", b"", None, None, False, at, wrong, error(data, wrong, "unexpected NULL character"), None
                         return
-                    yield FOREIGN[tag], b"<" + tag + data[at + 1 + len(tag) : stop], tag, None, False, at, stop, None
+                    yield FOREIGN[tag], b"<" + tag + data[at + 1 + len(tag) : stop], tag, None, False, at, stop, None, None
                 else:
                     raw_tag = tag if tag in RAW else None
-                    yield "StartTag", b"<" + tag, tag, None, False, at, stop, None
+                    yield "StartTag", b"<" + tag, tag, None, False, at, stop, None, None
                     stop = yield from self.attributes(stop)
                     if stop >= size and not data.endswith(b">"):
                         return
@@ -120,17 +121,17 @@ class Scanner:
     def attributes(self, at: int) -> Iterator[tuple]:
         data, size = self.data, len(self.data)
         if data[at : at + 1] == b">":  # most tags have none
-            yield "StartTagClose", b">", None, None, False, at, at + 1, None
+            yield "StartTagClose", b">", None, None, False, at, at + 1, None, None
             return at + 1
         while True:
             first = SPACES.match(data, at).end()
             if first >= size:
                 return size
             if data.startswith(b"/>", first):
-                yield "StartTagVoid", b"/>", None, None, False, first, first + 2, None
+                yield "StartTagVoid", b"/>", None, None, False, first, first + 2, None, None
                 return first + 2
             if data[first] == 62:
-                yield "StartTagClose", b">", None, None, False, first, first + 1, None
+                yield "StartTagClose", b">", None, None, False, first, first + 1, None, None
                 return first + 1
             stop, name_end, value, templated_name, templated = self.attribute(first)
             name = data[first:name_end]
@@ -139,7 +140,7 @@ class Scanner:
             else:
                 name = name.lower()
                 whole = data[at:first] + name + data[name_end:stop]
-            yield "Attribute", whole, name, value, templated, at, stop, None
+            yield "Attribute", whole, name, value, templated, at, stop, None, None
             at = stop
 
     def attribute(self, first: int) -> tuple[int, int, bytes | None, bool, bool]:

@@ -226,7 +226,7 @@ class Lexer:
 
 
 def tokens(data: bytes | None, regexp: bool = False) -> Iterator[tuple]:
-    """All tokens. ``regexp``: every / and /= begins a regular expression (else none does; a parser knows)."""
+    """All tokens. ``regexp``: every / and /= begins a regular expression (else none does; a reader knows)."""
     lexer = Lexer(data or b"")
     while True:
         kind, text = lexer.next()

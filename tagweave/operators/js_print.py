@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .js import NAMES
-from .js_parse import Node
+from .js_syntax import Node
 from .js_scope import Name
 from .js_text import same_name, text
 

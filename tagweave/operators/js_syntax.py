@@ -1,7 +1,7 @@
-"""JavaScript syntax trees by operator-precedence parsing, with scopes.
+"""JavaScript syntax trees by operator precedence, with scopes.
 
 Nodes are generic: a kind and named fields. What may follow an expression is a table of precedences, statements
-are methods found by their first token. The first error ends a parse.
+are methods found by their first token. The first error ends the reading.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ class Node:
             raise AttributeError(name) from None
 
 
-class Parser:
+class Reader:
     def __init__(self, data: bytes, inline: bool = False, while_to_for: bool = False):
         self.lexer, self.data, self.inline, self.while_to_for = Lexer(data), data, inline, while_to_for
         self.kind, self.text, self.new_line = "Whitespace", b"", False
@@ -168,7 +168,7 @@ class Parser:
         kind = self.kind
         special = STATEMENTS.get(kind)
         if kind == "return" and self.returns:
-            special = Parser.return_statement
+            special = Reader.return_statement
         node = special(self, declarations) if special else self.expression_statement(prologue)
         if kind == "Error":
             return node
@@ -747,9 +747,9 @@ class Parser:
 
     # Expressions
 
-    def with_in(self, parse, *arguments):
+    def with_in(self, rule, *arguments):
         held, self.allow_in = self.allow_in, True
-        found = parse(*arguments)
+        found = rule(*arguments)
         self.allow_in = held
         return found
 
@@ -1205,7 +1205,7 @@ MEMBER_ENDS, PROPERTY_ENDS = frozenset("( = ; }".split()), frozenset("= , } : ("
 
 #: Kinds that can't stand left of in and of.
 VALUES = frozenset(("Comma", "Cond", "Yield", "Arrow", "Binary", "Unary"))
-P = Parser
+P = Reader
 STATEMENTS = {
     "{": P.block_statement, "var": P.variables, "const": P.variables, "let": P.let, "if": P.if_statement, "continue": P.branch, "break": P.branch, "with": P.with_statement,
     "do": P.do_while, "while": P.while_statement, "for": P.for_statement, "switch": P.switch, "function": P.function_statement, "async": P.async_statement, "class": P.class_statement,
@@ -1217,15 +1217,15 @@ EXPRESSIONS = {
 }
 
 
-def parse(data: bytes, inline: bool = False, while_to_for: bool = False) -> tuple[Parser, Node | None, tuple | None]:
-    """(parser with its scopes, tree or None, error or None)."""
-    parser = Parser(data, inline, while_to_for)
+def read(data: bytes, inline: bool = False, while_to_for: bool = False) -> tuple[Reader, Node | None, tuple | None]:
+    """(reader with its scopes, tree or None, error or None)."""
+    reader = Reader(data, inline, while_to_for)
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 60_000))
     try:
-        tree = parser.program()
+        tree = reader.program()
     except Failed as e:
-        return parser, None, error(data, parser.lexer.at - len(parser.text), str(e))
+        return reader, None, error(data, reader.lexer.at - len(reader.text), str(e))
     finally:
         sys.setrecursionlimit(limit)
-    return (parser, None, parser.lexer.wrong) if parser.lexer.wrong else (parser, tree, None)
+    return (reader, None, reader.lexer.wrong) if reader.lexer.wrong else (reader, tree, None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 from .js import NAMES
-from .js_parse import Node
+from .js_syntax import Node
 from .js_scope import KINDS, Name
 
 
@@ -183,43 +183,54 @@ def program(tree: Node) -> str:
     return " ".join(map(sexpr, tree.list))
 
 
-def nodes(tree: Node) -> Iterator[tuple]:
-    """(node_id, parent_id, field, ordinal, kind, op, data, depth, exit_id) in order of entering; exit_id is the
-    largest id inside, so descendants are a range of ids."""
+FLAGS = {"is_async": "async", "generator": "generator", "static": "static", "get": "get", "set": "set", "optional": "optional", "postfix": "postfix", "spread": "spread", "awaits": "await"}
+
+
+def nodes(tree: Node, reader=None) -> Iterator[tuple]:
+    """(node_id, parent_id, field, ordinal, kind, op, data, flags, depth, exit_id, scope_id) in order of entering;
+    exit_id is the largest id inside, so descendants are a range of ids."""
     rows: list[list] = []
+    number = {id(s): k for k, s in enumerate(reader.scopes)} if reader else {}
 
-    def visit(n, parent: int | None, field: str, ordinal: int, depth: int) -> None:
+    def visit(n, parent: int | None, field: str, ordinal: int, depth: int, scope: int | None) -> None:
         at = len(rows)
         if isinstance(n, Name):
-            rows.append([at, parent, field, ordinal, "Var", KINDS[n.decl], text(n.name), depth, at])
+            rows.append([at, parent, field, ordinal, "Var", KINDS[n.decl], text(n.name), [], depth, at, scope])
             return
         data = next((text(n.f[k]) for k in ("data", "value", "label", "module", "tail", "default") if isinstance(n.f.get(k), bytes)), None)
-        rows.append([at, parent, field, ordinal, n.kind, n.f.get("op") or n.f.get("type"), data, depth, at])
+        flags = [shown for name, shown in FLAGS.items() if n.f.get(name) is True]
+        flags += ["computed"] * (n.kind == "Computed") + ["default"] * (n.kind == "Export" and n.default)
+        inner = n.f.get("scope")
+        if inner is None and isinstance(body := n.f.get("body"), Node) and n.kind in ("Function", "Method", "Arrow", "For", "ForIn", "ForOf"):
+            inner = body.f.get("scope")  # parameters and heads stand in the scope of the body
+        within = number.get(id(inner), scope)
+        rows.append([at, parent, field, ordinal, n.kind, n.f.get("op") or n.f.get("type"), data, flags, depth, at, scope])
         for k, (was, bound) in enumerate(n.f.get("names") or ()):
             if bound is not None:
-                rows.append([len(rows), at, "names", k, "Alias", None if was is None else text(was), text(bound), depth + 1, len(rows)])
+                rows.append([len(rows), at, "names", k, "Alias", None if was is None else text(was), text(bound), [], depth + 1, len(rows), within])
         for name, value in n.f.items():
             many = value if isinstance(value, list) else [value]
             for k, x in enumerate(many):
                 if isinstance(x, tuple):
                     x = next((y for y in x if isinstance(y, (Node, Name))), None)
                 if isinstance(x, (Node, Name)):
-                    visit(x, at, name, k, depth + 1)
-        rows[at][8] = len(rows) - 1
+                    visit(x, at, name, k, depth + 1, within)
+        rows[at][9] = len(rows) - 1
 
-    visit(tree, None, "program", 0, 0)
+    visit(tree, None, "program", 0, 0, None)
     yield from map(tuple, rows)
 
 
-def scopes(parser) -> tuple[list[tuple], list[tuple]]:
+def scopes(reader) -> tuple[list[tuple], list[tuple]]:
     """Rows of scopes (scope_id, parent_id, func_id, what, has_with, n_for_decls, n_func_args, n_arg_uses) and of
-    variables (scope_id, ordinal, bound, name, decl, uses, links)."""
-    number = {id(s): k for k, s in enumerate(parser.scopes)}
+    variables (scope_id, ordinal, bound, var_id, name, decl, uses, links)."""
+    number = {id(s): k for k, s in enumerate(reader.scopes)}
     scope_rows, var_rows = [], []
-    for k, s in enumerate(parser.scopes):
+    var_ids: dict[int, int] = {}
+    for k, s in enumerate(reader.scopes):
         scope_rows.append((k, number.get(id(s.around())), number.get(id(s.around(function=True))), s.what, s.has_with, *(s.counts[c] for c in ("for_decls", "func_args", "arg_uses"))))
         for bound, held in ((True, s.bound), (False, s.free)):
             for i, v in enumerate(held):
-                seen = v.itself()
-                var_rows.append((k, i, bound, text(v.name), KINDS[seen.decl], seen.uses, v.chain()[1]))
+                seen, (end, links) = v.itself(), v.chain()
+                var_rows.append((k, i, bound, var_ids.setdefault(id(end), len(var_ids)), text(v.name), KINDS[seen.decl], seen.uses, links))
     return scope_rows, var_rows

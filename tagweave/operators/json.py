@@ -1,4 +1,5 @@
-"""JSON parse events: (grammar, state, data, depth, start, end, error).
+"""JSON events: (grammar, state, data, depth, start, end, error, name); name is that of the member whose value an event
+is or begins, as written between the quotes.
 
 The grammar is lenient: a comma may stand before the first or after the last item, containers may stay open at
 the end of the document, and strings are not validated.
@@ -28,10 +29,10 @@ def unfinished(data: bytes, at: int) -> int:
 
 def events(data: bytes | None) -> Iterator[tuple]:
     data = data or b""
-    states, pending, at = [VALUE], False, 0  # pending: a comma or a closing sign must come before the next item
+    states, pending, at, key = [VALUE], False, 0, None  # pending: a comma or a closing sign must come before the next item
 
     def wrong(where: int, message: str) -> tuple:
-        return "Error", states[-1], b"", len(states) - 1, where, where, error(data, where, message)
+        return "Error", states[-1], b"", len(states) - 1, where, where, error(data, where, message), None
 
     while True:
         at = SPACES.match(data, at).end()
@@ -46,9 +47,10 @@ def events(data: bytes | None) -> Iterator[tuple]:
             return
         if c in OPENERS:
             grammar, state = OPENERS[c]
+            name = key if states[-1] == MEMBER else None
             states.append(state)
             stop = at + 1
-            yield grammar, state, data[at:stop], len(states) - 2, at, stop, None
+            yield grammar, state, data[at:stop], len(states) - 2, at, stop, None, name
         elif c in CLOSERS:
             grammar, state, message = CLOSERS[c]
             if states[-1] != state:
@@ -58,7 +60,7 @@ def events(data: bytes | None) -> Iterator[tuple]:
             if states[-1] == MEMBER:
                 states[-1] = KEY
             pending, stop = True, at + 1
-            yield grammar, states[-1], data[at:stop], len(states) - 1, at, stop, None
+            yield grammar, states[-1], data[at:stop], len(states) - 1, at, stop, None, None
         elif states[-1] == KEY:
             m = STRING.match(data, at)
             if not m:
@@ -70,12 +72,12 @@ def events(data: bytes | None) -> Iterator[tuple]:
             if data[colon : colon + 1] != b":":
                 yield wrong(colon, "expected colon character after object key")
                 return
-            states[-1], stop = MEMBER, colon + 1
-            yield "String", MEMBER, m[0], len(states) - 1, at, stop, None
+            states[-1], stop, key = MEMBER, colon + 1, m[0][1:-1]
+            yield "String", MEMBER, m[0], len(states) - 1, at, stop, None, None
         else:
-            pending = True
+            pending, name = True, None
             if states[-1] == MEMBER:
-                states[-1] = KEY
+                states[-1], name = KEY, key
             for grammar, pattern in (("String", STRING), ("Number", NUMBER), ("Literal", LITERAL)):
                 if m := pattern.match(data, at):
                     break
@@ -87,5 +89,5 @@ def events(data: bytes | None) -> Iterator[tuple]:
                 yield wrong(where, message)
                 return
             stop = m.end()
-            yield grammar, states[-1], m[0], len(states) - 1, at, stop, None
+            yield grammar, states[-1], m[0], len(states) - 1, at, stop, None, name
         at = stop

@@ -17,20 +17,20 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..shipping import ship
-from . import css, html, js, js_parse, js_print, js_text, json, xml
+from . import css, html, js, js_syntax, js_print, js_text, json, xml
 
 ERROR = "STRUCT<message: STRING, line: INT, col: INT, context: STRING>"
 VALUES = "ARRAY<STRUCT<token_type: STRING, data: STRING>>"
-HTML = f"token_type STRING, data STRING, text STRING, attr_val STRING, has_template BOOLEAN, start INT, end INT, error {ERROR}"
+HTML = f"token_type STRING, data STRING, text STRING, attr_val STRING, has_template BOOLEAN, start INT, end INT, error {ERROR}, in_tag STRING"
 XML = f"token_type STRING, data STRING, text STRING, attr_val STRING, start INT, end INT, error {ERROR}"
 CSS_TOKENS = "token_type STRING, data STRING, start INT, end INT"
 CSS_GRAMMAR = f"grammar STRING, token_type STRING, data STRING, values {VALUES}, end INT, error {ERROR}"
-JSON = f"grammar STRING, state STRING, data STRING, depth INT, start INT, end INT, error {ERROR}"
+JSON = f"grammar STRING, state STRING, data STRING, depth INT, start INT, end INT, error {ERROR}, name STRING"
 
 JS_TOKENS = f"token_type STRING, token_code INT, data STRING, start INT, end INT, error {ERROR}"
-JS_NODES = "node_id INT, parent_id INT, field STRING, ordinal INT, kind STRING, op STRING, data STRING, depth INT, exit_id INT"
+JS_NODES = "node_id INT, parent_id INT, field STRING, ordinal INT, kind STRING, op STRING, data STRING, flags ARRAY<STRING>, depth INT, exit_id INT, scope_id INT"
 JS_SCOPES = "scope_id INT, parent_id INT, func_id INT, what STRING, has_with BOOLEAN, n_for_decls INT, n_func_args INT, n_arg_uses INT"
-JS_VARS = "scope_id INT, ordinal INT, bound BOOLEAN, name STRING, decl STRING, uses INT, links INT"
+JS_VARS = "scope_id INT, ordinal INT, bound BOOLEAN, var_id INT, name STRING, decl STRING, uses INT, links INT"
 JS_PROGRAMS = f"sexpr STRING, js STRING, json STRING, json_error STRING, n_nodes INT, n_scopes INT, error {ERROR}"
 
 FLUSH = 50_000  # rows of a batch sent back; bounds memory for long documents
@@ -55,7 +55,7 @@ def shaped(value, kind: pa.DataType):
     return value
 
 
-def column(values: tuple, kind: pa.DataType) -> pa.Array:
+def column(values: list, kind: pa.DataType) -> pa.Array:
     """An Arrow column of a kernel's values. Bytes become text in one validated cast; only where some aren't UTF-8
     are they decoded one by one."""
     if pa.types.is_string(kind):
@@ -72,14 +72,19 @@ def column(values: tuple, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def relation(docs: DataFrame, content: str, keys: list[str], kernel: Callable[[bytes], Iterator[tuple]], schema: str, numbered: bool = True) -> DataFrame:
-    """Rows of every document: the key columns, seq (from 0) and the kernel's columns.
+def relation(docs: DataFrame, content: str, keys: list[str], kernel: Callable[[bytes], Iterator[tuple]], schema: str, numbered: bool = True, columns: list[str] | None = None) -> DataFrame:
+    """Rows of every document: the key columns, seq (from 0) and the kernel's columns, or those named by ``columns``;
+    what isn't named never leaves Python, where Spark's column pruning can't reach.
 
     ``content`` is a STRING or BINARY column; null documents have no rows. Keys that clash with a column of the
     relation are an error of the caller and are reported before any work.
     """
     ship(docs.sparkSession)
-    own = T._parse_datatype_string(("seq INT, " if numbered else "") + schema)
+    full = T.StructType.fromDDL(("seq INT, " if numbered else "") + schema)
+    if unknown := set(columns or ()) - set(full.names):
+        raise ValueError(f"no columns of the relation: {sorted(unknown)}")
+    own = T.StructType([f for f in full if columns is None or f.name in columns])
+    places = [full.names.index(f.name) - numbered for f in own]  # in a kernel's row; -1 is seq
     if clash := set(keys) & {f.name for f in own}:
         raise ValueError(f"key columns clash with columns of the relation: {sorted(clash)}")
     inner = docs.select(*keys, content)
@@ -94,9 +99,8 @@ def relation(docs: DataFrame, content: str, keys: list[str], kernel: Callable[[b
 
             def flush() -> pa.RecordBatch:
                 taken = pa.array(source, pa.int32())
-                made = [seqs, *zip(*rows)] if numbered else [*zip(*rows)]
                 cols = [batch.column(k).take(taken) for k in range(n_keys)]
-                cols += [column(v, f.type) for v, f in zip(made, arrow)]
+                cols += [column(seqs if at < 0 else [r[at] for r in rows], f.type) for at, f in zip(places, arrow)]
                 for held in (source, seqs, rows):
                     held.clear()
                 return pa.RecordBatch.from_arrays(cols, names=[f.name for f in result])
@@ -120,72 +124,97 @@ def relation(docs: DataFrame, content: str, keys: list[str], kernel: Callable[[b
     return inner.mapInArrow(run, result)
 
 
-def html_tokens(docs: DataFrame, content: str = "html", keys: list[str] | None = None, template: tuple[str, str] = ("", "")) -> DataFrame:
+def html_tokens(docs: DataFrame, content: str = "html", keys: list[str] | None = None, template: tuple[str, str] = ("", ""), columns: list[str] | None = None) -> DataFrame:
     begin, end = template
-    return relation(docs, content, keys or [c for c in docs.columns if c != content], lambda b: html.tokens(b, begin, end), HTML)
+    return relation(docs, content, keys or [c for c in docs.columns if c != content], lambda b: html.tokens(b, begin, end), HTML, columns=columns)
 
 
-def xml_tokens(docs: DataFrame, content: str = "xml", keys: list[str] | None = None) -> DataFrame:
-    return relation(docs, content, keys or [c for c in docs.columns if c != content], xml.tokens, XML)
+def xml_tokens(docs: DataFrame, content: str = "xml", keys: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    return relation(docs, content, keys or [c for c in docs.columns if c != content], xml.tokens, XML, columns=columns)
 
 
-def css_tokens(docs: DataFrame, content: str = "css", keys: list[str] | None = None) -> DataFrame:
-    return relation(docs, content, keys or [c for c in docs.columns if c != content], css.tokens, CSS_TOKENS)
+def css_tokens(docs: DataFrame, content: str = "css", keys: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    return relation(docs, content, keys or [c for c in docs.columns if c != content], css.tokens, CSS_TOKENS, columns=columns)
 
 
-def css_grammar(docs: DataFrame, content: str = "css", keys: list[str] | None = None, inline: bool = False) -> DataFrame:
-    return relation(docs, content, keys or [c for c in docs.columns if c != content], lambda b: css.grammar(b, inline), CSS_GRAMMAR)
+def css_grammar(docs: DataFrame, content: str = "css", keys: list[str] | None = None, inline: bool = False, columns: list[str] | None = None) -> DataFrame:
+    return relation(docs, content, keys or [c for c in docs.columns if c != content], lambda b: css.grammar(b, inline), CSS_GRAMMAR, columns=columns)
 
 
-def json_events(docs: DataFrame, content: str = "json", keys: list[str] | None = None) -> DataFrame:
-    return relation(docs, content, keys or [c for c in docs.columns if c != content], json.events, JSON)
+def json_events(docs: DataFrame, content: str = "json", keys: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    return relation(docs, content, keys or [c for c in docs.columns if c != content], json.events, JSON, columns=columns)
 
 
-def js_tokens(docs: DataFrame, content: str = "js", keys: list[str] | None = None, regexp: bool = False) -> DataFrame:
-    """``regexp``: every / begins a regular expression (else none does; which one is right takes a parser)."""
-    return relation(docs, content, keys or [c for c in docs.columns if c != content], lambda b: js.tokens(b, regexp), JS_TOKENS)
+def js_tokens(docs: DataFrame, content: str = "js", keys: list[str] | None = None, regexp: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """``regexp``: every / begins a regular expression (else none does; which one is right takes a reader)."""
+    return relation(docs, content, keys or [c for c in docs.columns if c != content], lambda b: js.tokens(b, regexp), JS_TOKENS, columns=columns)
 
 
-def parsed(rows: Callable, inline: bool) -> Callable[[bytes], Iterator[tuple]]:
+def of_programs(rows: Callable, inline: bool, while_to_for: bool = False) -> Callable[[bytes], Iterator[tuple]]:
     def kernel(data: bytes) -> Iterator[tuple]:
-        parser, tree, wrong = js_parse.parse(data, inline)
-        yield from rows(parser, tree, wrong)
+        reader, tree, wrong = js_syntax.read(data, inline, while_to_for)
+        yield from rows(reader, tree, wrong)
 
     return kernel
 
 
-def js_nodes(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False) -> DataFrame:
+def js_relation(docs: DataFrame, content: str, keys: list[str] | None, kernel: Callable, schema: str) -> DataFrame:
+    return relation(docs, content, keys or [c for c in docs.columns if c != content], kernel, schema, numbered=False)
+
+
+def node_rows(reader, tree, wrong) -> Iterator[tuple]:
+    return js_text.nodes(tree, reader) if tree else iter(())
+
+
+def scope_rows(reader, tree, wrong) -> list[tuple]:
+    return js_text.scopes(reader)[0] if tree else []
+
+
+def var_rows(reader, tree, wrong) -> list[tuple]:
+    return js_text.scopes(reader)[1] if tree else []
+
+
+def program_rows(reader, tree, wrong) -> Iterator[tuple]:
+    if tree is None:
+        yield None, None, None, None, None, None, wrong
+        return
+    try:
+        made, reason = js_print.json(tree), None
+    except js_print.NotJson as e:
+        made, reason = None, str(e)
+    yield js_text.program(tree), js_print.program(tree), made, reason, sum(1 for _ in js_text.nodes(tree)), len(reader.scopes), None
+
+
+def js_nodes(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False, while_to_for: bool = False) -> DataFrame:
     """Syntax trees as adjacency rows; programs with an error have none. Descendants of a node are the ids after
-    it up to its exit_id."""
-    kernel = parsed(lambda p, tree, wrong: js_text.nodes(tree) if tree else (), inline)
-    return relation(docs, content, keys or [c for c in docs.columns if c != content], kernel, JS_NODES, numbered=False)
+    it up to its exit_id; flags names what holds of it (async, generator, static, get, set, computed, optional,
+    postfix, spread, await, default), scope_id is the scope it stands in. ``inline``: the code of an attribute, where
+    ``return`` is good; ``while_to_for``: while statements come as for statements."""
+    return js_relation(docs, content, keys, of_programs(node_rows, inline, while_to_for), JS_NODES)
 
 
 def js_scopes(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False) -> DataFrame:
-    kernel = parsed(lambda p, tree, wrong: js_text.scopes(p)[0] if tree else (), inline)
-    return relation(docs, content, keys or [c for c in docs.columns if c != content], kernel, JS_SCOPES, numbered=False)
+    return js_relation(docs, content, keys, of_programs(scope_rows, inline), JS_SCOPES)
 
 
 def js_vars(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False) -> DataFrame:
-    """Variables of every scope: declared there (bound) or only used there."""
-    kernel = parsed(lambda p, tree, wrong: js_text.scopes(p)[1] if tree else (), inline)
-    return relation(docs, content, keys or [c for c in docs.columns if c != content], kernel, JS_VARS, numbered=False)
+    """Variables of every scope: declared there (bound) or only used there. Rows of one program with the same var_id
+    are the same variable."""
+    return js_relation(docs, content, keys, of_programs(var_rows, inline), JS_VARS)
 
 
-def js_programs(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False) -> DataFrame:
+def js_programs(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False, while_to_for: bool = False) -> DataFrame:
     """One row for each program: symbolic expression, printed text, JSON (or why it is none), or its error."""
+    return js_relation(docs, content, keys, of_programs(program_rows, inline, while_to_for), JS_PROGRAMS)
 
-    def rows(p, tree, wrong):
-        if tree is None:
-            yield None, None, None, None, None, None, wrong
-            return
-        try:
-            made, reason = js_print.json(tree), None
-        except js_print.NotJson as e:
-            made, reason = None, str(e)
-        yield js_text.program(tree), js_print.program(tree), made, reason, sum(1 for _ in js_text.nodes(tree)), len(p.scopes), None
 
-    return relation(docs, content, keys or [c for c in docs.columns if c != content], parsed(rows, inline), JS_PROGRAMS, numbered=False)
+def js_var_texts(names: DataFrame, keys: list[str]) -> DataFrame:
+    """A line of text for each scope of js_vars: its declared and its only used variables, each with its kind of
+    declaration, name, links and uses."""
+    one = F.format_string("Var{%s %s %d %d}", "decl", "name", "links", "uses")
+    held = names.groupBy(*keys, "scope_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "bound", one.alias("v")))).alias("held"))
+    listed = lambda which: F.array_join(F.transform(F.filter("held", lambda x: x["bound"] == F.lit(which)), lambda x: x["v"]), ", ")
+    return held.select(*keys, "scope_id", F.concat(F.lit("Scope{Declared: ["), listed(True), F.lit("], Undeclared: ["), listed(False), F.lit("]}")).alias("text"))
 
 
 def js_imports(nodes: DataFrame, keys: list[str], kind: str = "Import") -> DataFrame:
@@ -212,7 +241,22 @@ def js_token_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "code INT, name STRING, numeric BOOLEAN, punctuator BOOLEAN, operator BOOLEAN, reserved BOOLEAN, identifier BOOLEAN")
 
 
+#: Names with a meaning of their own in pages and sheets; fixed values.
+HTML_NAMES = {
+    "raw text": "iframe math plaintext script style svg textarea title xml xmp",
+    "void": "area base br col embed hr img input link meta source track wbr",
+    "url": "action cite data formaction href manifest poster src",
+}
+CSS_NAMES = {"rules": "document keyframes layer media supports", "declarations": "font-face page"}
+
+
+def names_dimension(spark: SparkSession, names: dict[str, str] = HTML_NAMES) -> DataFrame:
+    """Dimension (name, kind, code) of known names, to join tokens with; codes are positions in the order of names."""
+    rows = sorted((name, kind) for kind, held in names.items() for name in held.split())
+    return spark.createDataFrame([(name, kind, code) for code, (name, kind) in enumerate(rows, 1)], "name STRING, kind STRING, code INT")
+
+
 def js_operators(spark: SparkSession) -> DataFrame:
     """Dimension of binary operators with their precedence."""
-    rows = [(op, level, PRECEDENCES[level]) for op, (level, _, _) in js_parse.BINARY.items()]
+    rows = [(op, level, PRECEDENCES[level]) for op, (level, _, _) in js_syntax.BINARY.items()]
     return spark.createDataFrame(rows, "op STRING, level INT, precedence STRING")

@@ -1,4 +1,4 @@
-"""Registered queries over the reference tables, each with its DuckDB counterpart where SQL can express it."""
+"""Registered queries over the given tables, each with its DuckDB counterpart; those of ``generated`` are added at the end."""
 
 from __future__ import annotations
 
@@ -40,8 +40,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"))
 
 
-def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.html_tokens(pages(spark, sf_dir), "html", ["page_id"])
+def page_tokens(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return relations.html_tokens(pages(spark, sf_dir), "html", ["page_id"], columns=list(columns) or None)
 
 
 def of_type(tokens: DataFrame, *kinds: str) -> DataFrame:
@@ -50,9 +50,8 @@ def of_type(tokens: DataFrame, *kinds: str) -> DataFrame:
 
 def raw_text(spark: SparkSession, sf_dir: str, tag: str) -> DataFrame:
     """Bodies of style or script elements, with the page and the token they come from."""
-    by_page = Window.partitionBy("page_id").orderBy("seq")
-    tagged = page_tokens(spark, sf_dir).withColumn("in_tag", F.last(F.when(F.col("token_type") == "StartTag", F.col("text")), True).over(by_page)).withColumn("before", F.lag("token_type").over(by_page))
-    return tagged.where((F.col("token_type") == "Text") & (F.col("in_tag") == tag) & (F.col("before") == "StartTagClose")).select("page_id", F.col("seq").alias("of_seq"), F.col("data").alias("body"))
+    bodies = of_type(page_tokens(spark, sf_dir, "seq", "token_type", "data", "in_tag"), "Text").where(F.col("in_tag") == tag)
+    return bodies.select("page_id", F.col("seq").alias("of_seq"), F.col("data").alias("body"))
 
 
 #: Pages with the bodies of their scripts emptied, so that patterns see no markup inside them.
@@ -61,12 +60,12 @@ BLANKED = r"SELECT page_id, regexp_replace(html, '(<script[^>]*>).*?(</script)',
 
 @query(f"SELECT page_id, len(regexp_extract_all(h, '</[a-zA-Z]'))::BIGINT AS n_end_tags FROM ({BLANKED}) WHERE len(regexp_extract_all(h, '</[a-zA-Z]')) > 0")
 def html_end_tags(spark, sf_dir):
-    return of_type(page_tokens(spark, sf_dir), "EndTag").groupBy("page_id").agg(F.count("*").alias("n_end_tags"))
+    return of_type(page_tokens(spark, sf_dir, "token_type"), "EndTag").groupBy("page_id").agg(F.count("*").alias("n_end_tags"))
 
 
 @query(f"""SELECT lower(t) AS tag, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS t FROM ({BLANKED})) GROUP BY 1""")
 def html_start_tags_by_name(spark, sf_dir):
-    return of_type(page_tokens(spark, sf_dir), "StartTag").groupBy(F.col("text").alias("tag")).agg(F.count("*").alias("n"))
+    return of_type(page_tokens(spark, sf_dir, "token_type", "text"), "StartTag").groupBy(F.col("text").alias("tag")).agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT 'EndTag' AS token_type, sum(len(regexp_extract_all(h, '</[a-zA-Z]')))::BIGINT AS n FROM ({BLANKED})
@@ -74,19 +73,19 @@ UNION ALL SELECT 'StartTag', sum(len(regexp_extract_all(h, '<[a-zA-Z]')))::BIGIN
 UNION ALL SELECT 'Comment', sum(len(regexp_extract_all(h, '<!--')))::BIGINT FROM ({BLANKED})
 UNION ALL SELECT 'Doctype', sum(len(regexp_extract_all(h, '<!DOCTYPE')))::BIGINT FROM ({BLANKED})""")
 def html_token_counts(spark, sf_dir):
-    return of_type(page_tokens(spark, sf_dir), "EndTag", "StartTag", "Comment", "Doctype").groupBy("token_type").agg(F.count("*").alias("n"))
+    return of_type(page_tokens(spark, sf_dir, "token_type"), "EndTag", "StartTag", "Comment", "Doctype").groupBy("token_type").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT page_id, trim(unnest(regexp_extract_all(h, 'href="([^"]*)"', 1))) AS href FROM ({BLANKED})""")
 def html_links(spark, sf_dir):
-    links = of_type(page_tokens(spark, sf_dir), "Attribute").where(F.col("text") == "href")
+    links = of_type(page_tokens(spark, sf_dir, "token_type", "text", "attr_val"), "Attribute").where(F.col("text") == "href")
     return links.select("page_id", F.trim(F.regexp_replace("attr_val", "^[\"']|[\"']$", "")).alias("href"))
 
 
 @query(f"""SELECT k AS attribute, count(*)::BIGINT AS n, count(DISTINCT v)::BIGINT AS n_values FROM (
   SELECT unnest(regexp_extract_all(h, ' ([a-z]+)="[^"<>]*"', 1)) AS k, unnest(regexp_extract_all(h, ' [a-z]+="([^"<>]*)"', 1)) AS v FROM ({BLANKED})) GROUP BY 1""")
 def html_attr_values(spark, sf_dir):
-    attributes = of_type(page_tokens(spark, sf_dir), "Attribute").where(F.col("attr_val").isNotNull())
+    attributes = of_type(page_tokens(spark, sf_dir, "token_type", "text", "attr_val"), "Attribute").where(F.col("attr_val").isNotNull())
     return attributes.groupBy(F.col("text").alias("attribute")).agg(F.count("*").alias("n"), F.countDistinct("attr_val").alias("n_values"))
 
 
@@ -97,41 +96,44 @@ def html_titles(spark, sf_dir):
 
 @query(f"""SELECT page_id, unnest(regexp_extract_all(h, '<!--(.*?)-->', 1)) AS comment FROM ({BLANKED})""")
 def html_comments(spark, sf_dir):
-    return of_type(page_tokens(spark, sf_dir), "Comment").select("page_id", F.col("text").alias("comment"))
+    return of_type(page_tokens(spark, sf_dir, "token_type", "text"), "Comment").select("page_id", F.col("text").alias("comment"))
 
 
 @query(f"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(h, '<(/?[a-z][a-z0-9]*)', 1)) AS tag FROM ({BLANKED}))
 SELECT page_id, ltrim(tag, '/') AS tag, sum(CASE WHEN tag LIKE '/%' THEN -1 ELSE 1 END)::BIGINT AS n_unclosed FROM t
 WHERE ltrim(tag, '/') NOT IN ('br', 'img', 'meta', 'hr', 'input', 'link') GROUP BY 1, 2 HAVING sum(CASE WHEN tag LIKE '/%' THEN -1 ELSE 1 END) <> 0""")
 def html_unclosed_tags(spark, sf_dir):
-    tags = of_type(page_tokens(spark, sf_dir), "StartTag", "EndTag").where(~F.col("text").isin("br", "img", "meta", "hr", "input", "link"))
+    tags = of_type(page_tokens(spark, sf_dir, "seq", "token_type", "text"), "StartTag", "EndTag").where(~F.col("text").isin("br", "img", "meta", "hr", "input", "link"))
     net = F.sum(F.when(F.col("token_type") == "StartTag", 1).otherwise(-1))
     return tags.groupBy("page_id", F.col("text").alias("tag")).agg(net.alias("n_unclosed")).where("n_unclosed <> 0")
 
 
-@query()
+@query(f"""WITH t AS (SELECT page_id, unnest(x) AS tag, unnest(range(len(x))) AS i FROM (SELECT page_id, regexp_extract_all(h, '<(/?[a-z][a-z0-9]*)', 1) AS x FROM ({BLANKED})))
+SELECT page_id, max(d)::BIGINT AS depth FROM (SELECT page_id, sum(CASE WHEN tag LIKE '/%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS d
+  FROM t WHERE ltrim(tag, '/') NOT IN ('br', 'img', 'meta', 'hr', 'input', 'link')) GROUP BY 1""")
 def html_tag_depth(spark, sf_dir):
     """The deepest nesting of every page: a running sum over its tags, void elements left out."""
     by_page = Window.partitionBy("page_id").orderBy("seq")
     step = F.when(F.col("token_type") == "StartTag", 1).otherwise(-1)
-    tags = of_type(page_tokens(spark, sf_dir), "StartTag", "EndTag").where(~F.col("text").isin("br", "img", "meta", "hr", "input", "link"))
+    tags = of_type(page_tokens(spark, sf_dir, "seq", "token_type", "text"), "StartTag", "EndTag").where(~F.col("text").isin("br", "img", "meta", "hr", "input", "link"))
     return tags.withColumn("depth", F.sum(step).over(by_page)).groupBy("page_id").agg(F.max("depth").alias("depth"))
 
 
 @query(f"SELECT page_id, sum(length(x))::BIGINT AS n_text FROM (SELECT page_id, unnest(string_split_regex(regexp_replace(h, '<(style|title)>.*?</(style|title)>', '', 'gs'), '<[^>]*(>|$)')) AS x FROM ({BLANKED})) GROUP BY 1")
 def html_text_len(spark, sf_dir):
-    tokens = page_tokens(spark, sf_dir).withColumn("in_tag", F.last(F.when(F.col("token_type") == "StartTag", F.col("text")), True).over(Window.partitionBy("page_id").orderBy("seq")))
-    inside = of_type(tokens, "Text").where(~F.col("in_tag").isin("style", "title", "script"))
+    inside = of_type(page_tokens(spark, sf_dir, "token_type", "text", "in_tag"), "Text").where("in_tag IS NULL")
     per_page = inside.groupBy("page_id").agg(F.sum(F.char_length("text")).alias("n"))
     return pages(spark, sf_dir).select("page_id").join(per_page, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n_text"))
 
 
-@query("SELECT token_type, n_bytes::BIGINT AS n_bytes FROM (SELECT 'all' AS token_type, sum(strlen(html)) AS n_bytes FROM pages)")
+@query("SELECT page_id, strlen(html)::BIGINT AS n_bytes, 0::BIGINT AS n_overlaps, strlen(html)::BIGINT AS last FROM pages")
 def html_bytes_covered(spark, sf_dir):
-    """The tokens of a page follow each other without a gap (up to white space before the end of a tag)."""
-    tokens = page_tokens(spark, sf_dir)
-    sized = tokens.groupBy("page_id").agg(F.max("end").alias("last"))
-    return sized.join(pages(spark, sf_dir), "page_id").select(F.lit("all").alias("token_type"), F.octet_length("html").alias("n")).groupBy("token_type").agg(F.sum("n").alias("n_bytes"))
+    """The tokens of a page cover its bytes once, up to its end: the lengths of all tokens with the gaps of white space
+    before ends of tags, tokens that begin before the end of the one before them, and the end of the last."""
+    before = F.lag("end", 1, 0).over(Window.partitionBy("page_id").orderBy("seq"))
+    tokens = page_tokens(spark, sf_dir, "seq", "token_type", "start", "end").select("page_id", "token_type", "start", "end", before.alias("before"))
+    gap = F.when(F.col("token_type").isin("StartTagClose", "StartTagVoid", "Attribute"), F.col("start") - F.col("before")).otherwise(0)
+    return tokens.groupBy("page_id").agg(F.sum(F.col("end") - F.col("start") + gap).alias("n_bytes"), F.count_if(F.col("start") < F.col("before")).alias("n_overlaps"), F.max("end").cast("bigint").alias("last"))
 
 
 @query("SELECT page_id, 'margin' AS property, '0' AS value FROM pages")
@@ -143,12 +145,12 @@ def css_declarations_from_pages(spark, sf_dir):
 
 @query("SELECT unnest(['BeginRuleset', 'Declaration', 'EndRuleset']) AS grammar, count(*)::BIGINT AS n FROM pages GROUP BY 1")
 def css_grammar_counts(spark, sf_dir):
-    return relations.css_grammar(raw_text(spark, sf_dir, "style"), "body", ["page_id"]).groupBy("grammar").agg(F.count("*").alias("n"))
+    return relations.css_grammar(raw_text(spark, sf_dir, "style"), "body", ["page_id"], columns=["grammar"]).groupBy("grammar").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT t AS token_type, count(*)::BIGINT AS n FROM (SELECT unnest(['Ident', 'LeftBrace', 'Ident', 'Colon', 'Number', 'RightBrace']) AS t FROM pages) GROUP BY 1""")
 def css_token_counts(spark, sf_dir):
-    return relations.css_tokens(raw_text(spark, sf_dir, "style"), "body", ["page_id"]).groupBy("token_type").agg(F.count("*").alias("n"))
+    return relations.css_tokens(raw_text(spark, sf_dir, "style"), "body", ["page_id"], columns=["token_type"]).groupBy("token_type").agg(F.count("*").alias("n"))
 
 
 #: Scripts of the pages as SQL sees them.
@@ -157,13 +159,17 @@ SCRIPTS = r"SELECT page_id, regexp_extract(html, '<script>(.*?)</script>', 1, 's
 
 @query(f"SELECT page_id, regexp_extract(body, 'track\\(([0-9]+)\\)', 1) AS argument FROM ({SCRIPTS})".replace("\\\\", "\\"))
 def js_calls_from_pages(spark, sf_dir):
-    """Arguments of calls of track: call nodes joined to their callee and argument nodes."""
+    """Arguments of calls of track: call nodes brought together with their callee and argument nodes, each program read
+    once."""
     nodes = relations.js_nodes(raw_text(spark, sf_dir, "script"), "body", ["page_id"])
-    calls = nodes.where("kind = 'CallExpr'").select("page_id", F.col("node_id").alias("call"))
-    inner = nodes.select("page_id", F.col("parent_id").alias("call"), "field", "data")
-    callee = inner.where("field = 'x' AND data = 'track'").select("page_id", "call")
-    argument = inner.where("field = 'args'").select("page_id", "call", F.col("data").alias("argument"))
-    return calls.join(callee, ["page_id", "call"]).join(argument, ["page_id", "call"]).select("page_id", "argument")
+    at = F.explode(F.array(F.col("node_id"), F.col("parent_id"))).alias("call")
+    of = nodes.where("kind = 'CallExpr' OR field IN ('x', 'args')").select("page_id", "node_id", "field", "kind", "data", at)
+    own = F.col("call") == F.col("node_id")
+    calls = of.groupBy("page_id", "call").agg(
+        F.bool_or(own & (F.col("kind") == "CallExpr")).alias("is_call"), F.max(F.when(~own & (F.col("field") == "x"), F.col("data"))).alias("callee"),
+        F.array_sort(F.collect_list(F.when(~own & (F.col("field") == "args"), F.struct("node_id", "data")))).alias("arguments"),
+    )
+    return calls.where("is_call AND callee = 'track'").select("page_id", F.explode("arguments.data").alias("argument"))
 
 
 @query("SELECT scope_id, name, bound, count(*)::BIGINT AS n FROM (SELECT 0 AS scope_id, unnest(['t', 'track']) AS name, unnest([true, false]) AS bound FROM pages) GROUP BY ALL")
@@ -174,7 +180,7 @@ def js_scope_uses_from_pages(spark, sf_dir):
 
 @query("""SELECT t AS token_type, count(*)::BIGINT AS n FROM (SELECT unnest(['var', 'Whitespace', 'Identifier', '=', 'String', ';', 'Identifier', '(', 'Integer', ')', ';']) AS t FROM pages) GROUP BY 1""")
 def js_token_counts(spark, sf_dir):
-    return relations.js_tokens(raw_text(spark, sf_dir, "script"), "body", ["page_id"]).groupBy("token_type").agg(F.count("*").alias("n"))
+    return relations.js_tokens(raw_text(spark, sf_dir, "script"), "body", ["page_id"], columns=["token_type"]).groupBy("token_type").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT page_id, 'Decl(var Binding(t = \"</p>\")) Stmt(track(' || regexp_extract(body, '([0-9]+)\\)', 1) || '))' AS sexpr FROM ({SCRIPTS})".replace("\\\\", "\\"))
@@ -200,63 +206,25 @@ def js_import_names(spark, sf_dir):
     return relations.js_imports(nodes, ["p_partkey"])
 
 
-@query("SELECT p_partkey, unnest(['b', 'a', 'f']) AS name, unnest([3, 2, 1]) AS uses, unnest([1, 2, 3]) AS rank FROM part")
-def js_vars_ranked(spark, sf_dir):
-    script = F.lit("var a = 1, b; b = a; b; function f() {}")
-    names = relations.js_vars(table(spark, sf_dir, "part").select("p_partkey", script.alias("js")), "js", ["p_partkey"]).where("scope_id = 0")
-    return relations.js_vars_by_uses(names, ["p_partkey"]).select("p_partkey", "name", "uses", "rank")
-
-
-@query("SELECT op, n FROM (VALUES ('+', 1), ('=', 1)) t(op, n)")
-def js_operator_levels(spark, sf_dir):
-    """Binary operators of one program joined to their dimension."""
-    nodes = relations.js_nodes(spark.createDataFrame([(1, "a = b + c")], "id INT, js STRING"), "js", ["id"]).where("kind = 'Binary'")
-    return nodes.join(F.broadcast(relations.js_operators(spark)), "op").groupBy("op").agg(F.count("*").cast("int").alias("n"))
-
-
-@query()
-def js_scope_rows(spark, sf_dir):
-    """Scopes of scripts built from the part table: nested functions, so that parents and functions show."""
-    script = F.concat(F.lit("function f"), "p_size", F.lit("(a){let b=a;{b;return c}}"))
-    return relations.js_scopes(table(spark, sf_dir, "part").select("p_partkey", script.alias("js")), "js", ["p_partkey"])
-
-
-def prop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.json_events(spread(table(spark, sf_dir, "events").select("event_id", "props")), "props", ["event_id"])
+def prop_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return relations.json_events(spread(table(spark, sf_dir, "events").select("event_id", "props")), "props", ["event_id"], columns=list(columns) or None)
 
 
 @query("""SELECT g AS grammar, sum(n)::BIGINT AS n FROM (
   SELECT unnest(['StartObject', 'EndObject', 'String', 'Number']) AS g, unnest([1, 1, len(json_keys(props)), len(json_keys(props))]) AS n FROM events WHERE props IS NOT NULL) GROUP BY 1""")
 def json_events_from_props(spark, sf_dir):
-    return prop_events(spark, sf_dir).groupBy("grammar").agg(F.count("*").alias("n"))
+    return prop_events(spark, sf_dir, "grammar").groupBy("grammar").agg(F.count("*").alias("n"))
 
 
 @query("SELECT k AS name, count(*)::BIGINT AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY 1")
 def json_keys(spark, sf_dir):
-    keys = prop_events(spark, sf_dir).where("grammar = 'String' AND state = 'ObjectValue'")
+    keys = prop_events(spark, sf_dir, "grammar", "state", "data").where("grammar = 'String' AND state = 'ObjectValue'")
     return keys.groupBy(F.regexp_replace("data", '^"|"$', "").alias("name")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def json_number_values(spark, sf_dir):
-    named = prop_events(spark, sf_dir).withColumn("name", F.lag("data").over(Window.partitionBy("event_id").orderBy("seq")))
-    return named.where("grammar = 'Number' AND name = '\"k\"'").select("event_id", F.col("data").cast("bigint").alias("k"))
-
-
-def wrapped_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = F.concat(F.lit("<?xml version='1.0'?><nation key='"), "n_nationkey", F.lit("'>\n<name>"), "n_name", F.lit("</name><![CDATA[<"), "n_regionkey", F.lit(">]]></nation>"))
-    return relations.xml_tokens(table(spark, sf_dir, "nation").select("n_nationkey", row.alias("xml")), "xml", ["n_nationkey"])
-
-
-@query("""SELECT t AS token_type, count(*)::BIGINT AS n FROM (SELECT unnest(['StartTagPI', 'Attribute', 'StartTagClosePI', 'StartTag', 'Attribute', 'StartTagClose', 'Text',
-  'StartTag', 'StartTagClose', 'Text', 'EndTag', 'CDATA', 'EndTag']) AS t FROM nation) GROUP BY 1""")
-def xml_token_counts(spark, sf_dir):
-    return wrapped_xml(spark, sf_dir).groupBy("token_type").agg(F.count("*").alias("n"))
-
-
-@query("SELECT n_nationkey, '<' || n_regionkey || '>' AS cdata FROM nation")
-def xml_cdata(spark, sf_dir):
-    return of_type(wrapped_xml(spark, sf_dir), "CDATA").select("n_nationkey", F.col("text").alias("cdata"))
+    return prop_events(spark, sf_dir, "grammar", "data", "name").where("grammar = 'Number' AND name = 'k'").select("event_id", F.col("data").cast("bigint").alias("k"))
 
 
 # Scalar functions over table columns.
@@ -279,7 +247,6 @@ scalar("ascii_lower", "documents", "doc_id", lambda: text.ascii_lower("text"), f
 scalar("equal_fold", "orders", "o_orderkey", lambda: text.equal_fold("o_orderpriority", "1-urgent"), "lower(o_orderpriority) = '1-urgent'")
 scalar("number_len", "orders", "o_orderkey", lambda: text.number_len(F.concat(C("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("e3px"))).cast("bigint"), "length(o_totalprice::DECIMAL(18,2)::VARCHAR) + 2")
 scalar("dimension", "part", "p_partkey", lambda: F.concat_ws(",", text.dimension(F.concat(C("p_size"), F.lit("px solid")))["num"], text.dimension(F.concat(C("p_size"), F.lit("px solid")))["unit"]), "length(p_size::VARCHAR) || ',2'")
-scalar("is_all_whitespace", "documents", "doc_id", lambda: text.is_all_whitespace(F.regexp_replace("text", "[^ \n]", "")), "true")
 scalar("encode_url", "pages", "page_id", lambda: text.encode_url("url"), "replace(replace(replace(replace(replace(url_encode(url), '+', '%20'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')')")
 scalar("decode_url", "pages", "page_id", lambda: text.decode_url(F.concat(text.encode_url("url"), F.lit("+%ii"))), "url || ' %ii'")
 scalar("url_round_trip", "documents", "doc_id", lambda: text.decode_url(text.encode_url("text")) == C("text"), "true")
@@ -297,21 +264,19 @@ scalar("xml_escape_cdata", "part", "p_partkey", lambda: text.xml_escape_cdata(F.
 scalar("css_ident", "part", "p_partkey", lambda: text.is_css_ident("p_brand"), "regexp_full_match(p_brand, '-?[a-zA-Z_][a-zA-Z0-9_-]*')")
 scalar("css_url_unquoted", "pages", "page_id", lambda: text.is_css_url_unquoted("url"), r"""NOT regexp_matches(url, '["''()\\ ]')""")
 scalar("js_identifier_name", "part", "p_partkey", lambda: text.is_js_identifier_name("p_brand"), "regexp_full_match(p_brand, '[A-Za-z$_][A-Za-z0-9$_]*')")
-scalar("js_decimal", "part", "p_partkey", lambda: text.is_js_decimal(C("p_size").cast("string")), "true")
 scalar("indent", "documents", "doc_id", lambda: text.indent("text", 4), "replace(text, chr(10), chr(10) || '    ')")
 scalar("fits", "part", "p_partkey", lambda: text.fits("p_name", 12), "CASE WHEN strlen(p_name) <= 12 THEN p_name END")
-scalar("parse_int", "orders", "o_orderkey", lambda: numbers.parse_int(F.concat(F.lit("-"), "o_orderkey", F.lit("x")))["value"], "-o_orderkey")
-scalar("parse_uint", "orders", "o_orderkey", lambda: numbers.parse_uint(F.concat("o_orderkey", F.lit("x")))["value"].cast("bigint"), "o_orderkey")
-scalar("parse_float", "lineitem", "l_orderkey", lambda: numbers.parse_float(F.concat(C("l_quantity").cast("int"), F.lit(".5e1px")))["value"], "(l_quantity + 0.5) * 10")
-scalar("parse_decimal", "lineitem", "l_orderkey", lambda: numbers.parse_decimal(F.concat(C("l_quantity").cast("int"), F.lit(".5e1")))["value"], "l_quantity + 0.5")
-scalar("parse_number", "orders", "o_orderkey", lambda: numbers.parse_number(numbers.append_number(F.round(C("o_totalprice") * 100).cast("bigint"), 2))["num"], "round(o_totalprice * 100)::BIGINT")
+scalar("read_int", "orders", "o_orderkey", lambda: numbers.read_int(F.concat(F.lit("-"), "o_orderkey", F.lit("x")))["value"], "-o_orderkey")
+scalar("read_uint", "orders", "o_orderkey", lambda: numbers.read_uint(F.concat("o_orderkey", F.lit("x")))["value"].cast("bigint"), "o_orderkey")
+scalar("read_float", "lineitem", "l_orderkey", lambda: numbers.read_float(F.concat(C("l_quantity").cast("int"), F.lit(".5e1px")))["value"], "(l_quantity + 0.5) * 10")
+scalar("read_decimal", "lineitem", "l_orderkey", lambda: numbers.read_decimal(F.concat(C("l_quantity").cast("int"), F.lit(".5e1")))["value"], "l_quantity + 0.5")
+scalar("read_number", "orders", "o_orderkey", lambda: numbers.read_number(numbers.append_number(F.round(C("o_totalprice") * 100).cast("bigint"), 2))["num"], "round(o_totalprice * 100)::BIGINT")
 scalar("append_int", "orders", "o_orderkey", lambda: numbers.append_int("o_custkey", "c"), "'c' || o_custkey")
 scalar("len_int", "orders", "o_orderkey", lambda: numbers.len_int("o_custkey").cast("bigint"), "length(o_custkey::VARCHAR)")
 scalar("append_decimal", "lineitem", "l_orderkey", lambda: numbers.append_decimal("l_quantity", 2), "l_quantity::BIGINT::VARCHAR")
 scalar("append_number", "orders", "o_orderkey", lambda: numbers.append_number(F.round(C("o_totalprice") * 100).cast("bigint"), 2), "replace(replace(replace(format('{:,.2f}', round(o_totalprice * 100)::BIGINT / 100.0), ',', ';'), '.', ','), ';', '.')")
 scalar("append_float", "part", "p_partkey", lambda: codecs.append_float_column(C("p_size").cast("double") / 2, 6), "CASE WHEN p_size % 2 = 0 THEN (p_size // 2)::VARCHAR WHEN p_size < 2 THEN '.5' ELSE (p_size // 2) || '.5' END")
-scalar("hsl_to_rgb", "part", "p_partkey", lambda: F.round(numbers.hsl_to_rgb(F.lit(0.0), F.lit(0.0), C("p_size") / 100.0)["r"], 6), "round(p_size / 100.0, 6)")
-scalar("replace_entities", "pages", "page_id", lambda: codecs.replace_entities_column(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), {"copy": "©".encode(), "middot": "·".encode(), "quot": b'"'}), r"""replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"')""")
+scalar("replace_entities", "pages", "page_id", lambda: codecs.replace_entities_column("html", {"copy": "©".encode(), "middot": "·".encode(), "quot": b'"'}), r"""replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"')""")
 scalar("collapse_and_replace", "part", "p_partkey", lambda: codecs.collapse_and_replace_column(F.concat(F.lit("  &quot; "), "p_name", F.lit(" \t\n x")), {"quot": b'"'}), """' " ' || p_name || chr(10) || 'x'""")
 scalar("position_line", "documents", "doc_id", lambda: codecs.position_column("text", F.octet_length("text"))["line"], "(1 + length(text) - length(replace(text, chr(10), '')))::INTEGER")
 scalar("printable", "part", "p_partkey", lambda: codecs.printable_column(C("p_size") + 64), "chr(p_size + 64)")
@@ -331,14 +296,14 @@ scalar("bitmap_round_trip", "events", "event_id", lambda: F.hex(binary.from_bits
 JOIN (VALUES ('nav', 'furniture'), ('footer', 'furniture'), ('article', 'content'), ('p', 'content'), ('h1', 'content')) d(tag, area) USING (tag) GROUP BY 1""")
 def join_tag_dimension(spark, sf_dir):
     areas = spark.createDataFrame([("nav", "furniture"), ("footer", "furniture"), ("article", "content"), ("p", "content"), ("h1", "content")], "tag string, area string")
-    tags = of_type(page_tokens(spark, sf_dir), "StartTag").select(F.col("text").alias("tag"))
+    tags = of_type(page_tokens(spark, sf_dir, "token_type", "text"), "StartTag").select(F.col("text").alias("tag"))
     return tags.join(F.broadcast(areas), "tag").groupBy("area").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH t AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag FROM ({BLANKED}))
 SELECT page_id FROM pages WHERE page_id NOT IN (SELECT page_id FROM t WHERE tag = 'br')""")
 def anti_join_pages_without_br(spark, sf_dir):
-    with_br = of_type(page_tokens(spark, sf_dir), "StartTag").where("text = 'br'").select("page_id").distinct()
+    with_br = of_type(page_tokens(spark, sf_dir, "token_type", "text"), "StartTag").where("text = 'br'").select("page_id").distinct()
     return pages(spark, sf_dir).select("page_id").join(with_br, "page_id", "left_anti")
 
 
@@ -346,7 +311,7 @@ def anti_join_pages_without_br(spark, sf_dir):
 u AS (SELECT CASE WHEN x LIKE '/%' THEN 'EndTag' ELSE 'StartTag' END AS token_type, ltrim(x, '/') AS tag FROM t)
 SELECT token_type, tag, count(*)::BIGINT AS n FROM u GROUP BY ROLLUP (token_type, tag)""")
 def rollup_tags(spark, sf_dir):
-    return of_type(page_tokens(spark, sf_dir), "StartTag", "EndTag").rollup("token_type", F.col("text").alias("tag")).agg(F.count("*").alias("n"))
+    return of_type(page_tokens(spark, sf_dir, "token_type", "text"), "StartTag", "EndTag").rollup("token_type", F.col("text").alias("tag")).agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT tag, n FROM (SELECT tag, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag FROM ({BLANKED})) GROUP BY 1) ORDER BY n DESC, tag LIMIT 5""")
@@ -357,8 +322,16 @@ def top_tags(spark, sf_dir):
 @query(f"""SELECT DISTINCT tag FROM (SELECT unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag FROM ({BLANKED}))
 EXCEPT SELECT DISTINCT tag FROM (SELECT unnest(regexp_extract_all(h, '</([a-z][a-z0-9]*)', 1)) AS tag FROM ({BLANKED}))""")
 def tags_never_closed(spark, sf_dir):
-    tokens = page_tokens(spark, sf_dir)
-    return of_type(tokens, "StartTag").select(F.col("text").alias("tag")).subtract(of_type(tokens, "EndTag").select(F.col("text").alias("tag")))
+    """A set difference from one reading of the pages: names that only ever open."""
+    tags = of_type(page_tokens(spark, sf_dir, "token_type", "text"), "StartTag", "EndTag").groupBy(F.col("text").alias("tag"))
+    return tags.agg(F.bool_or(F.col("token_type") == "EndTag").alias("closed")).where("NOT closed").select("tag")
+
+
+@query(f"""SELECT DISTINCT tag FROM (SELECT unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag FROM ({BLANKED}))
+EXCEPT SELECT * FROM (VALUES ('br'), ('img'), ('meta'), ('hr'), ('input'), ('link'))""")
+def tags_that_are_not_void(spark, sf_dir):
+    void = spark.createDataFrame([(t,) for t in ("br", "img", "meta", "hr", "input", "link")], "tag string")
+    return of_type(page_tokens(spark, sf_dir, "token_type", "text"), "StartTag").select(F.col("text").alias("tag")).subtract(void)
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*)::BIGINT AS n, sum((json_extract(props, '$.k'))::BIGINT)::BIGINT AS total FROM events GROUP BY 1, 2")
@@ -371,3 +344,6 @@ def events_per_hour(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End tags of every page outside raw text."""
     return html_end_tags(spark, sf_dir)
+
+
+from . import generated  # noqa: E402,F401  registers its queries here

@@ -15,7 +15,7 @@ def table_function(kernel: Callable[[bytes], Iterator[tuple]], schema: str):
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    own = T._parse_datatype_string("seq INT, " + schema)
+    own = T.StructType.fromDDL("seq INT, " + schema)
     kinds = [f.type for f in to_arrow_schema(own)]
 
     class Rows:

@@ -49,7 +49,7 @@ class Document:
         else:
             keep = max((i for i, t in enumerate(found) if t[0] in CONSTRUCTS), default=0)
         cut = len(self.tail) if keep == len(found) else found[keep][5]
-        for kind, data, inner, value, _, start, end, _ in found[:keep]:
+        for kind, data, inner, value, _, start, end, *_ in found[:keep]:
             yield self.seq, kind, text(data), text(inner), text(value), self.offset + start, self.offset + end
             self.seq += 1
         if keep or self.ended:

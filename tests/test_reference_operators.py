@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagweave.functions import binary, codecs, numbers, positions, text
-from tagweave.operators import css, html, js, js_parse, js_print, js_text, json, relations, xml
+from tagweave.operators import css, html, js, js_syntax, js_print, js_text, json, relations, xml
 from tagweave.plans import catalogue, sql
 from tagweave.sources import documents
 from tagweave.streaming import chunks
@@ -149,7 +149,7 @@ JS_TREES = [
 
 @pytest.mark.parametrize("doc,want", JS_TREES)
 def test_js_trees(doc, want):
-    _, tree, wrong = js_parse.parse(doc.encode())
+    _, tree, wrong = js_syntax.read(doc.encode())
     assert wrong is None and js_text.program(tree) == want
 
 
@@ -158,7 +158,7 @@ def test_js_trees(doc, want):
     ("const a", "expected = instead of EOF in const statement"), ("(a,b)c", "unexpected c in expression"), ("throw\na", "unexpected newline in throw statement"), ("var [a", "expected , or ] instead of EOF in array binding pattern"), ("(" * 1001, "too many nested expressions"),
 ])
 def test_js_errors(doc, want):
-    _, tree, wrong = js_parse.parse(doc.encode())
+    _, tree, wrong = js_syntax.read(doc.encode())
     assert tree is None and wrong[0] == want
 
 
@@ -167,18 +167,18 @@ def test_js_errors(doc, want):
     ("switch(a){case 1:b}", "switch (a) {\ncase 1:\n    b;\n}"), ("export{a as b}", "export { a as b };"), ("class A{x=1;static{}}", "class A {\n    x = 1;\n    static {}\n}"), ("async a=>{b}", "async (a) => {\n    b;\n};"), ("do;while(a)", "do; while (a);"),
 ])
 def test_js_print(doc, want):
-    _, tree, _ = js_parse.parse(doc.encode())
+    _, tree, _ = js_syntax.read(doc.encode())
     assert js_print.program(tree) == want
 
 
 @pytest.mark.parametrize("doc", [d for d, _ in JS_TREES])
 def test_js_print_is_a_fixpoint(doc):
-    once = js_print.program(js_parse.parse(doc.encode())[1])
-    assert js_print.program(js_parse.parse(once.encode())[1]) == once
+    once = js_print.program(js_syntax.read(doc.encode())[1])
+    assert js_print.program(js_syntax.read(once.encode())[1]) == once
 
 
 def test_js_json():
-    made = lambda d: js_print.json(js_parse.parse(d.encode())[1])
+    made = lambda d: js_print.json(js_syntax.read(d.encode())[1])
     assert made("[{key: [2.5, '\\r'], '\"': -2E+9}, null, !0, `a`, 'st\"r']") == '[{"key": [2.5, "\\r"], "\\"": -2E+9}, null, true, "a", "st\\"r"]'
     assert made("") == ""
     for doc in ("a", "[,]", "a;b", "var a", "[...a]", "{a}", "({a(){}})", "!x", "`a${b}`"):
@@ -187,11 +187,11 @@ def test_js_json():
 
 
 def test_js_scopes():
-    parser, _, _ = js_parse.parse(b"function f(a){var b=a;{let a;c}} f(d)")
-    scopes, names = js_text.scopes(parser)
+    reader, _, _ = js_syntax.read(b"function f(a){var b=a;{let a;c}} f(d)")
+    scopes, names = js_text.scopes(reader)
     assert [s[3] for s in scopes] == ["program", "function", "block"] and scopes[2][1:3] == (1, 1)
-    assert [(n[0], n[2], n[3], n[4]) for n in names] == [(0, True, "f", "FunctionDecl"), (0, False, "c", "NoDecl"), (0, False, "d", "NoDecl"), (1, True, "a", "ArgumentDecl"), (1, True, "b", "VariableDecl"), (1, False, "c", "NoDecl"), (2, True, "a", "LexicalDecl"), (2, False, "c", "NoDecl")]
-    assert [n[5] for n in names if n[3] == "f"] == [2]
+    assert [(n[0], n[2], n[4], n[5]) for n in names] == [(0, True, "f", "FunctionDecl"), (0, False, "c", "NoDecl"), (0, False, "d", "NoDecl"), (1, True, "a", "ArgumentDecl"), (1, True, "b", "VariableDecl"), (1, False, "c", "NoDecl"), (2, True, "a", "LexicalDecl"), (2, False, "c", "NoDecl")]
+    assert [n[6] for n in names if n[4] == "f"] == [2] and len({n[3] for n in names if n[4] == "a"}) == 2
 
 
 #: Program, bound variables of each scope, variables used but not bound there; numbers tell variables apart and
@@ -208,10 +208,10 @@ SCOPES = [
 
 @pytest.mark.parametrize("doc,bound,used", SCOPES)
 def test_js_scopes_of_programs(doc, bound, used):
-    parser, tree, wrong = js_parse.parse(doc.encode())
+    reader, tree, wrong = js_syntax.read(doc.encode())
     assert wrong is None
     number, shown = {}, ([], [])
-    for s in parser.scopes:
+    for s in reader.scopes:
         for held, names in zip((s.bound, s.free), shown):
             ends = [(v.name.decode(), *v.chain()) for v in held]
             names.append(",".join(f"{name}={number.setdefault(id(v), len(number) + 1)}{'*' * links}" for name, v, links in ends))
@@ -223,12 +223,12 @@ def test_js_scopes_of_programs(doc, bound, used):
     ("x={async,get:1,set(){},async*a(){},get b(){}}", None), ("var [,a,,b,,]=c", "Decl(var Binding([ Binding(), Binding(a), Binding(), Binding(b) ] = c))"), ("var {a,b:c,'d':[e]=f,...g}=h", None), ("var {a,...b,}=c", "expected } instead of , in object binding pattern"), ("var [...a,]=b", "expected ] instead of , in array binding pattern"),
 ])
 def test_js_members_and_bindings(doc, want):
-    _, tree, wrong = js_parse.parse(doc.encode())
+    _, tree, wrong = js_syntax.read(doc.encode())
     if wrong:
         assert wrong[0] == want
     else:
         once = js_print.program(tree)
-        assert js_print.program(js_parse.parse(once.encode())[1]) == once and want in (None, js_text.program(tree))
+        assert js_print.program(js_syntax.read(once.encode())[1]) == once and want in (None, js_text.program(tree))
 
 
 def test_css_goes_on_after_a_bracket_that_closes_nothing():
@@ -276,8 +276,11 @@ def column(spark, values, expression):
     (text.encode_data_uri, {'<svg a="b">': "%3Csvg%20a=%22b%22%3E"}), (lambda c: text.append_escape(c, '"'), {'"a\\': '\\"a\\\\'}), (lambda c: text.quote_entity(c)["n"], {"&#x0022;": 8, "&quot;": 6, "&amp;": 0}), (lambda c: text.mediatype(c)["mimetype"], {" text/plain ; a=b": "text/plain", "": "", "a/b": "a/b"}),
     (lambda c: text.mediatype(c)["params"], {"a/b;c=1;c=2;d": {"c": "2", "d": ""}, "a/b": None}), (lambda c: text.data_uri(c)["error"], {"data:": "invalid data URI", "data:,x": None, "data:;base64,()": "illegal base64 data"}), (text.is_all_whitespace, {" \n": True, "": True, "a ": False, "\v": False}),
     (text.html_escape_attr, {"xyz": "xyz", "x'z": "\"x'z\"", 'x"z': "'x\"z'", "a=b": '"a=b"'}), (text.xml_escape_attr, {"x": '"x"', 'x"z': "'x\"z'"}), (lambda c: text.xml_escape_cdata(c)["text"], {"<a<": "&lt;a&lt;", "<<<<<": "<<<<<"}), (text.is_css_ident, {"a-b": True, "1a": False, "": True, "-": False}),
-    (text.is_js_decimal, {"0": True, "01": False, "1.": True, ".5": True, "": False}), (lambda c: numbers.parse_int(c)["value"], {"-12x": -12, "a": 0, "99999999999999999999": 0}), (lambda c: numbers.parse_float(c)["n"], {"5.": 2, ".": 0, "1e3x": 3}), (lambda c: numbers.parse_number(c)["num"], {"1.234,56": 123456, "x": 0}),
-    (lambda c: numbers.append_decimal(F.col(c).cast("double"), 2), {"1.235": "1.24", "0.5": ".5", "100": "100", "-0.001": "0"}), (lambda c: numbers.append_number(F.col(c).cast("bigint"), 2), {"123456789012": "1.234.567.890,12", "-1": "-0,01"}),
+    (text.is_js_decimal, {"0": True, "01": False, "1.": True, ".5": True, "": False}), (lambda c: numbers.read_int(c)["value"], {"-12x": -12, "a": 0, "99999999999999999999": 0}), (lambda c: numbers.read_float(c)["n"], {"5.": 2, ".": 0, "1e3x": 3}), (lambda c: numbers.read_number(c)["num"], {"1.234,56": 123456, "x": 0}),
+    (lambda c: numbers.append_decimal(F.col(c).cast("double"), 2), {"1.235": "1.24", "0.5": "0.5", "100": "100", "-0.001": "0", "-75.8077501": "-75.81", "0.005": "0.01", "1e21": "1000000000000000000000", "-2.5e20": "-250000000000000000000", "NaN": "", "Infinity": ""}), (lambda c: numbers.append_decimal(F.col(c).cast("double"), 6), {"-75.8077501": "-75.80775", "0": "0"}), (lambda c: numbers.append_decimal(F.col(c).cast("double"), 0), {"0.5": "1", "1e19": "10000000000000000000"}),
+    (lambda c: numbers.read_number(c)["num"], {"9223372036854775807": 9223372036854775807, "9223372036854775808": 922337203685477580, "-9.223.372.036.854.775.808,5": -9223372036854775808, "000.000.000.000.000.000.000,25": 25, "12345678901234567890123": 1234567890123456789}),
+    (lambda c: [numbers.read_number(c)["n"], numbers.read_number(c)["dec"]][0], {"9223372036854775808": 18, "1.234,5x": 7, "-": 1, "12.345.678.901.234.567.890,5": 25}), (lambda c: numbers.read_number(c)["dec"], {"0,12345678901234567890": 19, "1,": 0}),
+    (lambda c: numbers.append_number(F.col(c).cast("double"), 2), {"1e39": None, "12345": "123,45"}), (lambda c: numbers.append_number(F.col(c).cast("bigint"), 2), {"123456789012": "1.234.567.890,12", "-1": "-0,01"}),
 ])
 def test_native_functions(spark, expression, cases):
     assert column(spark, list(cases), expression) == list(cases.values())
@@ -295,6 +298,8 @@ def test_relations_keep_keys_and_skip_nulls(spark):
     docs = spark.createDataFrame([(1, "<p>é</p>"), (2, None), (3, "")], "id int, html string")
     rows = relations.html_tokens(docs).collect()
     assert {r.id for r in rows} == {1} and [r.seq for r in rows] == [0, 1, 2, 3] and rows[2].end - rows[2].start == 2
+    assert [(r.name, r.in_tag) for r in relations.json_events(spark.createDataFrame([(1, '{"a":[1,{"b":2}],"c":3}')], "id int, json string")).where("grammar IN ('Number', 'StartArray', 'StartObject')").orderBy("seq").withColumn("in_tag", F.lit(None)).collect()] == [(None, None), ("a", None), (None, None), (None, None), ("b", None), ("c", None)]
+    assert [r[8] for r in html.tokens(b"<p>a<style>b</style>c<script>d</script>") if r[0] == "Text"] == [None, b"style", None, b"script"]
     with pytest.raises(ValueError, match="clash"):
         relations.html_tokens(docs.withColumnRenamed("id", "seq"))
     assert relations.css_grammar(spark.createDataFrame([(1, "a{b:c")], "id int, css string")).count() == 3

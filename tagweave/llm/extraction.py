@@ -2,9 +2,12 @@
 
 A page is cut into flat blocks of text at block-level tags; scripts, styles, comments and form controls never
 give text. The features of a block are its word count and link density, the same of the blocks before and
-after it, whether it is a heading, whether it stands in an article or main element, and whether it stands in
-an element that by name, class, id or role is furniture (navigation, footer, sidebar, notice, advert,
-comments), and whether it stands in an element of an article whose name only has a part that hints at it. A tree is grown on the labelled blocks below by Gini impurity.
+after it, whether it is a heading, whether it stands in an article or main element, whether it stands in what is
+furniture by its element or by the whole of a name (nav, footer, aside, controls of forms, class=sidebar, hidden
+parts: none of which is main text, whatever it says), and whether its surroundings only hint at furniture: a form, the
+header of an article, an element with a name that only has such a part. A hint never decides; the counts of the block
+and of its neighbours do. In an article only what stands inside it hints. A tree is grown on the labelled blocks below
+by Gini impurity.
 """
 
 from __future__ import annotations
@@ -40,14 +43,14 @@ INLINE = frozenset((MATH + " a abbr acronym b bdi bdo big cite code data del dfn
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ARTICLE = frozenset(("article", "main"))
-FURNITURE = frozenset("nav footer aside header form button label fieldset dialog menu head".split())
+FURNITURE = frozenset("nav footer aside header button label fieldset dialog menu head".split())
 HINT = re.compile(
     r"(?<![a-z])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side-bar|footer|header|masthead|"
     r"cookies?\w*|consent|notice\w*|alert|popup|modal|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|reply|replies|"
     r"respond|login|signup|search|widget|toolbar|copyright|legal|disclaimer|pagination|pager|tags|complementary|contentinfo|skip)(?![a-z])", re.I)
-#: Last parts of names that are furniture in an article too, whatever stands before them.
+#: Last parts of names that are furniture, whatever stands before them.
 SUFFIX = re.compile(
-    r"(?:.*[^a-z])?(?:(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|banner|popup|modal|widget|toolbar|pagination|pager|ads?|advert|newsletter|disqus|commentlist)"
+    r"(?:.*[^a-z])?(?:(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|banner|popup|modal|widget|toolbar|pagination|pager|ads?|adverts?|advertisement|newsletter|disqus|commentlist|notice|consent|disclaimer|copyright)"
     r"|(?:share|sharing|social|related|recommended|comments?|reply|search|login|signup|subscribe|cookies?|promo|sponsored)[-_](?:bar|box|buttons?|links?|list|form|icons?|posts?|articles?|stories|items?|area))", re.I)
 #: Names that only tell what a wrapper holds, and the only hints that count for the article itself.
 WRAPPER = ("has-", "with-", "without-", "no-", "is-")
@@ -91,17 +94,23 @@ LABELLED = (
     (45, 0.6, 10, 1, 20, 0.7, 0, 0, 0, 0), (30, 0.5, 25, 0.6, 28, 0.7, 0, 0, 0, 0), (1, 1, 90, 0, 1, 1, 0, 0, 0, 0), (2, 1, 1, 1, 60, 0, 0, 0, 0, 0),
     (12, 0.8, 60, 0, 4, 1, 0, 0, 0, 0), (70, 0.7, 5, 1, 9, 1, 0, 0, 0, 0), (7, 0.6, 60, 0, 55, 0, 0, 0, 0, 0), (3, 0, 1, 1, 2, 0, 0, 0, 0, 0),
 )
-#: In an article's element with a hint in its name: word count and link density decide.
+#: Where there is a hint: word counts and link densities decide, the block's own and its neighbours'.
 HINTED = (
     (300, 0, 9, 0, 80, 0, 0, 1, 0, 1, 1), (150, 0.05, 60, 0, 40, 0, 0, 1, 0, 1, 1), (90, 0, 6, 0, 70, 0, 0, 1, 0, 1, 1), (60, 0.1, 0, 0, 0, 0, 0, 1, 0, 1, 1),
     (40, 0, 75, 0, 6, 0, 0, 1, 0, 1, 1), (30, 0, 6, 0, 20, 0, 0, 1, 0, 1, 1), (25, 0.2, 30, 0, 12, 0, 0, 1, 0, 1, 1), (20, 0, 60, 0, 45, 0, 0, 1, 0, 1, 1),
     (2, 0, 60, 0, 60, 0, 1, 1, 0, 1, 1), (5, 0, 80, 0, 50, 0, 1, 1, 0, 1, 1), (4, 0, 12, 0, 300, 0, 1, 1, 0, 1, 1), (6, 0, 0, 0, 90, 0, 1, 1, 0, 1, 1),
     (1, 1, 50, 0, 60, 0, 0, 1, 0, 1, 0), (3, 0, 1, 1, 4, 1, 0, 1, 0, 1, 0), (4, 1, 3, 1, 2, 1, 0, 1, 0, 1, 0), (7, 0.5, 150, 0, 20, 0, 0, 1, 0, 1, 0),
     (9, 0, 70, 0, 60, 0, 0, 1, 0, 1, 0), (2, 0, 60, 0, 45, 0, 0, 1, 0, 1, 0), (20, 0.7, 15, 0.8, 12, 0.9, 0, 1, 0, 1, 0), (60, 0.6, 10, 1, 20, 0.7, 0, 1, 0, 1, 0),
+    (4, 0, 0, 0, 3, 0, 1, 1, 0, 1, 1), (5, 0, 1, 1, 3, 0, 1, 1, 0, 1, 1), (6, 0, 0, 0, 4, 0, 1, 1, 0, 1, 1), (9, 0, 1, 1, 2, 0.5, 1, 1, 0, 1, 1), (3, 0, 5, 0, 90, 0, 0, 1, 0, 1, 0), (4, 0, 4, 0, 60, 0, 0, 1, 0, 1, 0), (5, 0.2, 8, 0, 75, 0, 0, 1, 0, 1, 0),
+    # not in an article
+    (120, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1), (64, 0, 2, 1, 60, 0, 0, 0, 0, 1, 1), (80, 0, 64, 0, 90, 0, 0, 0, 0, 1, 1), (35, 0.1, 70, 0, 80, 0, 0, 0, 0, 1, 1), (16, 0, 64, 0, 70, 0, 0, 0, 0, 1, 1), (300, 0.02, 12, 0, 9, 0, 0, 0, 0, 1, 1),
+    (12, 0, 45, 0, 52, 0, 0, 0, 0, 1, 1), (45, 0, 90, 0, 3, 1, 0, 0, 0, 1, 1), (6, 0, 4, 1, 70, 0, 1, 0, 0, 1, 1), (4, 0, 60, 0, 80, 0, 1, 0, 0, 1, 1), (28, 0, 50, 0, 64, 0, 0, 0, 0, 1, 1), (10, 0, 80, 0, 70, 0, 0, 0, 0, 1, 1),
+    (14, 0, 1, 1, 3, 0.5, 0, 0, 0, 1, 0), (16, 0, 3, 1, 2, 1, 0, 0, 0, 1, 0), (4, 1, 5, 1, 4, 1, 0, 0, 0, 1, 0), (3, 0, 6, 0, 2, 0, 0, 0, 0, 1, 0), (9, 0, 4, 0, 5, 0, 0, 0, 0, 1, 0), (20, 0.6, 15, 0.7, 12, 0.9, 0, 0, 0, 1, 0),
+    (12, 0, 2, 1, 60, 0, 0, 0, 0, 1, 0), (18, 0, 60, 0, 0, 0, 0, 0, 0, 1, 0), (2, 0, 1, 1, 1, 1, 1, 0, 0, 1, 0), (5, 0, 70, 0, 3, 1, 1, 0, 0, 1, 0), (60, 0.6, 12, 1, 20, 0.7, 0, 0, 0, 1, 0), (15, 0, 90, 0, 2, 1, 0, 0, 0, 1, 0),
 )
 
 
-def grow(rows: list[tuple], depth: int = 6) -> tuple | float:
+def grow(rows: list[tuple], depth: int = 9) -> tuple | float:
     """(feature, cut, at or below, above), or the share of label 1."""
     data = np.array(rows, float)
     y = data[:, -1]
@@ -147,21 +156,22 @@ def is_hidden(held: dict[str, str]) -> bool:
 
 
 def is_furniture(tag: str, attrs: str, inside: bool = False) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether its name only hints at it. ``inside`` an article a name must
-    be furniture as a whole or by its last part, and the names of headings and paragraphs say nothing."""
+    """Whether an element is furniture, and whether it only hints at it. A name must be furniture as a whole or by its
+    last part, else it hints. The names of headings and paragraphs say nothing ``inside`` an article, nor do most
+    names of an article itself."""
     held = attributes(attrs)
+    if inside and tag == "header" and not is_hidden(held):
+        return False, True
     if tag in FURNITURE or is_hidden(held):
         return True, False
     if tag in ("html", "body") or inside and (tag in HEADINGS or tag == "p"):
         return False, False
-    if inside and tag not in ARTICLE:
-        names = [n for kind in NAMED for n in ([held.get(kind, "").strip()] if kind == "aria-label" else held.get(kind, "").split())]
-        names = [n for n in names if not n.lower().startswith(WRAPPER)]
-        sure = any(HINT.fullmatch(n) or SUFFIX.fullmatch(n) for n in names)
-        return sure, not sure and any(HINT.search(n) for n in names)
-    hint = NOT_THE_ARTICLE if tag in ARTICLE else HINT
-    names = (n for kind in NAMED for n in held.get(kind, "").split())
-    return any(hint.search(n) for n in names if not n.lower().startswith(WRAPPER)), False
+    names = [n for kind in NAMED for n in ([held.get(kind, "").strip()] if kind == "aria-label" else held.get(kind, "").split())]
+    names = [n for n in names if not n.lower().startswith(WRAPPER)]
+    if tag in ARTICLE:
+        return any(NOT_THE_ARTICLE.search(n) for n in names), False
+    sure = any(HINT.fullmatch(n) or SUFFIX.fullmatch(n) for n in names)
+    return sure, not sure and (tag == "form" or any(HINT.search(n) for n in names))
 
 
 def closed(page: str) -> dict[int, int]:
@@ -182,6 +192,14 @@ def closed(page: str) -> dict[int, int]:
     return ends
 
 
+def hinted_at(open_: list[tuple]) -> bool:
+    """Whether an open element hints at furniture; within an article only those inside it."""
+    for tag, _, article, hint in reversed(open_):
+        if hint or article:
+            return hint
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
     """(text, words, linked words, heading, in an article, in furniture, in an element with a hint) of each flat block with text."""
     found: list[tuple] = []
@@ -195,7 +213,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
         if text:
             n = len(text.split())
             in_links = min(n, len(html.unescape("".join(linked)).split()))
-            found.append((text, n, in_links, any(t[0] in HEADINGS for t in open_), any(t[2] for t in open_), any(t[1] for t in open_), any(t[3] for t in open_)))
+            found.append((text, n, in_links, any(t[0] in HEADINGS for t in open_), any(t[2] for t in open_), any(t[1] for t in open_), hinted_at(open_)))
         texts.clear()
         linked.clear()
 
@@ -222,7 +240,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
             if in_link:
                 linked.append(" ")
         marked, hinted = tag in HOLDERS, False
-        if not closing and attrs and tag not in VOID and not marked:
+        if not closing and (attrs or tag in ("form", "header")) and tag not in VOID and not marked:
             marked, hinted = is_furniture(tag, attrs, any(t[2] for t in open_))
         if tag in INLINE and not marked and not (closing and any(t[0] == tag for t in open_)):
             continue
@@ -242,7 +260,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
             if tag in CLOSED_BY and open_ and open_[-1][0] in CLOSED_BY[tag]:
                 open_.pop()
             if not attrs.rstrip().endswith("/") or tag not in INLINE:
-                open_.append((tag, marked or tag in FURNITURE, tag in ARTICLE, hinted))
+                open_.append((tag, marked or tag in FURNITURE and not hinted, tag in ARTICLE, hinted))
             if tag not in INLINE and tag != "p":
                 in_link = 0
     end()
@@ -250,8 +268,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
 
 
 def main_text(page: str | None) -> str:
-    """Blocks that the tree takes for main text, joined by one space. Headings right before no kept block stay
-    only as the tree says; an article's header element counts as part of it only for its headings."""
+    """Blocks that the tree takes for main text, joined by one space."""
     held = blocks(page or "")
     sizes = [(n, k / n) for _, n, k, *_ in held]
     kept = []

@@ -617,6 +617,37 @@ def test_extraction_keeps_parts_of_an_article_whose_names_only_hint():
     assert extraction.main_text(f"<article>{body}<div class=share-it><a href=x>Tell your friends</a></div></article>") == story
 
 
+def test_extraction_of_pages_that_break_the_list_of_names():
+    body = "".join(f"<p>{w} words of the story go here and on and on for some time, and then they go on again for a while. " * 3 + "</p>" for w in ("Plain", "Other", "Last"))
+    story = extraction.main_text(f"<article>{body}</article>")
+    assert story.count("words of the story") == 9
+    for wrapper in ("<form>", "<form action=x class=main-form>", "<div class='sidebar-layout'>", "<div class=search-result>", "<div id=comments-page-wrapper>", "<div class='menu-open nav-down'>", "<section class=news-related-topic>"):
+        end = "</" + re.match(r"<(\w+)", wrapper)[1] + ">"
+        for inner in (f"<article>{body}</article>", body):
+            page = f"<body>{wrapper}<nav><a href=a>One</a></nav>{inner}<div class=site-footer>All rights</div>{end}</body>"
+            assert extraction.main_text(page) == story, page
+    head = "<header><h1>Title of the story</h1><span>By A. Writer</span></header>"
+    assert extraction.main_text(f"<body><header><h1>Site name</h1></header><article>{head}{body}</article></body>") == "Title of the story " + story
+    for gone in ("<form><label>Mail</label><input><button>Send</button></form>", "<form>Sign up for our letter</form>", "<section class=comments><p>Nice story, I liked it a lot and want more of it, and so on and so forth for many words.</p></section>", "<div class=cookie-notice>We use cookies to make this site better for all of you, is that fine?</div>"):
+        assert extraction.main_text(f"<body><div>{body}</div>{gone}</body>") == story, gone
+        assert extraction.main_text(f"<body><article>{body}</article>{gone}</body>") == story, gone
+
+
+def test_neighbours_decide_where_there_is_a_hint():
+    """The same block is kept between long blocks without links and dropped between links: the tree uses neighbours."""
+    block, long, links = "<div class=share-it>Twelve words that may be part of the text or may not be</div>", "<p>" + "Plain words of a story that goes on. " * 8 + "</p>", "<p><a href=a>One</a> <a href=b>Two</a></p>"
+    assert "Twelve" in extraction.main_text(f"<div>{long}{block}{long}</div>") and "Twelve" not in extraction.main_text(f"<div>{links}{block}{links}</div>")
+    used = set()
+
+    def walk(node):
+        if isinstance(node, tuple):
+            used.add(extraction.FEATURES[node[0]])
+            walk(node[2]), walk(node[3])
+
+    walk(extraction.tree())
+    assert {"words", "links", "furniture", "hint", "article"} <= used and used & {"words_before", "words_after", "links_before", "links_after"} and used & {"links_after", "links_before"}
+
+
 def test_extraction_goes_on_after_elements_without_an_end():
     body, rest = ("<p>" + w * 8 + "</p>" for w in ("Plain words of a story that goes on. ", "The rest of it comes after that. "))
     story = extraction.main_text(f"<article>{body}{rest}</article>")

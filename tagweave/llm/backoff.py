@@ -230,8 +230,29 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores(table(spark, sf_dir, "documents"), store=False)  # a plain scan of files
-
+    """Scores to four decimals and their means to six, because sums of doubles depend on their order."""
+    scores = backoff_scores(table(spark, sf_dir, "documents"), store=False)  # a plain scan of files
+    return scores.withColumn("score", F.round("score", 4)).withColumn("mean_score", F.round("mean_score", 6))
+
+
+ORACLE = r"""
+WITH x AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM x),
+g AS (SELECT doc_id, i, w, lag(w) OVER o AS p, lag(w, 2) OVER o AS q FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c1 AS (SELECT w, count(*) AS n FROM g GROUP BY w), c2 AS (SELECT p, w, count(*) AS n FROM g WHERE p IS NOT NULL GROUP BY ALL), c3 AS (SELECT q, p, w, count(*) AS n FROM g WHERE q IS NOT NULL GROUP BY ALL),
+h AS (
+  SELECT g.doc_id, g.q, g.p, a.n AS n1, before.n AS n1p, b.n AS n2, pair.n AS n2p, c.n AS n3
+  FROM g JOIN c1 a ON a.w = g.w LEFT JOIN c1 before ON before.w = g.p LEFT JOIN c2 b ON b.p = g.p AND b.w = g.w
+  LEFT JOIN c2 pair ON pair.p = g.q AND pair.w = g.p LEFT JOIN c3 c ON c.q = g.q AND c.p = g.p AND c.w = g.w),
+s AS (
+  SELECT doc_id, CASE WHEN n3 >= 2 THEN 3 WHEN n2 >= 2 THEN 2 ELSE 1 END AS level,
+    CASE WHEN n3 >= 2 THEN log10(n3 / n2p::DOUBLE) WHEN n2 >= 2 THEN log10(n2 / n1p::DOUBLE) ELSE log10(n1 / (SELECT count(*) FROM g)::DOUBLE) END
+    + log10(0.4) * CASE WHEN n3 >= 2 THEN 0 WHEN n2 >= 2 THEN (q IS NOT NULL)::INT ELSE (p IS NOT NULL)::INT + (q IS NOT NULL)::INT END AS v FROM h),
+t AS (SELECT doc_id, sum(v) AS v, count(*) AS n, count(*) FILTER (level = 1) AS k1, count(*) FILTER (level = 2) AS k2, count(*) FILTER (level = 3) AS k3 FROM s GROUP BY doc_id)
+SELECT x.doc_id, coalesce(t.n, 0)::BIGINT AS n_words, round(coalesce(t.v, 0), 4) AS score, round(t.v / t.n, 6) AS mean_score,
+  coalesce(t.k1, 0)::BIGINT AS n_order1, coalesce(t.k2, 0)::BIGINT AS n_order2, coalesce(t.k3, 0)::BIGINT AS n_order3
+FROM x LEFT JOIN t USING (doc_id)
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm_scoring": op1_lm_scoring}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_lm_scoring": ORACLE}

@@ -92,7 +92,7 @@ def test_backoff_of_documents(spark):
     rows = everything(docs)
     want = dict(zip([r.doc_id for r in rows], brute_backoff([r.text for r in rows])))
     got = backoff.op1_lm_scoring(spark, SF).collect()
-    assert len(got) == len(want) and all(abs(r.score - want[r.doc_id]) < 1e-6 for r in got)
+    assert len(got) == len(want) and all(abs(r.score - want[r.doc_id]) < 1e-4 for r in got)
 
 
 def test_backoff_of_nothing(spark):

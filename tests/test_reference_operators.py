@@ -324,28 +324,81 @@ def test_sources(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["a", "b"]
 
 
-def test_chunked_stream_equals_batch(spark, tmp_path):
-    """Random cuts, chunks out of order, one file for each trigger."""
-    pages = [r.html.encode() for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(6).collect()]
-    pages += [b"<script>a</scr", b"x<svg>\"</svg>\"</svg><p", b"<!-", b""]
+def chunked(spark, tmp_path, kind, bodies):
+    """Rows of a stream of the bodies: random cuts, chunks out of order, one file for each trigger."""
     rng, held = random.Random(7), []
-    for i, page in enumerate(pages):
-        cuts = sorted({0, len(page), *(rng.randrange(len(page) + 1) for _ in range(6))})
-        parts = [page[a:b] for a, b in zip(cuts, cuts[1:])] or [b""]
+    for i, body in enumerate(bodies):
+        cuts = sorted({0, len(body), *(rng.randrange(len(body) + 1) for _ in range(6))})
+        parts = [body[a:b] for a, b in zip(cuts, cuts[1:])] or [b""]
         held += [(str(i), k, part, k == len(parts) - 1) for k, part in enumerate(parts)]
     rng.shuffle(held)
     schema = "stream_id string, chunk_seq int, chunk binary, last boolean"
     for k in range(4):
         spark.createDataFrame(held[k::4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    tokens = chunks.html_tokens_of_chunks(documents.stream_of_files(spark, str(tmp_path / "in"), schema))
-    run = tokens.writeStream.format("memory").queryName("chunked").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    tokens = chunks.tokens_of_chunks(documents.stream_of_files(spark, str(tmp_path / "in"), schema), kind)
+    run = tokens.writeStream.format("memory").queryName(f"chunked_{kind}").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination(120)
+    left = sum(o["numRowsTotal"] for o in run.lastProgress["stateOperators"])
     got = {}
-    for r in spark.table("chunked").orderBy("stream_id", "seq").collect():
-        got.setdefault(r.stream_id, []).append((r.token_type, r.data, r.start, r.end))
-    for i, page in enumerate(pages):
-        want = [(t[0], t[1].decode("utf-8", "replace"), t[5], t[6]) for t in html.tokens(page)]
-        assert got.get(str(i), []) == want
+    for r in spark.table(f"chunked_{kind}").orderBy("stream_id", "seq").collect():
+        assert not r.cut_off
+        got.setdefault(int(r.stream_id), []).append((r[2], r.data, r.start, r.end))
+    return [got.get(i, []) for i in range(len(bodies))], left
+
+
+@pytest.mark.parametrize("kind", sorted(chunks.FORMATS))
+def test_chunked_stream_equals_batch(spark, tmp_path, kind):
+    bodies = {
+        "html": [r.html.encode() for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(6).collect()] + [b"<script>a</scr", b"x<svg>\"</svg>\"</svg><p", b"<!-", b"", b"a<svg>\x00</svg>"],
+        "xml": [b"<?xml v='1'?><a b='c'>text<!-- d --><![CDATA[ e ]]></a>", b"<a><b", b"", b"<!DOCTYPE a [<!ENTITY b>]><a/>"], "css": [b"a{b:url(c d) 4e-22 U+01-1F} <!-- /* e */ --> @f 'g\\'h' --i", b"/* open", b"url( 'x", b""],
+        "json": [b'{"a":[1,2,{"b":null}]}', b"[1 2]", b""], "js": [b"a = `b${c}d`; // e\n--> f\nx", b"", b"'open"],
+    }[kind]
+    got, left = chunked(spark, tmp_path, kind, bodies)
+    kernel = chunks.FORMATS[kind][0]
+    names = [n for n, _ in chunks.columns_of(chunks.FORMATS[kind][1])]
+    for body, rows in zip(bodies, got):
+        assert rows == [(t[0], t[names.index("data")].decode("utf-8", "replace"), t[names.index("start")], t[names.index("end")]) for t in kernel(body)]
+    assert left == 0
+
+
+def test_long_constructs_are_read_about_twice(spark):
+    """A text in a thousand chunks; documents that end early; chunks that come again."""
+    document, read, names = chunks.Document(), 0, [name for name, _ in chunks.columns_of(relations.HTML)]
+    for k in range(1000):
+        document.add(k, b"words " * 10, False)
+        read += len(document.tail) if len(document.tail) >= document.look_at else 0
+        assert list(document.given_out("html", names)) == []
+    assert read < 4 * len(document.tail)
+    document.add(5, b"again", False)
+    document.add(1001, b"late", True)
+    document.add(1000, b"<b>", False)
+    rows = list(document.given_out("html", names))
+    assert document.ended and [r[1] for r in rows] == ["Text", "StartTag", "StartTagClose", "Text"] and rows[-1][6:8] == (60_003, 60_007)
+
+
+def test_documents_that_time_out_are_given_out():
+    """What the stream does with a document whose time is over: the end is taken to be here."""
+    document, names = chunks.Document(), ["token_type", "data", "text", "attr_val", "has_template", "start", "end", "error", "in_tag"]
+    document.add(0, b"<p>begun", False)
+    document.add(2, b"lost", True)
+    assert [r[1] for r in document.given_out("html", names)] == []
+    document.ended = True
+    assert [r[2] for r in document.given_out("html", names)] == ["<p", ">", "begun"]
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    """Rows older than the watermark of the batch before are in no window; windows come out when they are closed."""
+    schema = "ts timestamp, kind string"
+    from datetime import datetime
+
+    day = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    source = tmp_path / "in"
+    for rows in ([(day(1), "a"), (day(1, 30), "a"), (day(5), "a")], [(day(5, 10), "a"), (day(9), "a")], [(day(1, 45), "a"), (day(14), "a")], [(day(20), "a")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+    counts = chunks.windowed_counts(documents.stream_of_files(spark, str(source), schema), "ts", ["kind"], "1 hour", late="30 minutes")
+    run = counts.writeStream.outputMode("append").format("memory").queryName("late_rows").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert sorted((r.start.hour, r.n) for r in spark.table("late_rows").collect()) == [(1, 2), (5, 2), (9, 1), (14, 1)]
 
 
 def test_windows_of_a_stream(spark, tmp_path):

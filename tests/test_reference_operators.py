@@ -312,6 +312,19 @@ def test_sql_surface(spark):
     rows = spark.sql("SELECT id, t.token_type FROM docs, LATERAL html_tokens(html) t WHERE t.token_type = 'Text'").collect()
     assert [tuple(r) for r in rows] == [(1, "Text")]
     assert list(spark.sql("SELECT number_len('5.5px'), ascii_lower('AÉ'), collapse_whitespace('a  b'), decode_url_lenient('%20%')").first()) == [3, "aÉ", "a b", " %"]
+    one = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    assert one("SELECT token_type FROM html_tokens('{{a}}<b>', '{{', '}}') ORDER BY seq") == [("Template",), ("StartTag",), ("StartTagClose",)]
+    assert one("SELECT grammar, data FROM css_grammar('a:b', true)") == [("Declaration", "a")] and one("SELECT token_type FROM js_tokens('/a/', true)") == [("RegExp",)]
+    assert one("SELECT kind, scope_id FROM js_nodes('return a', true) WHERE kind = 'Return'") == [("Return", 0)] and one("SELECT name, uses FROM js_vars('a;a')") == [("a", 2)]
+    assert one("SELECT what FROM js_scopes('{let a}') ORDER BY scope_id") == [("program",), ("block",)] and one("SELECT js, error.message FROM js_programs('a+')") == [(None, "unexpected EOF in expression")]
+
+
+@pytest.mark.parametrize("name", sorted(sql.OF_TEXT))
+def test_sql_functions_equal_columns(spark, name):
+    sql.register(spark)
+    samples = ["", " ", "\n", "a b", "5.5e3px", "-12.345,67", "18446744073709551615", "a'b\"c", "&#034;x", "%41%zz+", "<a & b>", "url(x)", "$a1", "01", ".5", "É\t\f x", "\\", "]]>", None]
+    df = spark.createDataFrame([(s,) for s in samples], "x string")
+    assert df.selectExpr(f"{name}(x) AS y").collect() == df.select(sql.OF_TEXT[name]("x").alias("y")).collect()
 
 
 def test_sources(spark, tmp_path):

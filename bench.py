@@ -14,7 +14,7 @@ from tagweave.plans import catalogue
 
 HEADLINE = [
     "html_token_counts", "html_end_tags", "html_start_tags_by_name", "html_links", "css_grammar_counts", "js_calls_from_pages", "js_scope_uses_from_pages", "json_events_from_props", "json_number_values",
-    "xml_tokens_from_parts", "css_units_from_parts", "js_statements_from_parts", "collapse_ws", "ascii_lower", "encode_url", "read_float", "append_decimal", "append_number", "replace_entities", "bin_round_trip", "rollup_tags", "events_per_hour",
+    "xml_tokens_from_parts", "css_units_from_parts", "collapse_ws", "ascii_lower", "encode_url", "read_float", "append_decimal", "append_number", "replace_entities", "bin_round_trip", "rollup_tags", "events_per_hour",
 ]
 
 

@@ -158,8 +158,8 @@ def of_programs(rows: Callable, inline: bool, while_to_for: bool = False) -> Cal
     return kernel
 
 
-def js_relation(docs: DataFrame, content: str, keys: list[str] | None, kernel: Callable, schema: str) -> DataFrame:
-    return relation(docs, content, keys or [c for c in docs.columns if c != content], kernel, schema, numbered=False)
+def js_relation(docs: DataFrame, content: str, keys: list[str] | None, kernel: Callable, schema: str, columns: list[str] | None = None) -> DataFrame:
+    return relation(docs, content, keys or [c for c in docs.columns if c != content], kernel, schema, numbered=False, columns=columns)
 
 
 def node_rows(reader, tree, wrong) -> Iterator[tuple]:
@@ -174,15 +174,19 @@ def var_rows(reader, tree, wrong) -> list[tuple]:
     return js_text.scopes(reader)[1] if tree else []
 
 
-def program_rows(reader, tree, wrong) -> Iterator[tuple]:
+def program_rows(reader, tree, wrong, wanted: list[str] | None = None) -> Iterator[tuple]:
+    """The one row of a program; forms that aren't ``wanted`` stay null and cost nothing."""
     if tree is None:
         yield None, None, None, None, None, None, wrong
         return
-    try:
-        made, reason = js_print.json(tree), None
-    except js_print.NotJson as e:
-        made, reason = None, str(e)
-    yield js_text.program(tree), js_print.program(tree), made, reason, sum(1 for _ in js_text.nodes(tree)), len(reader.scopes), None
+    is_wanted = lambda *names: wanted is None or not set(names).isdisjoint(wanted)
+    made = reason = None
+    if is_wanted("json", "json_error"):
+        try:
+            made = js_print.json(tree)
+        except js_print.NotJson as e:
+            reason = str(e)
+    yield js_text.program(tree) if is_wanted("sexpr") else None, js_print.program(tree) if is_wanted("js") else None, made, reason, sum(1 for _ in js_text.nodes(tree)) if is_wanted("n_nodes") else None, len(reader.scopes), None
 
 
 def js_nodes(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False, while_to_for: bool = False) -> DataFrame:
@@ -203,9 +207,10 @@ def js_vars(docs: DataFrame, content: str = "js", keys: list[str] | None = None,
     return js_relation(docs, content, keys, of_programs(var_rows, inline), JS_VARS)
 
 
-def js_programs(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False, while_to_for: bool = False) -> DataFrame:
+def js_programs(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False, while_to_for: bool = False, columns: list[str] | None = None) -> DataFrame:
     """One row for each program: symbolic expression, printed text, JSON (or why it is none), or its error."""
-    return js_relation(docs, content, keys, of_programs(program_rows, inline, while_to_for), JS_PROGRAMS)
+    rows = lambda reader, tree, wrong: program_rows(reader, tree, wrong, columns)
+    return js_relation(docs, content, keys, of_programs(rows, inline, while_to_for), JS_PROGRAMS, columns)
 
 
 def js_var_texts(names: DataFrame, keys: list[str]) -> DataFrame:

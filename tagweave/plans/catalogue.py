@@ -185,18 +185,18 @@ def js_token_counts(spark, sf_dir):
 
 @query(f"SELECT page_id, 'Decl(var Binding(t = \"</p>\")) Stmt(track(' || regexp_extract(body, '([0-9]+)\\)', 1) || '))' AS sexpr FROM ({SCRIPTS})".replace("\\\\", "\\"))
 def js_sexpr_from_pages(spark, sf_dir):
-    return relations.js_programs(raw_text(spark, sf_dir, "script"), "body", ["page_id"]).select("page_id", "sexpr")
+    return relations.js_programs(raw_text(spark, sf_dir, "script"), "body", ["page_id"], columns=["sexpr"]).select("page_id", "sexpr")
 
 
 @query("SELECT page_id, regexp_replace(regexp_extract(html, '<script>(.*?)</script>', 1, 's'), '=', ' = ').replace(';track', ';' || chr(10) || 'track') AS js FROM pages")
 def js_print_from_pages(spark, sf_dir):
-    return relations.js_programs(raw_text(spark, sf_dir, "script"), "body", ["page_id"]).select("page_id", "js")
+    return relations.js_programs(raw_text(spark, sf_dir, "script"), "body", ["page_id"], columns=["js"]).select("page_id", "js")
 
 
 @query("""SELECT p_partkey, '{"name": "' || p_name || '", "size": ' || p_size || '}' AS json FROM part""")
 def js_json_from_parts(spark, sf_dir):
     script = F.concat(F.lit("({name: '"), "p_name", F.lit("', \"size\": "), "p_size", F.lit("})"))
-    return relations.js_programs(table(spark, sf_dir, "part").select("p_partkey", script.alias("js_text")), "js_text", ["p_partkey"]).select("p_partkey", "json")
+    return relations.js_programs(table(spark, sf_dir, "part").select("p_partkey", script.alias("js_text")), "js_text", ["p_partkey"], columns=["json"]).select("p_partkey", "json")
 
 
 @query("SELECT p_partkey, 0 AS ordinal, 'a' AS name, 'b' || p_size AS bound, chr(39) || 'm' || chr(39) AS module FROM part")

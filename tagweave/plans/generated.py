@@ -188,7 +188,7 @@ PLAIN = [(source, want) for source, want in JS_STATEMENTS if want]
 @query(" UNION ALL ".join(f"SELECT p_partkey, {i} AS i, {sql_text(want)} AS sexpr FROM {PARTS}" for i, (_, want) in enumerate(PLAIN)))
 def js_statements_from_parts(spark, sf_dir):
     docs = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.array(*[filled(source) for source, _ in PLAIN])).alias("i", "body"))
-    return relations.js_programs(docs, "body", ["p_partkey", "i"]).select("p_partkey", "i", "sexpr")
+    return relations.js_programs(docs, "body", ["p_partkey", "i"], columns=["sexpr"]).select("p_partkey", "i", "sexpr")
 
 
 @query(f"SELECT p_partkey, 'identifier ' || a || k || ' has already been declared' AS message, 1 AS line, (length(a || k) + 10)::INTEGER AS col FROM {PARTS}")
@@ -268,7 +268,7 @@ def js_operator_levels(spark, sf_dir):
 
 @query(f"SELECT p_partkey, 'for ( ; ' || a || '1; ) {{' || chr(10) || '    ' || b || '2;' || chr(10) || '}}' AS js FROM {PARTS}")
 def js_while_to_for_from_parts(spark, sf_dir):
-    return relations.js_programs(documents(spark, sf_dir, "while({a}1){b}2"), "body", ["p_partkey"], while_to_for=True).select("p_partkey", "js")
+    return relations.js_programs(documents(spark, sf_dir, "while({a}1){b}2"), "body", ["p_partkey"], while_to_for=True, columns=["js"]).select("p_partkey", "js")
 
 
 @query("SELECT kind, count(*)::BIGINT AS n FROM (SELECT CASE p_size % 3 WHEN 0 THEN 'void' WHEN 1 THEN 'raw text' END AS kind FROM part) WHERE kind IS NOT NULL GROUP BY 1")

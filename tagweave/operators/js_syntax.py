@@ -434,117 +434,133 @@ class Reader:
     # Modules
 
     def import_item(self) -> Node:
+        """``import`` at the start of an item: a declaration, or an expression that begins with it."""
         self.next()
         if self.kind in ("(", "."):
-            if self.accept("."):
-                self.consume("import.meta expression", "meta")
-                left, level = Node("ImportMeta"), MEMBER
-            else:
-                left, level = Node("Literal", type="import", data=b"import"), CALL
-            self.depth_expr += 1
-            node = Node("ExprStmt", value=self.suffix(left, EXPR, level))
-            self.depth_expr -= 1
-            if not self.new_line:
-                self.accept(";")
-            return node
-        where, default, names = "import statement", None, None
+            return self.import_statement()
+        default = names = None
         if self.kind != "String":
-            more = True
-            if self.kind in IDENTIFIERS or self.kind == "yield":
-                default = self.take()
-                more = self.accept(",")
-            if more and self.kind == "*":
-                star = self.take()
-                self.consume(where, "as")
-                if self.kind not in IDENTIFIERS and self.kind != "yield":
-                    self.fail(where, "Identifier")
-                names = [(star, self.take())]
-            elif more and self.accept("{"):
-                names = self.aliases(where, True)
-            elif more and default is not None:
-                self.fail(where, "*", "{")
-            elif default is None:
-                self.fail(where, "String", "Identifier", "*", "{")
-            self.consume(where, "from")
-            if self.kind != "String":
-                self.fail(where, "String")
-        module = self.take()
+            default, names = self.import_clause()
+            self.consume("import statement", "from")
+        module = self.module_name("import statement")
         self.accept(";")
         return Node("Import", default=default, names=names, module=module)
 
-    def aliases(self, where: str, imports: bool) -> list[tuple[bytes | None, bytes | None]]:
-        """Names in braces after the opening one; a last comma leaves an empty entry."""
+    def import_statement(self) -> Node:
+        left, level = Node("Literal", type="import", data=b"import"), CALL
+        if self.accept("."):
+            self.consume("import.meta expression", "meta")
+            left, level = Node("ImportMeta"), MEMBER
+        self.depth_expr += 1
+        node = Node("ExprStmt", value=self.suffix(left, EXPR, level))
+        self.depth_expr -= 1
+        if not self.new_line:
+            self.accept(";")
+        return node
+
+    def module_name(self, where: str) -> bytes:
+        if self.kind != "String":
+            self.fail(where, "String")
+        return self.take()
+
+    def is_local(self) -> bool:
+        """Whether a module can bind the name that comes next."""
+        return self.kind in IDENTIFIERS or self.kind == "yield"
+
+    def import_clause(self) -> tuple[bytes | None, list | None]:
+        where, default = "import statement", None
+        if self.is_local():
+            default = self.take()
+            if not self.accept(","):
+                return default, None
+        if self.accept("{"):
+            return default, self.named(where, self.import_name)
+        if self.kind != "*":
+            self.fail(where, *(() if default is not None else ("String", "Identifier")), "*", "{")
+        star = self.take()
+        self.consume(where, "as")
+        if not self.is_local():
+            self.fail(where, "Identifier")
+        return default, [(star, self.take())]
+
+    def named(self, where: str, one) -> list[tuple[bytes | None, bytes | None]]:
+        """What stands in braces after the opening one; a last comma leaves an empty entry."""
         found: list[tuple] = []
         while self.kind in NAMES or self.kind == "String":
-            kind, name, bound = self.kind, None, self.take()
-            if self.accept("as"):
-                if imports and self.kind not in IDENTIFIERS and self.kind != "yield":
-                    self.fail(where, "Identifier")
-                if not imports and self.kind not in NAMES and self.kind != "String":
-                    self.fail(where, "Identifier", "String")
-                name, bound = bound, self.take()
-            elif imports and kind not in IDENTIFIERS and kind != "yield":
-                self.fail(where, "Identifier", "String")
-            found.append((name, bound))
+            found.append(one(where))
             if self.accept(",") and self.kind == "}":
                 found.append((None, None))
-                break
         self.consume(where, "}")
         return found
 
+    def import_name(self, where: str) -> tuple[bytes | None, bytes]:
+        local, name = self.is_local(), self.take()
+        if not self.accept("as"):
+            if not local:
+                self.fail(where, "Identifier", "String")
+            return None, name
+        if not self.is_local():
+            self.fail(where, "Identifier")
+        return name, self.take()
+
+    def export_name(self, where: str) -> tuple[bytes | None, bytes]:
+        name = self.take()
+        if not self.accept("as"):
+            return None, name
+        return name, self.any_name(where)
+
+    def any_name(self, where: str) -> bytes:
+        if self.kind not in NAMES and self.kind != "String":
+            self.fail(where, "Identifier", "String")
+        return self.take()
+
     def export(self) -> Node:
-        where = "export statement"
+        where, names, module, decl = "export statement", None, None, None
         self.next()
         held = self.yield_, self.await_, self.default
         self.yield_, self.await_, self.default = False, True, True
-        names, module, decl, default = None, None, None, False
-        kind = self.kind
-        if kind == "*":
+        default = self.accept("default")
+        if default:
+            decl = self.default_export()
+        elif self.accept("{"):
+            names = self.named(where, self.export_name)
+        elif self.kind == "*":
             star = self.take()
-            names = [(None, star)]
-            if self.accept("as"):
-                if self.kind not in NAMES and self.kind != "String":
-                    self.fail(where, "Identifier", "String")
-                names = [(star, self.take())]
+            names = [(star, self.any_name(where)) if self.accept("as") else (None, star)]
             if self.kind != "from":
                 self.fail(where, "from")
-        elif kind == "{":
-            self.next()
-            names = self.aliases(where, False)
-        elif kind in ("var", "const", "let"):
-            self.next()
-            decl = self.var_decl(kind)
-        elif kind == "function":
-            decl = self.function(False, False)
-        elif kind == "async":
-            self.next()
-            if self.kind != "function" or self.new_line:
-                self.fail(where, "function")
-            decl = self.function(True, False)
-        elif kind == "class":
-            decl = self.class_(False)
-        elif kind == "default":
-            default = True
-            self.next()
-            if self.kind == "function":
-                decl = self.function(False, False)
-            elif self.kind == "async":
-                word = self.take()
-                decl = self.function(True, False) if self.kind == "function" and not self.new_line else self.async_expression(ASSIGN, word)
-            elif self.kind == "class":
-                decl = self.class_(False)
-            else:
-                decl = self.expression(ASSIGN)
         else:
-            self.fail(where, "*", "{", "var", "let", "const", "function", "async", "class", "default")
+            decl = self.exported(where)
         if names is not None and self.accept("from"):
-            if self.kind != "String":
-                self.fail(where, "String")
-            module = self.take()
+            module = self.module_name(where)
         self.accept(";")
         self.yield_, self.await_, self.default = held
         return Node("Export", names=names, module=module, decl=decl, default=default)
 
+    def exported(self, where: str) -> Node:
+        """The declaration of an export."""
+        kind = self.kind
+        if kind in ("function", "class"):
+            return self.class_(False) if kind == "class" else self.function(False, False)
+        if kind not in ("var", "let", "const", "async"):
+            self.fail(where, "*", "{", "var", "let", "const", "function", "async", "class", "default")
+        self.next()
+        if kind != "async":
+            return self.var_decl(kind)
+        if self.kind != "function" or self.new_line:
+            self.fail(where, "function")
+        return self.function(True, False)
+
+    def default_export(self) -> Node | Name:
+        if self.kind in ("function", "class"):
+            return self.class_(False) if self.kind == "class" else self.function(False, False)
+        if self.kind != "async":
+            return self.expression(ASSIGN)
+        word = self.take()
+        if self.kind == "function" and not self.new_line:
+            return self.function(True, False)
+        return self.async_expression(ASSIGN, word)
+
     # Functions and classes
 
     def params(self, where: str) -> Node:

@@ -335,7 +335,7 @@ def crowd_links(members: DataFrame, docs: DataFrame, shingle: int, similarity: f
     return links.select(*[F.struct(F.col(f"doc_{x}").alias("doc_id"), F.col(f"h_{x}").alias("h")).alias(x) for x in ("a", "b")])
 
 
-def groups(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8, slack: float = 0.12, crowd: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8, slack: float = 0.12, crowd: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, root) of the rows with an id: groups of texts that resemble each other. h is the hash of a row's
     text, root (doc_id, h) the smallest row of its group.
 

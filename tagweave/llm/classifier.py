@@ -11,7 +11,6 @@ in one executor task; only the weight vector (4 bytes x 2^bits) travels. Scoring
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, table, words
+from .common import id_text, kept, table, words
 
 BITS, SCALE = 18, 20.0
 SEED = {"word": 0x9E3779B97F4A7C15, "pair": 0xC2B2AE3D27D4EB4F}
@@ -139,7 +138,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
-        bits, hasher = (len(w) - 1).bit_length() - 1, sys.__dict__.setdefault("_tagweave_hasher", Hasher())
+        bits, hasher = (len(w) - 1).bit_length() - 1, kept("hasher", Hasher)
         for batch in batches:
             scores = []
             for i in range(0, batch.num_rows, 256):
@@ -161,7 +160,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
-        bits, hasher = (len(w) - 1).bit_length() - 1, sys.__dict__.setdefault("_tagweave_hasher", Hasher())
+        bits, hasher = (len(w) - 1).bit_length() - 1, kept("hasher", Hasher)
         for batch in batches:
             keep = []
             for i in range(0, batch.num_rows, 256):

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 import re
 import tempfile
 import uuid
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,15 +193,31 @@ class WordwiseEncoder:
         return [self.whole(t) if f is None else b"".join(f) for t, f in zip(texts, found)]
 
 
-_ENCODERS: dict[tuple, WordwiseEncoder] = {}
+_KEPT: dict[object, object] = {}
 
 
-def encoder(path: str, white_space_dropped: bool) -> WordwiseEncoder:
-    """One encoder for each worker process and vocabulary file."""
-    import os
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task for the operator that it runs, such as memos of words. A worker
+    serves one operator after another, so what it kept for another one goes first."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Gives back what this worker process keeps, to the system too; for operators that keep nothing."""
+    if not _KEPT:
+        return
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
 
+
+def encoder(path: str, white_space_dropped: bool) -> WordwiseEncoder:
+    """One encoder for each worker process, that of the vocabulary file last asked for."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     key = (path, white_space_dropped)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordwiseEncoder(*key)
-    return _ENCODERS[key]
+    return kept(key, lambda: WordwiseEncoder(*key))

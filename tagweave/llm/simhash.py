@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, durable, id_text, table, unused, words
+from .common import discard, durable, forget, id_text, table, unused, words
 
 BYTES = np.uint64(0x0101010101010101)
 
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     """doc_id, fp (the 64 bits as a signed long); A-Z are lower-cased, other characters stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = batch.column(1)
             fps = [fingerprint(words(t, lower=True), shingle) for i in range(0, len(texts), 256) for t in texts.slice(i, 256).to_pylist()]
@@ -246,6 +247,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             keep = []
             for i in range(0, batch.num_rows, 256):
@@ -276,27 +278,26 @@ def alike_within(texts: list[str | None], shingle: int, similarity: float) -> li
 
     Shingles of more than 8 texts are counted by a product of matrices, the others pair by pair.
     """
-    sets = [shingles(words(t, lower=True), shingle) for t in texts]
-    n = len(sets)
-    holders: dict[bytes, list[int]] = {}
-    for i, held in enumerate(sets):
-        for g in held:
-            holders.setdefault(g, []).append(i)
+    known: dict[bytes, int] = {}  # a shingle of many texts is held once
+    held = [np.fromiter((known.setdefault(g, len(known)) for g in shingles(words(t, lower=True), shingle)), np.int32) for t in texts]
+    n, sizes = len(held), np.array([len(x) for x in held], np.float64)
+    del known
+    which = np.concatenate(held) if held else np.zeros(0, np.int32)
+    order = np.argsort(which, kind="stable")
+    at, which = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in held])[order], which[order]
+    del held, order
+    many = np.bincount(which)[which] > 8
     both = np.zeros((n, n), np.float32)
-    often = []
-    for at in holders.values():
-        if len(at) > 8:
-            often.append(at)
-        elif len(at) > 1:
-            for k, i in enumerate(at):
-                both[i, at[k + 1 :]] += 1
-    for k in range(0, len(often), 4096):
-        part = often[k : k + 4096]
-        m = np.zeros((n, len(part)), np.float32)
-        for column, at in enumerate(part):
-            m[at, column] = 1
+    few_at, few = at[~many], which[~many]
+    for k in range(1, 8):  # texts of a shingle lie side by side
+        meet = few[:-k] == few[k:]
+        np.add.at(both, (few_at[:-k][meet], few_at[k:][meet]), 1)
+    at, column = at[many], np.cumsum(np.diff(which[many], prepend=-1) != 0) - 1
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (k, k + 4096))
+        m = np.zeros((n, 4096), np.float32)
+        m[at[a:b], column[a:b] - k] = 1
         both += np.triu(m @ m.T, 1)
-    sizes = np.array([len(x) for x in sets], np.float64)
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -351,18 +352,20 @@ def groups(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float
     Rows that share an id but not their text are nodes each; texts of the same words are one.
     """
 
+    def longs(rows: list[np.ndarray]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * len(rows[0]), np.concatenate(rows))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            rows = []
             for i in range(0, batch.num_rows, 256):
-                for t in batch.column(2).slice(i, 256).to_pylist():
+                part, rows = batch.slice(i, 256), []
+                for t in part.column(2).to_pylist():
                     w = words(t, lower=True)
-                    keys, sketch = signature(w, shingle)
-                    rows.append((xxhash.xxh128_digest(b" ".join(w)), fingerprint(w, shingle), keys.tolist(), sketch.tolist()))
-            same, fps, keys, sigs = zip(*rows) if rows else ([], [], [], [])
-            longs = pa.list_(pa.int64())
-            cols = [pa.array(same, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, longs), pa.array(sigs, longs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "h", "same", "fp", "keys", "sig"])
+                    rows.append((xxhash.xxh128_digest(b" ".join(w)), fingerprint(w, shingle), *signature(w, shingle)))
+                same, fps, keys, sigs = zip(*rows)
+                cols = [pa.array(same, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), longs(keys), longs(sigs)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["doc_id", "h", "same", "fp", "keys", "sig"])
 
     inner = id_text(docs, id_col, text_col).where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), "text")
     signed = durable(inner.mapInArrow(run, "doc_id long, h long, same binary, fp long, keys array<long>, sig array<long>"), "signatures")

@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -322,6 +324,27 @@ def test_blocks_of_texts_are_connected_as_pairs_are():
     assert root == want
 
 
+def test_blocks_of_long_near_copies_hold_a_shingle_once():
+    rng = random.Random(17)
+    base = [f"word{rng.randrange(9000)}" for _ in range(2000)]
+    texts = [" ".join(f"x{rng.getrandbits(30)}" if rng.random() < 0.002 else w for w in base) for _ in range(100)]
+    tracemalloc.start()
+    links = simhash.alike_within(texts, 5, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(links) == 99 and peak < 12e6
+    assert simhash.alike_within([], 5, 0.8) == []
+
+
+def test_a_worker_keeps_only_what_its_operator_needs():
+    made = [weakref.ref(common.encoder(public_tokenizers.path("byte_bpe_50k.json"), False))]
+    assert common.encoder(public_tokenizers.path("byte_bpe_50k.json"), False) is made[0]()
+    made.append(weakref.ref(common.kept("hasher", classifier.Hasher)))
+    assert made[0]() is None and common.kept("hasher", classifier.Hasher) is made[1]()
+    common.forget()
+    assert made[1]() is None
+
+
 def brute_groups(texts):
     root = list(range(len(texts)))
     for i in range(len(texts)):

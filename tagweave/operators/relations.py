@@ -2,7 +2,9 @@
 
 A kernel turns one document into rows. It runs inside mapInArrow, which sends a batch of documents to Python and
 takes flat Arrow columns back: one exchange each way, no nested arrays, no explode. Key columns are carried
-along by repeating their values with an Arrow take, so they are never touched in Python.
+along by repeating their values with an Arrow take, so they are never touched in Python. A short document that
+occurs again is read once for each slice of a batch, and mostly once for each task; its rows are repeated by a take
+as well.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +38,10 @@ JS_VARS = "scope_id INT, ordinal INT, bound BOOLEAN, var_id INT, name STRING, de
 JS_PROGRAMS = f"sexpr STRING, js STRING, json STRING, json_error STRING, n_nodes INT, n_scopes INT, error {ERROR}"
 
 FLUSH = 50_000  # rows of a batch sent back; bounds memory for long documents
+SLICE = 256 * 1024  # bytes of short documents read at once; their rows are sent back together
+SHORT = 16 * 1024  # bytes of a document that is read together with others; longer ones are flushed as they are read
+KEPT = 20_000  # documents and rows that a task keeps for documents that come again, and bytes of such a document
+KEPT_BYTES = 1024
 
 
 def text(b: bytes | None) -> str | None:
@@ -55,6 +63,11 @@ def shaped(value, kind: pa.DataType):
     return value
 
 
+def missing(values: list) -> pa.Array | None:
+    """Which values are null; None if none is."""
+    return pa.array([v is None for v in values]) if None in values else None
+
+
 def column(values: list, kind: pa.DataType) -> pa.Array:
     """An Arrow column of a kernel's values. Bytes become text in one validated cast; only where some aren't UTF-8
     are they decoded one by one."""
@@ -68,10 +81,38 @@ def column(values: list, kind: pa.DataType) -> pa.Array:
     if pa.types.is_nested(kind):
         if all(v is None for v in values):
             return pa.nulls(len(values), kind)
+        if pa.types.is_list(kind):
+            ends, flat = [0], []
+            for v in values:
+                flat += v or ()
+                ends.append(len(flat))
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), column(flat, kind.value_type), kind, mask=missing(values))
+        if pa.types.is_struct(kind):
+            parts = [column([None if v is None else v[k] for v in values], f.type) for k, f in enumerate(kind)]
+            return pa.StructArray.from_arrays(parts, fields=list(kind), mask=missing(values))
         return pa.array([shaped(v, kind) for v in values], kind)
     return pa.array(values, kind)
 
 
+class Kept:
+    """Rows of short documents that a task has read, for those that come again; when it is full, it begins anew."""
+
+    def __init__(self):
+        self.found: dict[str | bytes, list[tuple]] = {}
+        self.size = 0
+
+    def rows(self, body: str | bytes, read: Callable) -> list[tuple]:
+        rows = self.found.get(body)
+        if rows is None:
+            rows = list(read(body))
+            if len(body) <= KEPT_BYTES:
+                self.size += 1 + len(rows)
+                if self.size > KEPT:
+                    self.found, self.size = {}, 1 + len(rows)
+                self.found[body] = rows
+        return rows
+
+
 def relation(docs: DataFrame, content: str, keys: list[str], kernel: Callable[[bytes], Iterator[tuple]], schema: str, numbered: bool = True, columns: list[str] | None = None) -> DataFrame:
     """Rows of every document: the key columns, seq (from 0) and the kernel's columns, or those named by ``columns``;
     what isn't named never leaves Python, where Spark's column pruning can't reach.
@@ -92,34 +133,74 @@ def relation(docs: DataFrame, content: str, keys: list[str], kernel: Callable[[b
     arrow = to_arrow_schema(own)
     n_keys = len(keys)
 
+    def read(body: str | bytes) -> Iterator[tuple]:
+        return iter(kernel(body if isinstance(body, bytes) else body.encode("utf-8", "surrogatepass")))
+
+    def batch_of(batch: pa.RecordBatch, source: pa.Array, own_columns: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(k).take(source) for k in range(n_keys)] + own_columns, names=[f.name for f in result])
+
+    def one_by_one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        source, seqs, rows = [], [], []
+        bodies = batch.column(n_keys)
+
+        def flush() -> pa.RecordBatch:
+            own_columns = [column(seqs if at < 0 else [r[at] for r in rows], f.type) for at, f in zip(places, arrow)]
+            out = batch_of(batch, pa.array(source, pa.int32()), own_columns)
+            for held in (source, seqs, rows):
+                held.clear()
+            return out
+
+        for i in range(batch.num_rows):
+            body = bodies[i].as_py()
+            if body is None:
+                continue
+            found = read(body)
+            at = 0
+            while part := list(islice(found, FLUSH)):
+                rows += part
+                source += [i] * len(part)
+                seqs += range(at, at + len(part))
+                at += len(part)
+                if len(rows) >= FLUSH:
+                    yield flush()
+        if rows:
+            yield flush()
+
+    def together(batch: pa.RecordBatch, kept: Kept) -> Iterator[pa.RecordBatch]:
+        """Each different document is read once, and its rows are taken for all documents that are like it."""
+        bodies = batch.column(n_keys).dictionary_encode()
+        counts, rows = [], []
+        for body in bodies.dictionary.to_pylist():
+            found = kept.rows(body, read)
+            counts.append(len(found))
+            rows += found
+        counts = np.array(counts, np.int64)
+        docs = np.flatnonzero(bodies.indices.is_valid().to_numpy(zero_copy_only=False))
+        which = bodies.indices.drop_null().to_numpy()
+        n = counts[which]
+        ends = np.cumsum(n)
+        if not len(ends) or not ends[-1]:
+            return
+        seqs = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        at_rows = seqs + np.repeat((np.cumsum(counts) - counts)[which], n)
+        again = pa.array(at_rows) if len(which) > len(counts) else None
+        own_columns = []
+        for at, f in zip(places, arrow):
+            if at < 0:
+                own_columns.append(pa.array(seqs.astype(np.int32)))
+            else:
+                made = column([r[at] for r in rows], f.type)
+                own_columns.append(made if again is None else made.take(again))
+        yield batch_of(batch, pa.array(np.repeat(docs, n)), own_columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Kept()
         for batch in batches:
-            source, seqs, rows = [], [], []
-            bodies = batch.column(n_keys)
-
-            def flush() -> pa.RecordBatch:
-                taken = pa.array(source, pa.int32())
-                cols = [batch.column(k).take(taken) for k in range(n_keys)]
-                cols += [column(seqs if at < 0 else [r[at] for r in rows], f.type) for at, f in zip(places, arrow)]
-                for held in (source, seqs, rows):
-                    held.clear()
-                return pa.RecordBatch.from_arrays(cols, names=[f.name for f in result])
-
-            for i in range(batch.num_rows):
-                body = bodies[i].as_py()
-                if body is None:
-                    continue
-                found = iter(kernel(body if isinstance(body, bytes) else body.encode("utf-8", "surrogatepass")))
-                at = 0
-                while part := list(islice(found, FLUSH)):
-                    rows += part
-                    source += [i] * len(part)
-                    seqs += range(at, at + len(part))
-                    at += len(part)
-                    if len(rows) >= FLUSH:
-                        yield flush()
-            if rows:
-                yield flush()
+            step = max(1, min(batch.num_rows, SLICE * batch.num_rows // max(1, batch.column(n_keys).nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                longest = pc.max(pc.binary_length(part.column(n_keys))).as_py() or 0
+                yield from together(part, kept) if longest <= SHORT else one_by_one(part)
 
     return inner.mapInArrow(run, result)
 

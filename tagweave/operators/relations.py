@@ -15,7 +15,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -270,12 +270,12 @@ def program_rows(reader, tree, wrong, wanted: list[str] | None = None) -> Iterat
     yield js_text.program(tree) if is_wanted("sexpr") else None, js_print.program(tree) if is_wanted("js") else None, made, reason, sum(1 for _ in js_text.nodes(tree)) if is_wanted("n_nodes") else None, len(reader.scopes), None
 
 
-def js_nodes(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False, while_to_for: bool = False) -> DataFrame:
+def js_nodes(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False, while_to_for: bool = False, columns: list[str] | None = None) -> DataFrame:
     """Syntax trees as adjacency rows; programs with an error have none. Descendants of a node are the ids after
     it up to its exit_id; flags names what holds of it (async, generator, static, get, set, computed, optional,
     postfix, spread, await, default), scope_id is the scope it stands in. ``inline``: the code of an attribute, where
     ``return`` is good; ``while_to_for``: while statements come as for statements."""
-    return js_relation(docs, content, keys, of_programs(node_rows, inline, while_to_for), JS_NODES)
+    return js_relation(docs, content, keys, of_programs(node_rows, inline, while_to_for), JS_NODES, columns)
 
 
 def js_scopes(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False) -> DataFrame:
@@ -303,6 +303,18 @@ def js_var_texts(names: DataFrame, keys: list[str]) -> DataFrame:
     return held.select(*keys, "scope_id", F.concat(F.lit("Scope{Declared: ["), listed(True), F.lit("], Undeclared: ["), listed(False), F.lit("]}")).alias("text"))
 
 
+def js_inside(nodes: DataFrame, keys: list[str], outer: Column, inner: Column) -> DataFrame:
+    """The nodes of programs for which ``inner`` holds: the keys, node_id and n_around, the number of nodes around it for
+    which ``outer`` holds. A running sum over where those begin and end, not a join: the nodes are read once, and a
+    program costs a sort of its own nodes, however many lie in how many."""
+    step = lambda at, by: F.struct(at.cast("bigint").alias("at"), F.lit(by).alias("by"))
+    node, leave = F.col("node_id"), F.col("exit_id")
+    steps = F.array(F.when(inner, step(node * 2, 0)), F.when(outer, step(node * 2 + 1, 1)), F.when(outer, step(leave * 2 + 1, -1)))
+    placed = nodes.where(inner | outer).select(*keys, "node_id", F.explode(steps).alias("s")).where("s IS NOT NULL").select(*keys, "node_id", "s.*")
+    around = F.sum("by").over(Window.partitionBy(*keys).orderBy("at"))
+    return placed.withColumn("n_around", around).where("by = 0").select(*keys, "node_id", "n_around")
+
+
 def js_imports(nodes: DataFrame, keys: list[str], kind: str = "Import") -> DataFrame:
     """The imports (or with kind Export the exports) of programs, from their nodes: a row for each name, with the
     name it has in the module."""

@@ -59,3 +59,24 @@ def test_values_of_repeated_documents_keep_their_structs(spark):
     want = [(996 + i, seq, *r) for i, body in enumerate([b"a{b:c d", b"a{b", b"}", b"@x{y}"]) for seq, r in enumerate(css.grammar(body))]
     shown = lambda e: e and tuple(e)
     assert [(r.id, r.seq, r.grammar, [tuple(v) for v in r["values"]], r.end, shown(r.error)) for r in rows] == [(w[0], w[1], w[2], [(k, v.decode()) for k, v in w[5]], w[6], shown(w[7])) for w in want]
+
+
+#: Queries over documents made from every part: one reading, by all cores.
+READ_ONCE = ["js_statements_from_parts", "js_literals_inside_functions"]
+
+
+@pytest.mark.parametrize("name", READ_ONCE)
+def test_parts_are_read_once_by_many_tasks(spark, name):
+    plan = catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan[plan.index("MapInArrow") :].count("Repartition ") == 1
+
+
+def test_nodes_inside_others(spark):
+    """Against a comparison of all pairs; a function may be in functions, and next to some."""
+    programs = ["1;function f(){2;(function(){3;(()=>4)();5})();function g(){}6}7", "8", "function a(){9}function b(){}10", "function a(){function b(){function c(){}}}"]
+    nodes = relations.js_nodes(spark.createDataFrame(list(enumerate(programs)), "id int, js string"), "js", ["id"], columns=["node_id", "exit_id", "kind"])
+    rows = nodes.collect()
+    for outer in ("Function", "Block"):
+        want = {(x.id, x.node_id): sum(y.id == x.id and y.kind == outer and y.node_id < x.node_id <= y.exit_id for y in rows) for x in rows if x.kind in ("Literal", "Function")}
+        found = relations.js_inside(nodes, ["id"], F.col("kind") == outer, F.col("kind").isin("Literal", "Function"))
+        assert {(r.id, r.node_id): r.n_around for r in found.collect()} == want and max(want.values()) > 1

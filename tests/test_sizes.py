@@ -1,5 +1,6 @@
 """What queries and relations owe to large tables: even tasks, one reading of their documents, bounded memory."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def test_values_of_repeated_documents_keep_their_structs(spark):
 
 
 #: Queries over documents made from every part: one reading, by all cores.
-READ_ONCE = ["js_statements_from_parts", "js_literals_inside_functions"]
+READ_ONCE = ["js_statements_from_parts", "js_literals_inside_functions", "css_units_from_parts"]
 
 
 @pytest.mark.parametrize("name", READ_ONCE)
@@ -80,3 +81,14 @@ def test_nodes_inside_others(spark):
         want = {(x.id, x.node_id): sum(y.id == x.id and y.kind == outer and y.node_id < x.node_id <= y.exit_id for y in rows) for x in rows if x.kind in ("Literal", "Function")}
         found = relations.js_inside(nodes, ["id"], F.col("kind") == outer, F.col("kind").isin("Literal", "Function"))
         assert {(r.id, r.node_id): r.n_around for r in found.collect()} == want and max(want.values()) > 1
+
+
+@pytest.mark.parametrize("kind, values", [
+    (pa.list_(pa.struct([("token_type", pa.string()), ("data", pa.string())])), [[("a", b"b"), ("c", None)], [], None, [None]]), (pa.list_(pa.string()), [["a"], None, [], ["b", "c"]]),
+    (pa.struct([("message", pa.string()), ("line", pa.int32())]), [("a", 1), None, ("b", None)]), (pa.list_(pa.string()), [None, None]), (pa.struct([("x", pa.list_(pa.int32()))]), [([1, 2],), (None,), None, ([],)]),
+])
+def test_nested_columns_are_those_of_single_values(monkeypatch, kind, values):
+    """And none of their values becomes a dictionary on the way, which took most of the time of css_grammar."""
+    want = pa.array([relations.shaped(v, kind) for v in values], kind)
+    monkeypatch.setattr(relations, "shaped", None)
+    assert relations.column(values, kind).equals(want) and relations.column(values, kind).type == kind

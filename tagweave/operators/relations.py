@@ -282,10 +282,10 @@ def js_scopes(docs: DataFrame, content: str = "js", keys: list[str] | None = Non
     return js_relation(docs, content, keys, of_programs(scope_rows, inline), JS_SCOPES)
 
 
-def js_vars(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False) -> DataFrame:
+def js_vars(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False, columns: list[str] | None = None) -> DataFrame:
     """Variables of every scope: declared there (bound) or only used there. Rows of one program with the same var_id
     are the same variable."""
-    return js_relation(docs, content, keys, of_programs(var_rows, inline), JS_VARS)
+    return js_relation(docs, content, keys, of_programs(var_rows, inline), JS_VARS, columns)
 
 
 def js_programs(docs: DataFrame, content: str = "js", keys: list[str] | None = None, inline: bool = False, while_to_for: bool = False, columns: list[str] | None = None) -> DataFrame:

@@ -317,10 +317,13 @@ def js_inside(nodes: DataFrame, keys: list[str], outer: Column, inner: Column) -
 
 def js_imports(nodes: DataFrame, keys: list[str], kind: str = "Import") -> DataFrame:
     """The imports (or with kind Export the exports) of programs, from their nodes: a row for each name, with the
-    name it has in the module."""
-    heads = nodes.where(F.col("kind") == kind).select(*keys, F.col("node_id").alias("parent_id"), F.col("data").alias("module"))
-    aliases = nodes.where("kind = 'Alias'").select(*keys, "parent_id", "ordinal", F.col("op").alias("name"), F.col("data").alias("bound"))
-    return heads.join(aliases, [*keys, "parent_id"]).drop("parent_id")
+    name it has in the module. The nodes are read once."""
+    is_head = F.col("kind") == kind
+    head = F.when(is_head, F.col("node_id")).otherwise(F.col("parent_id")).alias("head")
+    of = nodes.where(is_head | (F.col("kind") == "Alias")).select(*keys, head, is_head.alias("is_head"), "ordinal", "op", "data")
+    together = Window.partitionBy(*keys, "head")
+    known = of.withColumn("module", F.max(F.when(F.col("is_head"), F.col("data"))).over(together)).withColumn("has_head", F.bool_or("is_head").over(together))
+    return known.where("has_head AND NOT is_head").select(*keys, "module", "ordinal", F.col("op").alias("name"), F.col("data").alias("bound"))
 
 
 def js_vars_by_uses(names: DataFrame, keys: list[str]) -> DataFrame:

@@ -36,6 +36,13 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def dealt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts, dealt out evenly: a row of a few bytes becomes a document that takes a kernel longer than any shuffle,
+    and the scan of so small a table has the rows of a row group in one task."""
+    scan = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    return scan.repartition(2 * max(spark.sparkContext.defaultParallelism, 4))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"))
 
@@ -196,13 +203,13 @@ def js_print_from_pages(spark, sf_dir):
 @query("""SELECT p_partkey, '{"name": "' || p_name || '", "size": ' || p_size || '}' AS json FROM part""")
 def js_json_from_parts(spark, sf_dir):
     script = F.concat(F.lit("({name: '"), "p_name", F.lit("', \"size\": "), "p_size", F.lit("})"))
-    return relations.js_programs(table(spark, sf_dir, "part").select("p_partkey", script.alias("js_text")), "js_text", ["p_partkey"], columns=["json"]).select("p_partkey", "json")
+    return relations.js_programs(dealt_parts(spark, sf_dir).select("p_partkey", script.alias("js_text")), "js_text", ["p_partkey"], columns=["json"]).select("p_partkey", "json")
 
 
 @query("SELECT p_partkey, 0 AS ordinal, 'a' AS name, 'b' || p_size AS bound, chr(39) || 'm' || chr(39) AS module FROM part")
 def js_import_names(spark, sf_dir):
     script = F.concat(F.lit("import {a as b"), "p_size", F.lit("} from 'm'"))
-    nodes = relations.js_nodes(table(spark, sf_dir, "part").select("p_partkey", script.alias("js")), "js", ["p_partkey"])
+    nodes = relations.js_nodes(dealt_parts(spark, sf_dir).select("p_partkey", script.alias("js")), "js", ["p_partkey"], columns=["node_id", "parent_id", "ordinal", "kind", "op", "data"])
     return relations.js_imports(nodes, ["p_partkey"])
 
 

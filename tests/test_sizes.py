@@ -63,7 +63,7 @@ def test_values_of_repeated_documents_keep_their_structs(spark):
 
 
 #: Queries over documents made from every part: one reading, by all cores.
-READ_ONCE = ["js_statements_from_parts", "js_literals_inside_functions", "css_units_from_parts", "js_flags_from_parts", "js_vars_from_parts", "js_node_kinds_from_parts", "js_vars_ranked", "js_scope_rows", "css_inline_from_parts", "js_tokens_from_parts", "js_scope_texts_from_parts"]
+READ_ONCE = ["js_statements_from_parts", "js_literals_inside_functions", "css_units_from_parts", "js_flags_from_parts", "js_vars_from_parts", "js_node_kinds_from_parts", "js_vars_ranked", "js_scope_rows", "css_inline_from_parts", "js_tokens_from_parts", "js_scope_texts_from_parts", "js_import_names", "js_json_from_parts"]
 
 
 @pytest.mark.parametrize("name", READ_ONCE)
@@ -92,3 +92,15 @@ def test_nested_columns_are_those_of_single_values(monkeypatch, kind, values):
     want = pa.array([relations.shaped(v, kind) for v in values], kind)
     monkeypatch.setattr(relations, "shaped", None)
     assert relations.column(values, kind).equals(want) and relations.column(values, kind).type == kind
+
+
+def test_imports_and_exports_from_one_reading(spark):
+    programs = ["import {a as b, c} from 'm';import * as d from 'n';export {x as y}", "export {b};export {c as d} from 'o'", "import 'p'", "a"]
+    nodes = relations.js_nodes(spark.createDataFrame(list(enumerate(programs)), "id int, js string"), "js", ["id"])
+    of = lambda kind: list(map(tuple, relations.js_imports(nodes, ["id"], kind).select("id", "module", "ordinal", "name", "bound").collect()))
+    heads = {(r.id, r.node_id): r for r in nodes.collect()}
+    want = lambda kind: [(r.id, heads[r.id, r.parent_id].data, r.ordinal, r.op, r.data) for r in heads.values() if r.kind == "Alias" and heads[r.id, r.parent_id].kind == kind]
+    by_text = lambda rows: sorted(rows, key=str)
+    assert by_text(of("Import")) == by_text(want("Import")) and len(want("Import")) == 3
+    assert by_text(of("Export")) == by_text(want("Export")) and len(want("Export")) == 3
+    assert relations.js_imports(nodes, ["id"])._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1

@@ -63,7 +63,7 @@ def test_values_of_repeated_documents_keep_their_structs(spark):
 
 
 #: Queries over documents made from every part: one reading, by all cores.
-READ_ONCE = ["js_statements_from_parts", "js_literals_inside_functions", "css_units_from_parts", "js_flags_from_parts", "js_vars_from_parts", "js_node_kinds_from_parts", "js_vars_ranked", "js_scope_rows", "css_inline_from_parts", "js_tokens_from_parts", "js_scope_texts_from_parts", "js_import_names", "js_json_from_parts"]
+READ_ONCE = ["js_statements_from_parts", "js_literals_inside_functions", "css_units_from_parts", "js_flags_from_parts", "js_vars_from_parts", "js_node_kinds_from_parts", "js_vars_ranked", "js_scope_rows", "css_inline_from_parts", "js_tokens_from_parts", "js_scope_texts_from_parts", "js_import_names", "js_json_from_parts", "css_tokens_from_parts"]
 
 
 @pytest.mark.parametrize("name", READ_ONCE)

@@ -113,6 +113,13 @@ class Kept:
         return rows
 
 
+def slices(batch: pa.RecordBatch | pa.Array, n_bytes: int) -> Iterator[pa.RecordBatch | pa.Array]:
+    """Parts of a batch with about SLICE of its ``n_bytes`` each."""
+    step = max(1, SLICE * len(batch) // max(1, n_bytes))
+    for at in range(0, len(batch), step):
+        yield batch.slice(at, step)
+
+
 def relation(docs: DataFrame, content: str, keys: list[str], kernel: Callable[[bytes], Iterator[tuple]], schema: str, numbered: bool = True, columns: list[str] | None = None) -> DataFrame:
     """Rows of every document: the key columns, seq (from 0) and the kernel's columns, or those named by ``columns``;
     what isn't named never leaves Python, where Spark's column pruning can't reach.
@@ -196,9 +203,7 @@ def relation(docs: DataFrame, content: str, keys: list[str], kernel: Callable[[b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Kept()
         for batch in batches:
-            step = max(1, min(batch.num_rows, SLICE * batch.num_rows // max(1, batch.column(n_keys).nbytes)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for part in slices(batch, batch.column(n_keys).nbytes):
                 longest = pc.max(pc.binary_length(part.column(n_keys))).as_py() or 0
                 yield from together(part, kept) if longest <= SHORT else one_by_one(part)
 

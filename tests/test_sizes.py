@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tagweave.functions import codecs
 from tagweave.operators import css, relations
 from tagweave.plans import catalogue, generated
 
@@ -104,3 +105,35 @@ def test_imports_and_exports_from_one_reading(spark):
     assert by_text(of("Import")) == by_text(want("Import")) and len(want("Import")) == 3
     assert by_text(of("Export")) == by_text(want("Export")) and len(want("Export")) == 3
     assert relations.js_imports(nodes, ["id"])._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def resident(pages="/proc/self/statm"):
+    """Bytes of memory that this process holds now."""
+    with open(pages) as f:
+        return int(f.read().split()[1]) * 4096
+
+
+def held(calls):
+    """Megabytes that this process holds, from the 500th call on, when all that a worker needs is loaded."""
+    calls.append(None)
+    return resident() // 1_000_000 if len(calls) > 500 else None
+
+
+def wide_texts(spark):
+    """60 MB of texts in one batch."""
+    return spark.range(10_000).repartition(1).select("id", F.repeat(F.lit("x"), 6_000).alias("text"))
+
+
+def test_texts_of_a_batch_are_not_held_twice_over(spark):
+    """A worker's memory doesn't grow by the results of a batch while it works on it."""
+    calls = []
+    found = wide_texts(spark).select(codecs.text_column(lambda x: b"%d %s" % (held(calls) or 0, x), "text").alias("out"))
+    mb = F.substring_index("out", " ", 1).cast("int")
+    row = found.agg(F.count("*").alias("n"), F.sum(F.length(F.substring_index("out", " ", -1))).alias("length"), F.min(F.when(mb > 0, mb)).alias("least"), F.max(mb).alias("most")).first()
+    assert row.n == 10_000 and row.length == 60_000_000 and row.most - row.least < 20, row
+
+
+def test_vectorised_functions_keep_rows_apart(spark):
+    bodies = ["&quot;a&copy;", None, "", "x" * 300_000 + "&quot;", "é&amp;"] * 30
+    rows = spark.createDataFrame(list(enumerate(bodies)), "id int, body string").repartition(2).select("id", codecs.replace_entities_column("body", {"quot": b'"', "copy": "©".encode()}).alias("out")).collect()
+    assert [r.out for r in sorted(rows)] == [b and b.replace("&quot;", '"').replace("&copy;", "©") for b in bodies]

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.functions import codecs
+from tagweave.functions import codecs, positions
 from tagweave.operators import css, relations
 from tagweave.plans import catalogue, generated
 
@@ -137,3 +137,18 @@ def test_vectorised_functions_keep_rows_apart(spark):
     bodies = ["&quot;a&copy;", None, "", "x" * 300_000 + "&quot;", "é&amp;"] * 30
     rows = spark.createDataFrame(list(enumerate(bodies)), "id int, body string").repartition(2).select("id", codecs.replace_entities_column("body", {"quot": b'"', "copy": "©".encode()}).alias("out")).collect()
     assert [r.out for r in sorted(rows)] == [b and b.replace("&quot;", '"').replace("&copy;", "©") for b in bodies]
+
+
+def test_results_of_two_columns_are_not_held_either(spark):
+    calls = []
+    function = lambda x, k: (held(calls), k, x.decode())
+    found = wide_texts(spark).select(codecs.vectorised(function, "struct<line: int, col: int, context: string>", "text", F.col("id").cast("int")).alias("out"))
+    row = found.agg(F.count_distinct("out.col").alias("n"), F.sum(F.length("out.context")).alias("length"), F.min("out.line").alias("least"), F.max("out.line").alias("most")).first()
+    assert row.n == 10_000 and row.length == 60_000_000 and row.most - row.least < 20, row
+
+
+def test_positions_of_texts(spark):
+    """By rows, with nulls; a position is null where the text or the offset is."""
+    cases = [("a\nbé", 4), (None, 1), ("x", None), ("", 0), ("y" * 300_000 + "\n", 300_001)] * 20
+    rows = spark.createDataFrame([(i, t, o) for i, (t, o) in enumerate(cases)], "id int, t string, o int").repartition(2).select("id", codecs.position_column("t", "o").alias("p")).collect()
+    assert [r.p and tuple(r.p) for r in sorted(rows, key=lambda r: r.id)] == [None if t is None or o is None else positions.position(t.encode(), o) for t, o in cases]
